@@ -1,10 +1,11 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
-A document's ids, with the separator at their end, are cut into whole windows and one remainder. Remainders are
-gathered in batches; differencing starts from one partial partition per remainder, and merges the two with the
+A document's ids, with the separator at their end, are cut into whole windows and a remainder, which is cut once more
+if it is longer than half a window (a few pieces to a window balance far better than two). These pieces are gathered
+in batches; differencing starts from one partial partition per piece, and merges the two with the
 largest imbalance so that the large parts of one meet the small parts of the other, until one partition into
 near-equal windows is left. Where its largest window exceeds the capacity, the window count rises and the batch
-is partitioned again. A batch holds a bounded number of remainders, so memory is bounded, no row is shuffled, and
+is partitioned again. A batch holds a bounded number of pieces, so memory is bounded, no row is shuffled, and
 a lost task is simply run again.
 
 Padding: a sequence is padded to the window, unless its length is a power of two.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from chronolith.llm.tokens import encoder
 
-#: Remainders that are partitioned at once.
+#: Pieces that are partitioned at once.
 BATCH_PIECES = 1024
 
 
@@ -109,8 +110,8 @@ def pack(docs: DataFrame, tokenizer_path: str, separator: int = 0, window: int =
                     sequence += 1
                     if len(whole) >= batch_pieces:
                         yield flush()
-                if tokens % window:
-                    rest.append((keys[i], full * window, blob[4 * full * window :], tokens))
+                for at in range(full * window, tokens, window // 2):
+                    rest.append((keys[i], at, blob[4 * at : 4 * (at + window // 2)], tokens))
                 if len(rest) >= batch_pieces:
                     settle()
                 if len(whole) >= batch_pieces:

@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import line_dedup, mixing, packing, sharding, token_files, topk
+from chronolith.llm import license_scan, line_dedup, mixing, packing, quality_rules, sharding, token_files, topk
 from chronolith.llm._common import table
 
 SHARDS = 40
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -38,6 +46,37 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_sharding, op5_line_dedup, op6_mixing, op8_exact_topk, op10_token_files)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_sharding, op5_line_dedup, op6_mixing, op8_exact_topk, op10_token_files)}
+
+_TEMPLATE_ROWS = ",\n        ".join(f"('{label}', {license_scan.template_words(wording)!r})" for label, wording in license_scan.TEMPLATES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": rf"""
+    WITH templates(label, words) AS (VALUES
+        {_TEMPLATE_ROWS}
+    ), docs AS (
+        SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+    ), worded AS (
+        SELECT r, doc_id, t, regexp_extract_all(t, '{license_scan.WORD}') AS w FROM docs
+    ), ends AS (
+        SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+    ), places AS (
+        SELECT r, CASE WHEN w[i - 1] IN ('mit', 'apache') THEN i - 2 ELSE i - 3 END AS start,
+               CASE WHEN w[i - 1] IN ('mit', 'apache') THEN w[i - 1] ELSE 'gpl' END AS label
+        FROM ends WHERE w[i] = 'license' AND i > 1 AND (w[i - 1] IN ('mit', 'apache') OR (i > 2 AND w[i - 1] = 'public' AND w[i - 2] = 'general'))
+    ), base AS (
+        SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY r
+    ), blocks AS (
+        SELECT r, list_distinct(regexp_extract_all(b, '{license_scan.WORD}')) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM docs)
+    ), found AS (
+        SELECT r, label, len(list_intersect(b, words)) / len(words) AS score FROM blocks JOIN templates ON len(b) > 0 AND len(list_intersect(b, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)
+    ), labelled AS (
+        SELECT r, label, true AS is_base FROM places UNION ALL SELECT r, label, false FROM found
+    ), named AS (
+        SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels FROM labelled GROUP BY r
+    ), scores AS (SELECT r, max(score) AS score FROM found GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+    FROM worded LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN scores USING (r)
+    """,
+}
