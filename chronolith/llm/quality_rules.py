@@ -36,7 +36,7 @@ MEDIAN_CHI = 3.357
 #: Fixed-point units of a coordinate; distance bins per doubling; their largest number.
 UNITS, BINS_PER_DOUBLING, LAST_BIN = 1024, 16, 640
 #: Least standard deviation of each coordinate, in its own units.
-FLOORS = (0.04, 0.10, 0.04, 0.04)
+FLOORS = (0.08, 0.25, 0.20, 0.40)
 DIMS = len(FLOORS)
 #: Longest list of repeated windows that is searched window by window; longer ones are matched by sorting.
 FEW = 48
@@ -77,9 +77,9 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics, as fixed-point integers: log mean word length, log symbols per hundred words, shares of repeated words and of words to a repeated line."""
+    """The transformed statistics, as fixed-point integers: log mean word length, log symbols per hundred words, root of the share of repeated words, log repeated lines."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    raw = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log1p(100 * F.col("n_symbols") / words), F.sqrt(F.col("n_repeat_words") / words), F.sqrt(10 * F.col("n_dup_lines") / words))
+    raw = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log1p(100 * F.col("n_symbols") / words), F.sqrt(F.col("n_repeat_words") / words), F.log1p(F.col("n_dup_lines")))
     return [F.round(x * UNITS).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
