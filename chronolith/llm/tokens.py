@@ -11,20 +11,52 @@ import functools
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Chunks kept per encoder and kind, about 150 bytes each; a full cache is emptied.
-CACHE_CHUNKS = 900_000
+#: Entries of a generation of a cache, about 150 bytes each.
+GENERATION = 250_000
 #: Characters encoded at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 MARK = "^"
-_LATIN = " -~¡-įı-ſ"
+# Printable ASCII and Latin letters, but for those with which libraries differ on classes or lower case.
+_LATIN = " -~¡-±´-¸º»¿-įı-ſ"
 _ODD_SPACED = re.compile(f"[ \\n][ \\n]|[^\\n{_LATIN}]")
 _ODD_WORDS = re.compile(f"[^\\t\\n\\r{_LATIN}]")
+#: Pieces of a lower-cased chunk of those characters.
+_SPACED_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class Cache:
+    """ids by key; holds the keys used most lately, in two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each key; make() gives those of the ones not held."""
+        found = list(map(self.new.get, keys))
+        if None in found:
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            lacking = dict.fromkeys([keys[i] for i in gaps])
+            fresh = []
+            for key in lacking:
+                if (ids := self.old.get(key)) is None:
+                    fresh.append(key)
+                else:
+                    lacking[key] = ids
+            lacking.update(zip(fresh, make(fresh) if fresh else (), strict=True))
+            for i in gaps:
+                found[i] = lacking[keys[i]]
+            if len(self.new) + len(lacking) > GENERATION:
+                self.old, self.new = self.new, {}
+            self.new.update(lacking)
+        return found
 
 
 class Encoder:
@@ -38,7 +70,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = literal_specials
+        self.tokenizer.encode_special_tokens = self.literal_specials = literal_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -46,58 +78,129 @@ class Encoder:
         steps = [x.get("type") for x in pre.get("pretokenizers", [])]
         drops_space = steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed"
         if plain_bytes and not normal:
-            self.encode, self.between = self._encode_spaced, (f"\n{MARK}\n", 1)
-        elif drops_space and [x.get("type") for x in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.encode, self.between = self._encode_words, (f" {MARK} ", 0)
+            self.encode = self._encode_spaced
+            self._ready_for_spaced()
+        elif drops_space and [x.get("type") for x in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix"):
+            self.encode = self._encode_words
+            self._ready_for_words(spec)
         else:
             self.encode = self._library
-        self.bare: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}
+        self.bare, self.led, self.pieces = Cache(), Cache(), Cache()
 
     def _library(self, texts: list[str | None]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _fill(self, cache: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        if len(cache) + len(chunks) > CACHE_CHUNKS:
-            cache.clear()
-        fresh = [c for c in chunks if c not in cache]
-        joined = [c for c in fresh if MARK not in c]
-        between, around = (f" {MARK}", 0) if lead else self.between
-        mark_id = self.tokenizer.encode("a" + between, add_special_tokens=False).ids[1 + around]
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            ids = np.array(self.tokenizer.encode("".join(lead + c + between for c in part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark_id).tolist()
-            blob, start = ids.tobytes(), 0
-            for c, end in zip(part, ends, strict=True):
-                cache[c] = blob[4 * start : 4 * (end - around)]
-                start = end + 1 + around
-        rest = [c for c in fresh if MARK in c]
-        cache.update(zip(rest, self._library([lead + c for c in rest]), strict=True))
+    def _split(self, texts: list[str | None], odd: Callable[[str], bool]) -> tuple[dict[int, str], list[str]]:
+        """Texts for the library as they are, by place, and all texts with those left empty."""
+        aside = {i: t for i, t in enumerate(texts) if t and odd(t)}
+        return aside, ["" if i in aside else t or "" for i, t in enumerate(texts)]
 
-    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
-        odd = {i: t for i, t in enumerate(texts) if t and _ODD_WORDS.search(t)}
-        split = [() if i in odd or not t else t.split() for i, t in enumerate(texts)]
-        self._fill(self.bare, set().union(*split), "")
-        get = self.bare.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for i, ids in zip(odd, self._library(list(odd.values())), strict=True):
+    def _whole(self, out: list[bytes], aside: dict[int, str]) -> list[bytes]:
+        for i, ids in zip(aside, self._library(list(aside.values())), strict=True):
             out[i] = ids
         return out
 
-    def _encode_spaced(self, texts: list[str | None]) -> list[bytes]:
-        odd = {i: t for i, t in enumerate(texts) if t and (_ODD_SPACED.search(t) or t[0] in " \n" or t[-1] in " \n")}
-        split = [() if i in odd or not t else [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts)]
-        self._fill(self.bare, {words[0] for lines in split for words in lines}, "")
-        self._fill(self.led, {w for lines in split for words in lines for w in words[1:]}, " ")
-        bare, led = self.bare.__getitem__, self.led.__getitem__
-        newline = self._library(["\n"])[0]
-        out = [newline.join([bare(words[0]) + b"".join(map(led, words[1:])) for words in lines]) for lines in split]
-        for i, ids in zip(odd, self._library(list(odd.values())), strict=True):
-            out[i] = ids
+    # Texts that lose their white space: chunks between white space, taken apart further where they are new.
+
+    def _ready_for_words(self, spec: dict) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.bare_tokenizer = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare_tokenizer.encode_special_tokens = True
+        self.bare_tokenizer.normalizer = normalizers.Sequence([])
+        self.bare_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = spec["model"]["end_of_word_suffix"]
+        vocabulary = spec["model"]["vocab"]
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            ids = np.array(self.bare_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            blob = ids.tobytes()
+            out += [blob[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            if len(out) != at + len(part) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary does not mark the ends of words")
+        return out
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._from_pieces(chunks, chunks, lambda c: _PIECES.findall(c.lower()), self._encode_pieces)
+
+    def _from_pieces(self, chunks: list[str], texts: list[str], cut: Callable[[str], list[str]], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        plain = [cut(t) if self.literal_specials or "<|" not in c else None for c, t in zip(chunks, texts, strict=True)]
+        flat = self.pieces.joined([p for pieces in plain if pieces for p in pieces], make)
+        out, at = [], 0
+        for text, pieces in zip(texts, plain, strict=True):
+            if pieces is None:
+                out += self._library([text])
+            else:
+                out.append(b"".join(flat[at : at + len(pieces)]))
+                at += len(pieces)
         return out
 
+    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
+        aside, plain = self._split(texts, lambda t: _ODD_WORDS.search(t) is not None)
+        split = [t.split() for t in plain]
+        flat = self.bare.joined([w for words in split for w in words], self._encode_chunks)
+        out, at = [], 0
+        for words in split:
+            out.append(b"".join(flat[at : at + len(words)]))
+            at += len(words)
+        return self._whole(out, aside)
+
+    # Texts whose pieces keep the space before them: a chunk at a line's start, and chunks led by a space.
+
+    def _ready_for_spaced(self) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.bare_tokenizer = Tokenizer.from_str(self.tokenizer.to_str())
+        self.bare_tokenizer.encode_special_tokens = True
+        self.bare_tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # Byte-level vocabularies write the bytes that print as themselves, the others as the characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_names = {b: 256 + i for i, b in enumerate(hidden)}
+        self.mark_id = self.tokenizer.token_to_id(MARK)
+        self.newline = self._library(["\n"])[0]
+
+    def _encode_spaced_pieces(self, pieces: list[str]) -> list[bytes]:
+        held: dict[str, bytes] = {}
+        plain = [p for p in pieces if MARK not in p]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            named = "\0".join(part).encode().decode("latin-1").translate(self.byte_names).replace(chr(self.byte_names[0]), f" {MARK} ")
+            ids = np.array(self.bare_tokenizer.encode_batch_fast([f"{named} {MARK}"], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            blob, start = ids.tobytes(), 0
+            for p, end in zip(part, ends, strict=True):
+                held[p] = blob[4 * start : 4 * end]
+                start = end + 1
+        rest = [p for p in pieces if MARK in p]
+        held.update(zip(rest, self._library(rest), strict=True))
+        return [held[p] for p in pieces]
+
+    def _encode_spaced_chunks(self, chunks: list[str], lead: str) -> list[bytes]:
+        return self._from_pieces(chunks, [lead + c for c in chunks], _SPACED_PIECES.findall, self._encode_spaced_pieces)
+
+    def _encode_spaced(self, texts: list[str | None]) -> list[bytes]:
+        aside, plain = self._split(texts, lambda t: _ODD_SPACED.search(t) is not None or t[0] in " \n" or t[-1] in " \n")
+        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in plain]
+        heads = iter(self.bare.joined([words[0] for lines in split for words in lines], lambda c: self._encode_spaced_chunks(c, "")))
+        flat = self.led.joined([w for lines in split for words in lines for w in words[1:]], lambda c: self._encode_spaced_chunks(c, " "))
+        out, at = [], 0
+        for lines in split:
+            parts = []
+            for words in lines:
+                end = at + len(words) - 1
+                parts.append(next(heads) + b"".join(flat[at:end]))
+                at = end
+            out.append(self.newline.join(parts))
+        return self._whole(out, aside)
+
     def stream(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
         """(place, ids) of each text; at most about BATCH_CHARS characters, or one longer text, are in work at once."""
         at = 0
