@@ -37,7 +37,6 @@ SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
 BATCH_WORDS, KEPT_WORDS = 400_000, 500_000
 
 _WORDS = re.compile(r"[^\W_]+")
-_PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +101,7 @@ def sketches(texts: list[np.ndarray], count: int = SKETCHES) -> np.ndarray:
     low = place.astype(np.uint64) & _PLACE
     out = np.empty((len(texts), count), dtype=np.uint64)
     for i in range(count):
-        value = (_mix(labelled + np.uint64(i + 1) * _ODD) & ~_PLACE) | low
+        value = (_mix(labelled + np.uint64((i + 1) * int(_ODD) % (1 << 64))) & ~_PLACE) | low
         taken = []
         for _ in range(TAKEN):
             least = np.minimum.reduceat(value, first)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, sharding, token_files, topk
+from chronolith.llm import license_scan, line_dedup, mixing, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_files, topk
 from chronolith.llm._common import table
 
 SHARDS = 40
@@ -46,11 +46,16 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_sharding, op5_line_dedup, op6_mixing, op7_near_dedup, op8_exact_topk, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_packing, op4_sharding, op5_line_dedup, op6_mixing, op7_near_dedup, op8_exact_topk, op9_suffix_dedup, op10_token_files)}
 
 _TEMPLATE_ROWS = ",\n        ".join(f"('{label}', {license_scan.template_words(wording)!r})" for label, wording in license_scan.TEMPLATES)
 
