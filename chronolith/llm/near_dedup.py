@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm._common import cut
+from chronolith.llm._common import cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
@@ -189,20 +189,20 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def signatures(docs: DataFrame, count: int = SKETCHES) -> DataFrame:
-    """doc_id, node, n_words and sketches of each text."""
+    """doc_id, tie (a hash of the text), node, n_words and sketches of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, waiting, size = batch.column("doc_id").to_pylist(), [], 0
+            ids, waiting, size = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie")), strict=True), [], 0
 
             def flush(waiting=waiting) -> pa.RecordBatch:
                 full = [w for _, w in waiting if len(w)]
                 found = iter(sketches(full, count) if full else [])
                 out = pa.RecordBatch.from_arrays([
-                    pa.array([d for d, _ in waiting], pa.int64()), pa.array([node_of(w) for _, w in waiting], pa.int64()), pa.array([len(w) for _, w in waiting], pa.int64()),
+                    *(pa.array(c, pa.int64()) for c in zip(*((*ids, node_of(w), len(w)) for ids, w in waiting), strict=True)),
                     pa.array([next(found) if len(w) else [] for _, w in waiting], pa.list_(pa.int64())),
-                ], names=["doc_id", "node", "n_words", "sketches"])
+                ], names=["doc_id", "tie", "node", "n_words", "sketches"])
                 waiting.clear()
                 return out
 
@@ -216,7 +216,7 @@ def signatures(docs: DataFrame, count: int = SKETCHES) -> DataFrame:
             if waiting:
                 yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, node long, n_words long, sketches array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), "text").mapInArrow(made, "doc_id long, tie long, node long, n_words long, sketches array<long>")
 
 
 def _word_table(docs: DataFrame) -> DataFrame:
@@ -262,10 +262,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
-    """doc_id, node, class_id (the least doc_id of its class) and n_links (verified links of its node) of each document."""
+    """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (verified links of its words) and
+    first (whether it is the one of its class that stays) of each document."""
     known = docs.where("doc_id is not null")
     signed = cut(signatures(known, count))
-    nodes = cut(signed.where("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("sketches").alias("sketches")))
+    nodes = cut(signed.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("top"), F.first("sketches").alias("sketches")).select("node", "top", F.col("top.doc_id").alias("first_doc"), "sketches"))
     keys = nodes.select("node", F.posexplode("sketches").alias("i", "s")).select("node", "i", F.xxhash64("i", "s").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = cut(keys.join(shared, "key"))
@@ -295,11 +296,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -
             break
         tried = cut(tried.union(pairs))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.select("node", "first_doc").join(labels, "node", "left").join(ends, "node", "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = placed.groupBy("label").agg(F.min("first_doc").alias("class_id"))
-    of_node = cut(placed.join(named, "label").select("node", "class_id", "n_links"))
-    empty = signed.where("n_words = 0").agg(F.min("doc_id").alias("empty_class"))
-    found = signed.select("doc_id", "node", "n_words").join(of_node, "node", "left").join(F.broadcast(empty), F.lit(True), "left")
-    found = found.select("doc_id", "node", F.when(F.col("n_words") == 0, F.col("empty_class")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    placed = nodes.select("node", "top").join(labels, "node", "left").join(ends, "node", "left").select("node", "top", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = placed.groupBy("label").agg(F.min("top").alias("class_top"))
+    of_node = cut(placed.join(named, "label").select("node", "class_top", "n_links"))
+    # Texts without words are one class.
+    empty = signed.where("n_words = 0").agg(F.min(F.struct("doc_id", "tie")).alias("empty_top"))
+    found = signed.select("doc_id", "tie", "node", "n_words").join(of_node, "node", "left").join(F.broadcast(empty), F.lit(True), "left")
+    found = found.withColumn("top", F.when(F.col("n_words") == 0, F.col("empty_top")).otherwise(F.col("class_top")))
+    first = (F.col("doc_id") == F.col("top.doc_id")) & (F.col("tie") == F.col("top.tie"))
+    found = found.select("doc_id", "tie", F.col("top.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return found.unionByName(nameless)
