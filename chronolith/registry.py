@@ -70,7 +70,7 @@ class Registry:
     def knows(self, struct_hash: int) -> bool:
         return struct_hash in self._types or struct_hash in self._functions
 
-    def call(self, name: str, context: Context, **args):
+    def call(self, name: str, context: Context, /, **args):
         """Runs a server function. Only public ones run for anonymous sessions."""
         found = self._functions.get(self._names.get(name, -1))
         if found is None:
@@ -79,7 +79,7 @@ class Registry:
             raise LoginRequired(name)
         return found.body(context, **args)
 
-    def perform(self, struct_hash: int, operation: str, handle, *args, **values):
+    def perform(self, struct_hash: int, operation: str, handle, /, *args, **values):
         """An operation on a handle, by way of its override if there is one."""
         if struct_hash not in self._types:
             raise UnknownStructHash(str(struct_hash))
