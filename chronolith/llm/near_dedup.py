@@ -140,14 +140,20 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     shared, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
     if max(len(a), len(b)) - np.minimum(ca[ia], cb[ib]).sum() > band:
         return False
-    return _chained(a, b, shared[(ca[ia] == 1) & (cb[ib] == 1)], band) <= band or _banded(a, b, band) <= band
+    if _chained(a, b, a, b, shared[(ca[ia] == 1) & (cb[ib] == 1)], band) <= band:
+        return True
+    # Texts that repeat their words may still have runs of three once.
+    ta, tb = (x[:-2] * _ODD + x[1:-1] * _MUL + x[2:] for x in (a.astype(np.uint64), b.astype(np.uint64)))
+    (va, ca), (vb, cb) = np.unique(ta, return_counts=True), np.unique(tb, return_counts=True)
+    shared, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    return _chained(a, b, ta, tb, shared[(ca[ia] == 1) & (cb[ib] == 1)], band) <= band or _banded(a, b, band) <= band
 
 
-def _chained(a: np.ndarray, b: np.ndarray, once: np.ndarray, band: int) -> int:
-    """Edits of the alignment through the longest chain of words that each text has once: never fewer than the least."""
-    at = np.flatnonzero(np.isin(a, once))
-    order = np.argsort(b, kind="stable")
-    to = order[np.searchsorted(b, a[at], sorter=order)]
+def _chained(a: np.ndarray, b: np.ndarray, marks_a: np.ndarray, marks_b: np.ndarray, once: np.ndarray, band: int) -> int:
+    """Edits of the alignment through the longest chain of marks (words, or runs that begin there) that each text has once: never fewer than the least."""
+    at = np.flatnonzero(np.isin(marks_a, once))
+    order = np.argsort(marks_b, kind="stable")
+    to = order[np.searchsorted(marks_b, marks_a[at], sorter=order)]
     near = np.abs(at - to) <= band
     at, to = at[near], to[near].tolist()
     tails: list[int] = []
@@ -161,31 +167,64 @@ def _chained(a: np.ndarray, b: np.ndarray, once: np.ndarray, band: int) -> int:
             ends.append(i)
         else:
             tails[k], ends[k] = x, i
-    edits, right, low = 0, len(a), len(b)
+    chain = []
     i = ends[-1] if ends else -1
     while i >= 0:
-        edits += max(right - int(at[i]) - 1, low - to[i] - 1)
-        right, low, i = int(at[i]), to[i], before[i]
-    return edits + max(right, low)
+        chain.append((int(at[i]), to[i]))
+        i = before[i]
+    chain.reverse()
+    edits, x, y, k = 0, 0, 0, 0
+    while k < len(chain):
+        # Words of the chain on one diagonal: between them, word by word.
+        i, j = chain[k]
+        while k + 1 < len(chain) and chain[k + 1][0] - chain[k + 1][1] == i - j:
+            k += 1
+        last = chain[k]
+        edits += _gap(a, b, x, i, y, j) + int(np.count_nonzero(a[i : last[0]] != b[j : last[1]]))
+        x, y, k = last[0] + 1, last[1] + 1, k + 1
+        if edits > band:
+            return edits
+    return edits + _gap(a, b, x, len(a), y, len(b))
+
+
+def _gap(a: np.ndarray, b: np.ndarray, x: int, x_end: int, y: int, y_end: int) -> int:
+    """Edits of an alignment of a[x:x_end] and b[y:y_end] that keeps their common ends."""
+    n = min(x_end - x, y_end - y)
+    if not n:
+        return max(x_end - x, y_end - y)
+    head = a[x : x + n] != b[y : y + n]
+    if x_end - x == y_end - y:
+        return int(np.count_nonzero(head))
+    differ = np.flatnonzero(head)
+    lead = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[x_end - n : x_end][::-1] != b[y_end - n : y_end][::-1])
+    trail = min(int(differ[0]) if len(differ) else n, n - lead)
+    return max(x_end - x, y_end - y) - lead - trail
 
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The edit distance if it is at most band, else a number above it."""
-    offsets = np.arange(-band, band + 1)
-    big = band + 1
-    row = np.where((offsets >= 0) & (offsets <= len(b)), offsets, big)
-    for i in range(1, len(a) + 1):
-        j = i + offsets
-        inside = (j >= 1) & (j <= len(b))
-        step = np.where(inside, (b[np.clip(j - 1, 0, len(b) - 1)] != a[i - 1]).astype(np.int64), big)
-        new = np.minimum(row + step, np.append(row[1:], big) + 1)
-        new = np.where(j == 0, i, new)
-        new = np.where((j < 0) | (j > len(b)), big, new)
-        new = np.minimum(np.minimum.accumulate(new - offsets) + offsets, big)
-        if new.min() > band:
-            return big
-        row = new
-    return int(row[len(b) - len(a) + band])
+    """The edit distance if it is at most band, else a number above it: for each number of edits, how far each diagonal of the band gets."""
+    n, m = len(a), len(b)
+    # reach[band + 1 + k]: words of a that the diagonal k (place in b less place in a) has behind it.
+    reach = np.full(2 * band + 3, -2, dtype=np.int64)
+    for edits in range(band + 1):
+        low, high = band + 1 - edits, band + 2 + edits
+        k = np.arange(-edits, edits + 1)
+        if edits:
+            i = np.maximum(np.maximum(reach[low:high] + 1, reach[low - 1 : high - 1]), reach[low + 1 : high + 1] + 1)
+            i = np.minimum(i, np.minimum(n, m - k))
+        else:
+            i = np.zeros(1, dtype=np.int64)
+        going = np.flatnonzero((i >= 0) & (i + k >= 0) & (i < n) & (i + k < m))
+        while len(going):
+            going = going[a[i[going]] == b[i[going] + k[going]]]
+            i[going] += 1
+            going = going[(i[going] < n) & (i[going] + k[going] < m)]
+        i[i + k < 0] = -2
+        reach[low:high] = i
+        if abs(m - n) <= edits and reach[band + 1 + m - n] >= n:
+            return edits
+    return band + 1
 
 
 def signatures(docs: DataFrame, count: int = SKETCHES) -> DataFrame:
