@@ -88,4 +88,39 @@ ORACLE_SQL: dict[str, str] = {
            coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
     FROM worded LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN scores USING (r)
     """,
+    "op6_mixing": rf"""
+    WITH docs AS (
+        SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size, length(coalesce(text, '')) AS chars FROM documents
+    ), keyed AS (
+        SELECT row_number() OVER () AS r, doc_id, source, size,
+               -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|17'), 1, 13) AS BIGINT) + 1) / 4503599627370496.0) * (1 + abs(chars / greatest(size, 1) - 6.5) / 6.5) AS key FROM docs
+    ), sizes AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source
+    ), weighed AS (
+        SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w FROM sizes
+    ), levels AS (
+        SELECT *, 3 * source_size / w AS ratio, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER q, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER q, 0)) AS level
+        FROM weighed WINDOW q AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), aimed AS (
+        SELECT source, source_size, CASE WHEN ratio <= level THEN CAST(3 * source_size AS DOUBLE) ELSE w * max(level) FILTER (WHERE ratio > level) OVER () END AS target FROM levels
+    ), planned AS (
+        SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS epochs,
+               greatest(CAST(floor(target - CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END * source_size) AS BIGINT), 0) AS rest FROM aimed
+    ), running AS (
+        SELECT k.*, source_size, target, epochs, rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size, r ROWS UNBOUNDED PRECEDING) AS upto FROM keyed k JOIN planned p ON k.source IS NOT DISTINCT FROM p.source
+    ), first AS (
+        SELECT *, rest > 0 AND upto <= rest AS inside, rest - coalesce(sum(size) FILTER (WHERE upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM running
+    ), filled AS (
+        SELECT *, row_number() OVER (PARTITION BY source, NOT inside AND rest > 0 AND size > 0 AND size <= gap ORDER BY size DESC, key, doc_id, r) = 1 AND NOT inside AND rest > 0 AND size > 0 AND size <= gap AS fill FROM first
+    )
+    SELECT doc_id, source, size, source_size, target, CAST(epochs + CASE WHEN inside OR fill THEN 1 ELSE 0 END AS BIGINT) AS repeats, CAST((epochs + CASE WHEN inside OR fill THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM filled
+    """,
+    "op8_exact_topk": """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    )
+    SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id) AS INTEGER) AS rank, b.vec_id AS vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) QUALIFY rank <= 20
+    """,
 }
