@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,10 +33,19 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/chronolith-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, materialised in the shared folder; Spark deletes them once no frame refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """The same rows, materialised in the shared folder; Spark deletes them once no frame refers to them.
+
+    With release, shuffle files that led to them go at once and not when the driver next happens to collect garbage.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    if release:
+        del df  # it refers to the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,6 +3,8 @@
 A byte is removed if it is covered by a string of ``LENGTH`` bytes that also starts earlier: in a document of smaller
 doc_id, or earlier in its own. Strings are judged on the input.
 
+A text that an earlier document has as well is removed whole. Of distinct texts:
+
 1. Anchors: in each string of LENGTH bytes the leftmost GRAM bytes of least hash. Equal strings have equal anchors at
    equal offsets, so a string repeats only if its anchor does. Anchors that stand in one place alone are dropped.
 2. Around an anchor, a context holds every string of LENGTH bytes that contains it. Equal contexts are merged, with
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.llm._common import cut, text_of
+from chronolith.llm._common import cut, small, text_of
 from chronolith.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -127,16 +129,8 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low = 0
-    while n - low > 1:
-        middle = (low + n) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            n = middle
-    return low
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
 
 def later(group: list[tuple], length: int = LENGTH) -> list[tuple]:
@@ -166,12 +160,12 @@ def later(group: list[tuple], length: int = LENGTH) -> list[tuple]:
 
 def sorted_runs(items: list[tuple], length: int = LENGTH) -> list[tuple]:
     """Of texts (text, key, start), the strings of the length that also start earlier, as (key, start, end)."""
-    symbols: list[int] = []
-    owner: list[tuple[int, int]] = []
-    for i, (text, _, _) in enumerate(items):
-        symbols += [b + 2 for b in text]
-        symbols.append(1)
-        owner += [(i, at) for at in range(len(text) + 1)]
+    joined = b"".join([text for text, _, _ in items])
+    sizes = np.array([len(text) for text, _, _ in items])
+    ends = np.cumsum(sizes)
+    order = np.array(suffix_array((np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1).tolist()))
+    owner = np.searchsorted(ends, order, "right")
+    whole = order + length <= ends[owner]  # the string lies in one text
     out: dict[int, list[int]] = {}
 
     def settle(run: list[tuple]) -> None:
@@ -183,16 +177,13 @@ def sorted_runs(items: list[tuple], length: int = LENGTH) -> list[tuple]:
 
     run: list[tuple] = []
     last = b""
-    for at in suffix_array(symbols):
-        i, offset = owner[at]
-        text, key, start = items[i]
-        window = text[offset : offset + length]
-        if len(window) < length:
-            continue
+    for at, i in zip(order[whole].tolist(), owner[whole].tolist(), strict=True):
+        window = joined[at : at + length]
         if window != last:
             settle(run)
             run, last = [], window
-        run.append((key, start + offset, i))
+        text, key, start = items[i]
+        run.append((key, start + at - int(ends[i]) + len(text), i))
     settle(run)
     return [(items[i][1], a, b) for i, starts in out.items() for a, b in spans(starts, length)]
 
@@ -208,29 +199,29 @@ def spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def tie_of() -> Column:
+    """31 bits of a hash of the text, which tell texts of one doc_id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text_of()), 33)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """rank (doc_id, nulls last), tie (a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), tie_of().alias("tie"), text_of().alias("text"))
 
 
-def _seen(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, tie and n: the anchors of each text, once, with how often they stand in it."""
+def _hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """h of every anchor."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ties = batch.column("tie").to_numpy()
-            for text, _, h in text_anchors(_texts(batch), length, gram):
-                order = np.lexsort((h, text))
-                text, h = text[order], h[order]
-                new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.empty(0, dtype=np.int64)
-                n = np.diff(np.append(new, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ties[text[new]]), pa.array(n, pa.int64())], names=["h", "tie", "n"])
+            for *_, h in text_anchors(_texts(batch), length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
-    return docs.select("tie", "text").mapInArrow(made, "h long, tie long, n long")
+    return docs.select("text").mapInArrow(made, "h long")
 
 
 def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, rank, tie, place and c (a hash of the context) of every anchor."""
+    """h, rank, at (tie and place, packed to keep their order) and c (a hash of the context) of every anchor."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,9 +230,9 @@ def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for text, place, h in text_anchors(texts, length, gram):
                 # The place of the anchor in a context that is cut off at the text's start tells it apart.
                 c = [digest(texts[i][max(0, p - left) : p + length], min(p, left)) for i, p in zip(text.tolist(), place.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ranks[text]), pa.array(ties[text]), pa.array(place, pa.int64()), pa.array(np.array(c, dtype=np.uint64).view(np.int64))], names=["h", "rank", "tie", "place", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ranks[text]), pa.array((ties[text] << 32) | place), pa.array(np.array(c, dtype=np.uint64).view(np.int64))], names=["h", "rank", "at", "c"])
 
-    return docs.mapInArrow(made, "h long, rank long, tie long, place long, c long")
+    return docs.mapInArrow(made, "h long, rank long, at long, c long")
 
 
 _FOUND = "rank long, tie long, start long, end long"
@@ -256,7 +247,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
     """Removed strings of rows (h, rank, tie, place, left, right) that hold the distinct contexts of anchors."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group, out = None, [], []
+        now, group, out, known = None, [], [], set()
 
         def settle() -> None:
             out.extend((*key, a, b) for key, a, b in later(group, length))
@@ -267,7 +258,11 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
                 if h != now:
                     settle()
                     now = h
-                group.append(((rank, tie), place, left, right))
+                    known.clear()
+                # Equal rows of the input give a context more than once.
+                if (rank, tie, place) not in known:
+                    known.add((rank, tie, place))
+                    group.append(((rank, tie), place, left, right))
             if len(out) > 10_000:
                 yield _found(out)
                 out.clear()
@@ -298,50 +293,51 @@ def _large_groups(rows: DataFrame, length: int) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """rank, tie (of a document), start and end of strings to remove, in bytes; they may overlap."""
-    keyed = _keyed(docs)
-    seen = _seen(keyed, length, gram).groupBy("h").agg(F.min("tie").alias("low"), F.max("tie").alias("high"), F.max("n").alias("n"))
-    # Texts that are equal under several doc_ids have one tie; they meet as equal documents.
-    copies = keyed.select("rank", "tie").distinct().groupBy("tie").agg(F.count("*").alias("n")).where("n > 1").select("tie")
-    repeated = seen.where("low <> high or n > 1").select("h")
-    of_copies = keyed.join(F.broadcast(copies) if copies.limit(50_001).count() <= 50_000 else copies, "tie", "left_semi")
-    repeated = repeated.union(_seen(of_copies, length, gram).select("h")).distinct()
-    rows = cut(_places(keyed, length, gram).join(repeated, "h").distinct())
-    first = rows.groupBy("h", "c").agg(F.min(F.struct("rank", "tie", "place")).alias("f"), F.count("*").alias("n"))
-    first = cut(first.select("h", "c", F.col("f.rank").alias("rank"), F.col("f.tie").alias("tie"), F.col("f.place").alias("place"), "n"))
-    reach = length - gram
+    everything = _keyed(docs)
+    # Texts equal to that of an earlier document go whole; the rest of the work is on distinct texts.
+    texts = everything.select("rank", "tie", F.md5(F.col("text").cast("binary")).alias("d"), F.octet_length("text").cast("long").alias("size")).distinct()
+    firsts = texts.groupBy("d").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    copies = cut(texts.join(firsts, "d").where("rank > first").select("rank", "tie", "size"))
+    keyed = everything.join(small(copies.select("rank", "tie")), ["rank", "tie"], "left_anti")
+    copied = copies.where(F.col("size") >= length).select("rank", "tie", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    repeated = _hashes(keyed, length, gram).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    rows = cut(_places(keyed, length, gram).join(repeated, "h", "left_semi"), release=True)
+    first = rows.groupBy("h", "c").agg(F.min(F.struct("rank", "at")).alias("f"), F.count("*").alias("n"))
+    first = cut(first.select("h", "c", F.col("f.rank").alias("rank"), F.col("f.at").alias("at"), "n"), release=True)
+    tie, place, reach = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), length - gram
     sizes = keyed.select("rank", "tie", F.octet_length("text").cast("long").alias("size")).distinct()
-    earliest = first.where("n > 1").select("h", "c", F.col("rank").alias("r"), F.col("tie").alias("t"), F.col("place").alias("p"))
-    again = rows.join(earliest, ["h", "c"]).where("not (rank = r and tie = t and place = p)").join(sizes, ["rank", "tie"])
+    earliest = first.where("n > 1").select("h", "c", F.col("rank").alias("r"), F.col("at").alias("a"))
+    again = rows.join(earliest, ["h", "c"]).where("not (rank = r and at = a)").select("rank", tie.alias("tie"), place.alias("place")).join(sizes, ["rank", "tie"])
     whole = again.select("rank", "tie", F.greatest(F.col("place") - reach, F.lit(0)).alias("start"), F.least(F.col("place") + length, F.col("size")).alias("end")).where(F.col("end") - F.col("start") >= length)
-    several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    open_ = first.join(several, "h").groupBy("rank", "tie").agg(F.collect_list(F.struct("h", "place", F.col("contexts").alias("m"))).alias("at"))
+    several = cut(first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"), release=True)
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "m", "rank", "tie", "place", "left", "right"]
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+        names = ["h", "rank", "tie", "place", "left", "right"]
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
         for batch in batches:
             out = []
-            for text, rank, tie, at in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("rank", "tie", "at")), strict=True):
-                out += [(x["h"], x["m"], rank, tie, x["place"], *context(text, x["place"], length, gram)) for x in at]
+            for text, rank, tie, open_ in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("rank", "tie", "open")), strict=True):
+                out += [(x["h"], rank, tie, x["place"], *context(text, x["place"], length, gram)) for x in open_]
                 if len(out) > 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    texts = keyed.join(open_, ["rank", "tie"]).select("rank", "tie", "text", "at")
-    contexts = texts.mapInArrow(bytes_of, "h long, m long, rank long, tie long, place long, left binary, right binary").dropDuplicates(["h", "rank", "tie", "place"])
-    contexts = cut(contexts)
-    few = _sorted_groups(contexts.where(F.col("m") <= limit).drop("m"), length)
-    many = _large_groups(contexts.where(F.col("m") > limit).drop("m"), length)
-    return whole.union(few).union(many)
+    def contexts(of: DataFrame) -> DataFrame:
+        wanted = first.join(of.select("h"), "h").groupBy("rank", tie.alias("tie")).agg(F.collect_list(F.struct("h", place.alias("place"))).alias("open"))
+        return keyed.join(wanted, ["rank", "tie"]).select("rank", "tie", "text", "open").mapInArrow(bytes_of, "h long, rank long, tie long, place long, left binary, right binary")
+
+    found = copied.union(whole).union(_sorted_groups(contexts(several.where(F.col("contexts") <= limit)), length))
+    large = several.where(F.col("contexts") > limit)
+    return found if large.isEmpty() else found.union(_large_groups(contexts(large), length))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, doc_id, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (the remaining bytes) of each document."""
-    marks = removals(docs, length, gram, limit).groupBy("rank", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    marks = cut(removals(docs, length, gram, limit).groupBy("rank", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")), release=True)
     columns = [c for c in dict.fromkeys((*keep, "doc_id")) if c != "text"]
-    base = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__rank"), F.xxhash64(text_of()).alias("__tie"), text_of().alias("__text"))
+    base = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__rank"), tie_of().alias("__tie"), text_of().alias("__text"))
     marks = marks.select(F.col("rank").alias("__rank"), F.col("tie").alias("__tie"), F.col("marks").alias("__marks"))
     both = base.join(marks, ["__rank", "__tie"], "left").select(*columns, F.col("__text").alias("text"), F.col("__marks").alias("marks"))
     kept_fields = [both.schema[c] for c in columns]
