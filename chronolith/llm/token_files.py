@@ -57,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, row_grou
                 keep.clear(), blobs.clear()
                 return out
 
-            for i, blob in enc.stream(batch.column("text").to_pylist()):
+            for i, blob in enc.stream(batch.column("text")):
                 keep.append(i)
                 blobs.append(blob + end)
                 size += len(blob) // 4 + 1

@@ -11,56 +11,79 @@ import functools
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a generation of a cache, about 150 bytes each.
-GENERATION = 250_000
-#: Characters encoded at once.
-BATCH_CHARS = 2_000_000
+GENERATION = 300_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 16_000_000
 
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 MARK = "^"
 # Printable ASCII and Latin letters, but for those with which libraries differ on classes or lower case.
 _LATIN = " -~¡-±´-¸º»¿-įı-ſ"
-_ODD_SPACED = re.compile(f"[ \\n][ \\n]|[^\\n{_LATIN}]")
-_ODD_WORDS = re.compile(f"[^\\t\\n\\r{_LATIN}]")
+_ODD_SPACED = f"[ \\n][ \\n]|^[ \\n]|[ \\n]$|[^\\n{_LATIN}]"
+_ODD_WORDS = f"[^\\t\\n\\r{_LATIN}]"
+#: Marks a text's first chunk, and a chunk that follows another without a space.
+_START, _ON = "\x01", "\x02"
+#: Texts where a full stop or comma is not a piece of its own.
+_CLUSTERED = r"[.,][^\s\p{L}\p{N}]|[^\s\p{L}\p{N}][.,]|(?:^|\s)[.,]"
 #: Pieces of a lower-cased chunk of those characters.
 _SPACED_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def _word_pieces(chunk: str) -> list[str]:
+    return [chunk] if chunk.isalpha() else _PIECES.findall(chunk)
+
+
+def _spaced_pieces(chunk: str) -> list[str]:
+    return [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else _SPACED_PIECES.findall(chunk)
+
+
+def _apart(texts: pa.Array, lead: str) -> pa.Array:
+    """The texts with a lead before each full stop and comma, where those are pieces of their own: fewer distinct chunks."""
+    spaced = pc.replace_substring(pc.replace_substring(texts, ".", lead + "."), ",", lead + ",")
+    return pc.if_else(pc.match_substring_regex(texts, _CLUSTERED), texts, spaced)
+
+
+def _word_lists(texts: pa.Array) -> pa.Array:
+    return pc.ascii_split_whitespace(_apart(pc.utf8_lower(texts), " "))
+
+
 class Cache:
-    """ids by key; holds the keys used most lately, in two generations."""
+    """ids by key. Keys that were asked for more than once at a time are held, the latest of them in two generations."""
 
     def __init__(self) -> None:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def joined(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The ids of each key; make() gives those of the ones not held."""
+    def joined(self, keys: list[str], often: list[bool], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of each of the distinct keys; make() gives those of the ones not held."""
         found = list(map(self.new.get, keys))
-        if None in found:
-            gaps = [i for i, ids in enumerate(found) if ids is None]
-            lacking = dict.fromkeys([keys[i] for i in gaps])
-            fresh = []
-            for key in lacking:
-                if (ids := self.old.get(key)) is None:
-                    fresh.append(key)
-                else:
-                    lacking[key] = ids
-            lacking.update(zip(fresh, make(fresh) if fresh else (), strict=True))
-            for i in gaps:
-                found[i] = lacking[keys[i]]
-            if len(self.new) + len(lacking) > GENERATION:
-                self.old, self.new = self.new, {}
-            self.new.update(lacking)
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if self.old and gaps:
+            for i, ids in zip(gaps, map(self.old.get, [keys[i] for i in gaps]), strict=True):
+                if ids is not None:
+                    found[i] = self.new[keys[i]] = ids
+            gaps = [i for i in gaps if found[i] is None]
+        if gaps:
+            for i, ids in zip(gaps, make([keys[i] for i in gaps]), strict=True):
+                found[i] = ids
+            self.new.update({keys[i]: found[i] for i in gaps if often[i]})
+        if len(self.new) > GENERATION:
+            self.old, self.new = self.new, {}
         return found
 
 
 class Encoder:
-    """encode() gives each text's ids as little-endian unsigned 32-bit bytes; null has none.
+    """encode() gives the ids of each text of an array as little-endian unsigned 32-bit bytes; null has none.
 
     Strings of special tokens in a text are ordinary text (literal_specials) unless told otherwise.
     """
@@ -78,27 +101,38 @@ class Encoder:
         steps = [x.get("type") for x in pre.get("pretokenizers", [])]
         drops_space = steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed"
         if plain_bytes and not normal:
-            self.encode = self._encode_spaced
+            self.odd, self.chunks, self.make = _ODD_SPACED, self._spaced_lists, self._encode_placed
             self._ready_for_spaced()
         elif drops_space and [x.get("type") for x in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix"):
-            self.encode = self._encode_words
+            self.odd, self.chunks, self.make = _ODD_WORDS, _word_lists, self._encode_chunks
             self._ready_for_words(spec)
         else:
-            self.encode = self._library
-        self.bare, self.led, self.pieces = Cache(), Cache(), Cache()
+            self.odd = None
+        self.whole, self.pieces = Cache(), Cache()
 
     def _library(self, texts: list[str | None]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _split(self, texts: list[str | None], odd: Callable[[str], bool]) -> tuple[dict[int, str], list[str]]:
-        """Texts for the library as they are, by place, and all texts with those left empty."""
-        aside = {i: t for i, t in enumerate(texts) if t and odd(t)}
-        return aside, ["" if i in aside else t or "" for i, t in enumerate(texts)]
-
-    def _whole(self, out: list[bytes], aside: dict[int, str]) -> list[bytes]:
-        for i, ids in zip(aside, self._library(list(aside.values())), strict=True):
-            out[i] = ids
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each distinct chunk of the texts is looked up once; ids are then gathered by place."""
+        if self.odd is None:
+            return self._library(texts.to_pylist())
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
+        lists = self.chunks(pc.fill_null(pc.if_else(odd, "", texts), ""))
+        coded = lists.flatten().dictionary_encode()
+        often = (np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)) > 1).tolist()
+        found = self.whole.joined(coded.dictionary.to_pylist(), often, self.make)
+        ends = np.zeros(len(found) + 1, dtype=np.int32)
+        np.cumsum(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4, out=ends[1:])
+        held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        taken = held.take(coded.indices)
+        ends, all_ids = taken.offsets.to_numpy(), taken.values.to_numpy()
+        at = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = [all_ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        aside = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        for i, blob in zip(aside.tolist(), self._library(texts.take(pa.array(aside)).to_pylist()), strict=True):
+            out[i] = blob
         return out
 
     # Texts that lose their white space: chunks between white space, taken apart further where they are new.
@@ -128,29 +162,14 @@ class Encoder:
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._from_pieces(chunks, chunks, lambda c: _PIECES.findall(c.lower()), self._encode_pieces)
+        return self._from_pieces(chunks, chunks, _word_pieces, self._encode_pieces)
 
     def _from_pieces(self, chunks: list[str], texts: list[str], cut: Callable[[str], list[str]], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         plain = [cut(t) if self.literal_specials or "<|" not in c else None for c, t in zip(chunks, texts, strict=True)]
-        flat = self.pieces.joined([p for pieces in plain if pieces for p in pieces], make)
-        out, at = [], 0
-        for text, pieces in zip(texts, plain, strict=True):
-            if pieces is None:
-                out += self._library([text])
-            else:
-                out.append(b"".join(flat[at : at + len(pieces)]))
-                at += len(pieces)
-        return out
-
-    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
-        aside, plain = self._split(texts, lambda t: _ODD_WORDS.search(t) is not None)
-        split = [t.split() for t in plain]
-        flat = self.bare.joined([w for words in split for w in words], self._encode_chunks)
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(flat[at : at + len(words)]))
-            at += len(words)
-        return self._whole(out, aside)
+        counts = Counter(chain.from_iterable(filter(None, plain)))
+        distinct = list(counts)
+        ids_of = dict(zip(distinct, self.pieces.joined(distinct, [n > 1 for n in counts.values()], make), strict=True))
+        return [self._library([text])[0] if pieces is None else b"".join([ids_of[p] for p in pieces]) for text, pieces in zip(texts, plain, strict=True)]
 
     # Texts whose pieces keep the space before them: a chunk at a line's start, and chunks led by a space.
 
@@ -184,32 +203,30 @@ class Encoder:
         return [held[p] for p in pieces]
 
     def _encode_spaced_chunks(self, chunks: list[str], lead: str) -> list[bytes]:
-        return self._from_pieces(chunks, [lead + c for c in chunks], _SPACED_PIECES.findall, self._encode_spaced_pieces)
-
-    def _encode_spaced(self, texts: list[str | None]) -> list[bytes]:
-        aside, plain = self._split(texts, lambda t: _ODD_SPACED.search(t) is not None or t[0] in " \n" or t[-1] in " \n")
-        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in plain]
-        heads = iter(self.bare.joined([words[0] for lines in split for words in lines], lambda c: self._encode_spaced_chunks(c, "")))
-        flat = self.led.joined([w for lines in split for words in lines for w in words[1:]], lambda c: self._encode_spaced_chunks(c, " "))
-        out, at = [], 0
-        for lines in split:
-            parts = []
-            for words in lines:
-                end = at + len(words) - 1
-                parts.append(next(heads) + b"".join(flat[at:end]))
-                at = end
-            out.append(self.newline.join(parts))
-        return self._whole(out, aside)
-
-    def stream(self, texts: list[str | None]) -> Iterator[tuple[int, bytes]]:
-        """(place, ids) of each text; at most about BATCH_CHARS characters, or one longer text, are in work at once."""
+        return self._from_pieces(chunks, [lead + c for c in chunks], _spaced_pieces, self._encode_spaced_pieces)
+
+    def _spaced_lists(self, texts: pa.Array) -> pa.Array:
+        return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_START, _apart(texts, f" {_ON}"), ""), "\n", " \n"), " ")
+
+    def _encode_placed(self, chunks: list[str]) -> list[bytes]:
+        """Chunks as lists have them: a line's first begins with the line break, others without a space before them with a mark."""
+        bare = "\n" + _START + _ON
+        heads = [i for i, c in enumerate(chunks) if c[0] in bare]
+        led = [i for i, c in enumerate(chunks) if c[0] not in bare]
+        out: list[bytes] = [b""] * len(chunks)
+        for i, ids in zip(heads, self._encode_spaced_chunks([chunks[i][1:] for i in heads], ""), strict=True):
+            out[i] = self.newline + ids if chunks[i][0] == "\n" else ids
+        for i, ids in zip(led, self._encode_spaced_chunks([chunks[i] for i in led], " "), strict=True):
+            out[i] = ids
+        return out
+
+    def stream(self, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        """(place, ids) of each text; at most about BATCH_BYTES, or one longer text, are in work at once."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
         at = 0
         while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
-                chars += len(texts[end] or "")
-                end += 1
-            yield from enumerate(self.encode(texts[at:end]), at)
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, "right")))
+            yield from enumerate(self.encode(texts.slice(at, end - at)), at)
             at = end
 
 
