@@ -9,9 +9,8 @@ more. Classes are connected components of links.
 
 Texts with the same words are one node, by partial aggregation, before anything else. In a bucket (texts with one
 sketch) every node is compared with the bucket's leader, not with every other. Nodes that are not linked to their
-leader's class are dealt again: first with a leader of their own, then in buckets that are refined by one more sketch
-each round, until no bucket holds two classes that were not compared, or every sketch has been used. No bucket is ever
-in one task, and no links are collected.
+leader are dealt again: first with a leader of their own, then in buckets that are refined by one more sketch each time. Two similar texts share most of their sketches, so a link is lost only if in every bucket that they share a
+third text, similar to neither, leads each time. No bucket is ever in one task, and no links are collected.
 
 Defined results: a null text counts as empty; texts without words are one class. A text of fewer than five words is one
 shingle. Null doc_ids are not compared: their class is null. Rows with one doc_id are nodes by their words; a doc_id
@@ -33,6 +32,8 @@ from pyspark.sql import functions as F
 from chronolith.llm._common import cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
+#: How often nodes that are not linked to their leader are dealt again.
+TURNS = 2
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
 BATCH_WORDS, KEPT_WORDS = 400_000, 500_000
 
@@ -300,7 +301,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES, turns: int = TURNS) -> DataFrame:
     """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (verified links of its words) and
     first (whether it is the one of its class that stays) of each document."""
     known = docs.where("doc_id is not null")
@@ -313,27 +314,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -
     texts = known.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted.select("first_doc").distinct(), "first_doc", "left_semi")
     words = cut(_word_table(texts).groupBy("node").agg(F.first("words").alias("words")))
     pairs = cut(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links, labels, tried, waiting = None, None, pairs, members.select("key", "i", "node", "leader")
-    for turn in range(count):
+    links, tried, waiting = None, pairs, members.select("key", "i", "node", "leader")
+    for turn in range(turns + 1):
         fresh = cut(verified(pairs, words, least))
-        if turn and fresh.isEmpty() and pairs.isEmpty():
+        links = fresh if links is None else links.union(fresh)
+        if turn == turns:
             break
-        links = fresh if links is None else cut(links.union(fresh))
-        labels = components(links)
-        # Nodes that are not in their leader's class are dealt again.
-        own = labels.select("node", F.col("label").alias("own"))
-        its = labels.select(F.col("node").alias("leader"), F.col("label").alias("its"))
-        apart = waiting.join(own, "node", "left").join(its, "leader", "left").select("key", "i", "node", F.coalesce("own", "node").alias("label"), F.coalesce("its", "leader").alias("its")).where("label <> its")
+        # Nodes without a link to their leader are dealt again.
+        linked = links.select(F.col("a").alias("leader"), F.col("b").alias("node"))
+        apart = waiting.where("node <> leader").join(linked, ["leader", "node"], "left_anti").select("key", "i", "node")
         if turn:
             further = nodes.select("node", "sketches")
-            apart = apart.join(further, "node").withColumn("key", F.xxhash64("key", F.element_at("sketches", F.pmod(F.col("i") + turn, F.lit(count)) + 1)))
-        apart = cut(apart.select("key", "i", "node", "label"))
-        mixed = apart.groupBy("key").agg(F.min("node").alias("leader"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "leader")
-        waiting = cut(apart.join(mixed, "key").select("key", "i", "node", "leader"))
-        pairs = cut(waiting.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        if waiting.isEmpty():
-            break
-        tried = cut(tried.union(pairs))
+            apart = apart.join(further, "node").select(F.xxhash64("key", F.element_at("sketches", F.pmod(F.col("i") + turn, F.lit(count)) + 1)).alias("key"), "i", "node")
+        apart = cut(apart)
+        again = apart.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
+        waiting = apart.join(again, "key").select("key", "i", "node", "leader")
+        pairs = waiting.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+    labels = components(cut(links))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "top").join(labels, "node", "left").join(ends, "node", "left").select("node", "top", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = placed.groupBy("label").agg(F.min("top").alias("class_top"))
