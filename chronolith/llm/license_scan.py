@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm._common import text_of
+from chronolith.llm._common import cut, text_of
 
 #: A word, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,31 +74,50 @@ def block_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
+class Index:
+    """Templates with their tokens in the global order of a table, and the prefix entries that blocks are looked up in."""
+
+    def __init__(self, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD):
+        sets = [(label, template_words(wording)) for label, wording in templates]
+        vocabulary = sorted({w for _, words in sets for w in words})
+        counts = block_counts(docs, vocabulary)
+        self.order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+        rank = {w: i for i, w in enumerate(self.order)}
+        self.entries = []  # (token, label, place in the template, words of the template, least overlap)
+        for label, words in sets:
+            words = sorted(words, key=rank.__getitem__)
+            least = math.ceil(threshold * len(words) - 1e-9)
+            self.entries += [(w, label, i, words, least) for i, w in enumerate(words[: len(words) - least + 1])]
+        self.prefix = sorted({e[0] for e in self.entries})
+        self.least = min(e[4] for e in self.entries)
+
+    def candidates(self, text: Column, words: Column) -> Column:
+        """(place, block) of the lines of a lowered text with these words that hold a prefix token; null if none can."""
+        placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("block")))
+        return F.when(F.arrays_overlap(words, F.lit(self.prefix)), F.filter(placed, lambda x: F.arrays_overlap(tokens(x["block"]), F.lit(self.prefix))))
+
+    def table(self, spark) -> DataFrame:
+        rows = [F.struct(F.lit(w).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(words).alias("words"), F.lit(least).alias("least")) for w, label, i, words, least in self.entries]
+        return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+
+    def join(self, blocks: DataFrame, *keys: str) -> DataFrame:
+        """keys, label and containment of every block (column block, lowered) that meets the threshold."""
+        # The global order restricted to template tokens is that of the constant array.
+        held = blocks.select(*keys, F.array_intersect(F.lit(self.order), tokens(F.col("block"))).alias("held")).where(F.size("held") >= self.least)
+        found = held.select("*", F.posexplode("held").alias("at", "token")).where(F.col("token").isin(self.prefix))
+        joined = found.join(F.broadcast(self.table(blocks.sparkSession)), "token")
+        left = F.least(F.size("words") - F.col("i"), F.size("held") - F.col("at"))
+        common = F.size(F.array_intersect("words", "held"))
+        exact = joined.where((F.size("held") >= F.col("least")) & (left >= F.col("least"))).select(*keys, "label", "least", common.alias("common"), (common / F.size("words")).alias("containment"))
+        return exact.where("common >= least").select(*keys, "label", "containment").distinct()
+
+
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, version (hash of the text), place (of the line), label and containment of every block that meets the threshold."""
-    sets = [(label, template_words(wording)) for label, wording in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
-    counts = block_counts(docs, vocabulary)
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    entries = []  # (token, label, place in the template, words of the template, least overlap)
-    for label, words in sets:
-        words = sorted(words, key=rank.__getitem__)
-        least = math.ceil(threshold * len(words) - 1e-9)
-        entries += [(w, label, i, words, least) for i, w in enumerate(words[: len(words) - least + 1])]
-    prefix = sorted({e[0] for e in entries})
+    index = Index(docs, templates, threshold)
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), lowered(text_of()).alias("text"))
-    texts = texts.where(F.arrays_overlap(tokens(F.col("text")), F.lit(prefix)))
-    blocks = texts.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("place", "block"))
-    # The global order restricted to template tokens is that of the constant array.
-    held = blocks.select("doc_id", "version", "place", F.array_intersect(F.lit(order), tokens(F.col("block"))).alias("held")).where(F.size("held") >= min(e[4] for e in entries))
-    found = held.select("*", F.posexplode("held").alias("at", "token")).where(F.col("token").isin(prefix))
-    side = F.explode(F.array(*[F.struct(F.lit(w).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(words).alias("words"), F.lit(least).alias("least")) for w, label, i, words, least in entries]))
-    index = F.broadcast(docs.sparkSession.range(1).select(side.alias("e")).select("e.*"))
-    joined = found.join(index, "token").where((F.size("held") >= F.col("least")) & (1 + F.least(F.size("words") - F.col("i"), F.size("held") - F.col("at")) - 1 >= F.col("least")))
-    common = F.size(F.array_intersect("words", "held"))
-    exact = joined.select("doc_id", "version", "place", "label", "least", common.alias("common"), (common / F.size("words")).alias("containment")).where("common >= least")
-    return exact.select("doc_id", "version", "place", "label", "containment")
+    blocks = texts.select("doc_id", "version", F.explode(index.candidates(F.col("text"), tokens(F.col("text")))).alias("b")).select("doc_id", "version", "b.*")
+    return index.join(blocks, "doc_id", "version", "place")
 
 
 def phrase_starts(parts: list[str]) -> Column:
@@ -116,9 +135,8 @@ def phrase_starts(parts: list[str]) -> Column:
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest containment of a match) per document."""
-    by_doc = matches(docs, templates, threshold).groupBy("doc_id", "version").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
-    by_doc = by_doc.select(F.col("doc_id").alias("m_doc"), F.col("version").alias("m_version"), "found", "score")
-    base = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), tokens(lowered(text_of())).alias("words"))
+    index = Index(docs, templates, threshold)
+    base = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), lowered(text_of()).alias("text")).select("doc_id", "version", "text", tokens(F.col("text")).alias("words"))
     # A phrase is known by the place of its last word, so only those places are looked at.
     last_words = sorted({p.split()[-1] for p, _ in PHRASES})
     spans = base.withColumn("ends", F.when(F.arrays_overlap("words", F.lit(last_words)), F.filter(F.transform("words", lambda x, i: F.when(x.isin(last_words), i)), lambda i: i.isNotNull())))
@@ -128,10 +146,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     names = [f"starts{n}" for n in range(len(PHRASES))]
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(names, PHRASES, strict=True)]), lambda x: x.isNotNull())))
     places = F.concat(*names)
-    own = spans.select(
-        "doc_id", "version", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), labels.alias("base"),
-    )
+    # Texts are read once more than for the counts; what is kept of each is a few numbers and its candidate lines.
+    own = cut(spans.select(
+        "doc_id", "version", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"), labels.alias("base"), index.candidates(F.col("text"), F.col("words")).alias("lines"),
+    ))
+    blocks = own.select("doc_id", "version", F.explode("lines").alias("b")).select("doc_id", "version", "b.block")
+    by_doc = index.join(blocks, "doc_id", "version").groupBy("doc_id", "version").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))
+    by_doc = by_doc.select(F.col("doc_id").alias("m_doc"), F.col("version").alias("m_version"), "found", "score")
     both = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("version") == F.col("m_version")), "left")
     every = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
