@@ -43,8 +43,10 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     done = df.checkpoint(eager=True)
     if release:
         del df  # it refers to the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the session refers to its last job until it runs another
+            spark.range(1).count()
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return done
 
 
