@@ -35,7 +35,7 @@ SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
 #: How often nodes that are not linked to their leader are dealt again.
 TURNS = 2
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
-BATCH_WORDS, KEPT_WORDS = 400_000, 500_000
+BATCH_WORDS, KEPT_WORDS = 200_000, 200_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _PLACE = np.uint64((1 << 24) - 1)

@@ -39,7 +39,7 @@ LENGTH, GRAM = 100, 24
 #: Distinct contexts of an anchor that one suffix array may hold.
 LIMIT = 1000
 #: Bytes whose anchors are sought at once; a longer text is taken in overlapping pieces.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 24
 

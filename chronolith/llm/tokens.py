@@ -20,9 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a generation of a cache, about 150 bytes each.
-GENERATION = 250_000
+GENERATION = 200_000
 #: Bytes of text encoded at once.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 MARK = "^"
