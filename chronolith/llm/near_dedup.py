@@ -7,10 +7,13 @@ shingles they share and falls where their order differs. Texts that agree in a s
 link if a banded alignment of the words shows an edit similarity (1 - edits / words of the longer) of ``SIMILARITY`` or
 more. Classes are connected components of links.
 
-Texts with the same words are one node, by partial aggregation, before anything else. In a bucket (texts with one
-sketch) every node is compared with the bucket's leader, not with every other. Nodes that are not linked to their
-leader are dealt again: first with a leader of their own, then in buckets that are refined by one more sketch each time. Two similar texts share most of their sketches, so a link is lost only if in every bucket that they share a
-third text, similar to neither, leads each time. No bucket is ever in one task, and no links are collected.
+Texts with the same words are one node, by partial aggregation, before anything else. Buckets (texts with one sketch)
+with the same nodes are one bucket. In rounds, leaders of each bucket are compared with all its nodes of other classes
+and then leave it: one leader at first, then the one of most links, then a growing number. A bucket is
+done when what is left of it is one class, so any two texts of a bucket end in one class or were compared: classes are
+those of comparing every pair of every bucket. Texts that are too unequal in length to be a link are not compared. A
+bucket of n texts that are alike in nothing but a sketch costs n * n / 2 comparisons. No bucket is ever in one task,
+every round is materialised, no links are collected, and rounds do not broadcast, as what is broadcast stays in the driver.
 
 Defined results: a null text counts as empty; texts without words are one class. A text of fewer than five words is one
 shingle. Null doc_ids are not compared: their class is null. Rows with one doc_id are nodes by their words; a doc_id
@@ -26,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm._common import cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
-#: How often nodes that are not linked to their leader are dealt again.
-TURNS = 2
+#: By how much the leaders of a bucket grow from the third round on.
+MORE_LEADERS = 64
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
 BATCH_WORDS, KEPT_WORDS = 200_000, 200_000
 
@@ -283,7 +286,7 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
             keep = pa.array([similar(x, y, least) for x, y in zip(*seqs, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(aligned, "a long, b long")
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(aligned, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -291,48 +294,67 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        seen = both.hint("merge").join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        lower = labels.hint("merge").join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         # A label is a node as well, so its own label is as good.
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = cut(lower.join(hop, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        after = cut(lower.hint("merge").join(hop, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = after.select("node", "label")
         if after.where("was <> label").isEmpty():
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES, turns: int = TURNS) -> DataFrame:
+def _no_longer(a: str, b: str, least: float) -> Column:
+    """Whether two numbers of words are near enough for a link."""
+    longer = F.greatest(a, b)
+    return longer - F.least(a, b) <= F.floor((1 - least) * longer + 1e-9)
+
+
+def _linked(members: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b), and node and label, the same for all nodes of a class, of the nodes of members (key, node, n_words)."""
+    labels = cut(members.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")))
+    links, tried, left, turn = None, None, members, 0
+    while True:
+        now = left.hint("merge").join(labels, "node")
+        chance = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", F.struct("degree", "node")).alias("best")).where("low <> high")
+        share = 0.0 if turn < 2 else float(MORE_LEADERS ** (turn - 1))
+        now = cut(now.hint("merge").join(open_.select("key", "n", "best"), "key").select("key", "node", "n_words", "label", ((F.col("node") == F.col("best")) | (chance * F.col("n") < share)).alias("leads")))
+        if now.isEmpty():
+            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), labels.select("node", "label")
+        leaders = now.where("leads").select("key", F.col("node").alias("x"), F.col("label").alias("its"), F.col("n_words").alias("size"))
+        # Of two leaders the lesser is compared with the other.
+        apart = (F.col("label") != F.col("its")) & (~F.col("leads") | (F.col("x") < F.col("node"))) & _no_longer("n_words", "size", least)
+        pairs = now.hint("merge").join(leaders, "key").where(apart).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.hint("merge").join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        fresh = cut(verified(pairs, words, least))
+        links = fresh if links is None else links.union(fresh)
+        left, turn = now.where("not leads").select("key", "node", "n_words"), turn + 1
+        if fresh.isEmpty():
+            continue
+        # Classes that a fresh link joins become one.
+        of = labels.select("node", "label")
+        joined = fresh.hint("merge").join(of.toDF("a", "la"), "a").hint("merge").join(of.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("into"))
+        more = fresh.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
+        labels = cut(labels.hint("merge").join(merged, "label", "left").hint("merge").join(more, "node", "left").select("node", F.coalesce("into", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")), release=True)
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
     """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (verified links of its words) and
     first (whether it is the one of its class that stays) of each document."""
     known = docs.where("doc_id is not null")
     signed = cut(signatures(known, count))
-    nodes = cut(signed.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("top"), F.first("sketches").alias("sketches")).select("node", "top", F.col("top.doc_id").alias("first_doc"), "sketches"))
-    keys = nodes.select("node", F.posexplode("sketches").alias("i", "s")).select("node", "i", F.xxhash64("i", "s").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = cut(keys.join(shared, "key"))
+    nodes = cut(signed.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("top"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words")).select("node", "top", F.col("top.doc_id").alias("first_doc"), "n_words", "sketches"))
+    keys = nodes.select("node", "n_words", F.posexplode("sketches").alias("i", "s")).select("node", "n_words", F.xxhash64("i", "s").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("n > 1")
+    shared = shared.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
+    members = cut(keys.join(shared, "key").select("key", "node", "n_words"))
     wanted = members.select("node").distinct().join(nodes.select("node", "first_doc"), "node")
     texts = known.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted.select("first_doc").distinct(), "first_doc", "left_semi")
     words = cut(_word_table(texts).groupBy("node").agg(F.first("words").alias("words")))
-    pairs = cut(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links, tried, waiting = None, pairs, members.select("key", "i", "node", "leader")
-    for turn in range(turns + 1):
-        fresh = cut(verified(pairs, words, least))
-        links = fresh if links is None else links.union(fresh)
-        if turn == turns:
-            break
-        # Nodes without a link to their leader are dealt again.
-        linked = links.select(F.col("a").alias("leader"), F.col("b").alias("node"))
-        apart = waiting.where("node <> leader").join(linked, ["leader", "node"], "left_anti").select("key", "i", "node")
-        if turn:
-            further = nodes.select("node", "sketches")
-            apart = apart.join(further, "node").select(F.xxhash64("key", F.element_at("sketches", F.pmod(F.col("i") + turn, F.lit(count)) + 1)).alias("key"), "i", "node")
-        apart = cut(apart)
-        again = apart.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-        waiting = apart.join(again, "key").select("key", "i", "node", "leader")
-        pairs = waiting.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-    labels = components(cut(links))
+    links, labels = _linked(members, words, least)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "top").join(labels, "node", "left").join(ends, "node", "left").select("node", "top", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = placed.groupBy("label").agg(F.min("top").alias("class_top"))

@@ -330,6 +330,36 @@ def test_near_dedup(spark, docs, corpus, nothing):
     assert near_dedup.classes(nothing).collect() == []
 
 
+def test_near_dedup_compares_all_of_a_bucket(spark):
+    """Hubs with copies that are no links of each other, and unrelated texts that share a passage, against all pairs of each bucket."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(12):
+        hub = [f"h{rng.randrange(99999)}" for _ in range(60)]
+        texts.append(hub)
+        for _ in range(9):
+            copy = list(hub)
+            for k in rng.sample(range(60), 11):
+                copy[k] = f"c{rng.randrange(99999)}"
+            texts.append(copy)
+    passage = [f"p{k}" for k in range(40)]
+    for _ in range(15):
+        one = passage + [f"q{rng.randrange(99999)}" for _ in range(20)]
+        texts += [one, [*one[:50], *(f"z{rng.randrange(99999)}" for _ in range(9))]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    hashes = near_dedup.WordHashes()
+    words = [hashes(t) for _, t in rows]
+    keys = [set(enumerate(s.tolist())) for s in near_dedup.sketches(words)]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and keys[i] & keys[j] and near_dedup.similar(words[i], words[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+
+
 def test_topk(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(50)]
