@@ -1,12 +1,14 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by hashing of lines and sentences.
 
-A text is cut into lines; a line is normalised (letters lower-cased, runs of characters that are neither letters nor
-digits made one space) and digested. Digests are grouped globally: the
-occurrence with the smallest (doc_id, place) stays and every later one is removed, with its code-point offsets in the
-original text retained. Lines with fewer than ``min_words`` words are never removed by themselves, since they repeat by
-chance; one that stands between two removed lines is removed with them, as it is part of a repeated passage.
+A text is cut into lines, its lines into sentences, and sentences that run over line breaks (up to a blank line) are units
+as well. A unit is normalised (letters lower-cased, runs of characters that are neither letters nor digits made one space)
+and digested. Digests are grouped globally, whatever unit they are of: the occurrence with the smallest (doc_id, place)
+stays and every later one is removed, with its code-point offsets in the original text retained. Units with fewer than
+``min_words`` words are never removed by themselves, since they repeat by chance; what stands between two removed units
+and has fewer words than that in each line is removed with them, as it is part of a repeated passage. The sentences that
+a repeated passage begins and ends within stay.
 
-The first occurrence of a digest comes from an aggregation with partial minima, so a line that stands in a third of
+The first occurrence of a digest comes from an aggregation with partial minima, so a unit that stands in a third of
 all documents moves as one row per task. Its row is joined back by digest, which adaptive execution splits if skewed.
 
 Defined results: a null text counts as empty and has no lines removed. Null doc_ids rank last. Equal rows (same doc_id,
@@ -15,10 +17,13 @@ same text) count as one document, once. An empty table gives no rows. Extra colu
 
 from __future__ import annotations
 
+import hashlib
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,30 +32,81 @@ from chronolith.llm._common import cut, text_of
 MIN_WORDS = 5
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
+_APART = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]")
+#: Ends of sentences, and blank lines.
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’）]*")
+_BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
+
+
+def normalised(part: str) -> str:
+    return _APART.sub(" ", part.lower()).strip()
+
+
+def _long(norm: str, min_words: int) -> bool:
+    return norm.count(" ") + 1 >= min_words
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, str]]:
+    """place (of a line; -1: a sentence), start, end and normal form of the lines and sentences that are long enough."""
+    at = 0
+    for place, line in enumerate(text.split("\n")):
+        ends = [m.end() for m in _END.finditer(line)]
+        cuts = [0, *ends, len(line)]
+        norms = [normalised(line[x:y]) for x, y in zip(cuts, cuts[1:])]
+        several = sum(map(bool, norms)) > 1
+        whole = " ".join(filter(None, norms)) if several else next(filter(None, norms), "")
+        if _long(whole, min_words):
+            yield place, at, at + len(line), whole
+            if several:
+                for x, y, norm in zip(cuts, cuts[1:], norms):
+                    if _long(norm, min_words):
+                        yield -1, at + x, at + y, norm
+        at += len(line) + 1
+    # Sentences over line breaks: from one end or blank line to the next end.
+    start, blanks = 0, [m.end() for m in _BLANK.finditer(text)]
+    for m in _END.finditer(text):
+        while blanks and blanks[0] <= m.start():
+            start = max(start, blanks.pop(0))
+        part = text[start : m.end()]
+        if "\n" in part.strip():
+            norm = normalised(part)
+            if _long(norm, min_words):
+                yield -1, start + len(part) - len(part.lstrip()), m.end(), norm
+        start = m.end()
+
+
+def cells_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, version (a hash of the text), head (place of the first letter or digit), place, start, end and digest of every unit that is long enough."""
+    base = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("version"), "text")
+    names, kinds = ["head", "place", "start", "end"], [pa.int32()] * 4
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns, digests = [], [[], [], [], []], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for place, start, end, norm in units(text, min_words):
+                    rows.append(i)
+                    for column, x in zip(columns, (_WORD.search(text, start).start(), place, start, end), strict=True):
+                        column.append(x)
+                    digests.append(hashlib.sha256(norm.encode("utf-8", "surrogatepass")).digest()[:16])
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("version").take(at), *map(pa.array, columns, kinds), pa.array(digests, pa.binary())], names=["doc_id", "version", *names, "digest"])
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, version (a hash of the text), place and digest (null for short lines) of every line."""
-    text = text_of()
-    base = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n", -1).alias("lines"))
-    cells = base.select("doc_id", "version", F.posexplode("lines").alias("place", "line"))
-    norm = cells.select("doc_id", "version", "place", normalised(F.col("line")).alias("norm"))
-    words = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "))) + 1
-    digest = F.when(words >= min_words, F.unhex(F.substring(F.sha2("norm", 256), 1, 32)))
-    return norm.select("doc_id", "version", "place", digest.alias("digest"))
+    key = docs.schema["doc_id"].dataType
+    fields = [T.StructField("doc_id", key), T.StructField("version", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in names), T.StructField("digest", T.BinaryType())]
+    return base.mapInArrow(made, T.StructType(fields))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, text (what is kept), n_lines, n_removed, n_removed_chars and removed: its removed
-    lines as (start, length, first_doc), in code points of the original text; first_doc is null for short lines between."""
-    cells = lines(docs, min_words).where("digest is not null")
-    owner = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "place")
+    """One row per document: doc_id, text (what is kept), n_lines, n_removed, n_removed_chars and removed: its removed lines
+    and parts of lines as (start, length, first_doc), in code points of the original text; first_doc is null for what is short and stands between."""
+    cells = cells_of(docs, min_words)
+    owner = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version", "head")
     first = cells.groupBy("digest").agg(F.min(owner).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = cut(first.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.place").alias("first_place")))
-    own = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("place") == F.col("first_place"))
-    hits = cells.join(first, "digest").where(~own).groupBy("doc_id", "version").agg(F.collect_set(F.struct("place", "first_doc")).alias("hits"))
+    first = cut(first.select("digest", F.col("first.doc_id").alias("first_doc"), F.col("first.version").alias("first_version"), F.col("first.head").alias("first_head")))
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("head") == F.col("first_head"))
+    hits = cells.join(first, "digest").where(~own).groupBy("doc_id", "version").agg(F.collect_set(F.struct("place", "start", "end", "first_doc")).alias("hits"))
     hits = hits.select(F.col("doc_id").alias("hit_doc"), F.col("version").alias("hit_version"), "hits")
     base = docs.select("doc_id", text_of().alias("text")).withColumn("version", F.xxhash64("text"))
     both = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("version") == F.col("hit_version")), "left")
@@ -64,32 +120,59 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("first_doc", kind)]))]
-            done = [(d, *removal(t, h, min_words)) for d, t, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")), strict=True)]
+            done = [(d, *removal(t, [x for x in h or () if x["place"] >= 0], min_words, [x for x in h or () if x["place"] < 0])) for d, t, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 6, kinds, strict=True)], names=schema.names)
 
     return both.select("doc_id", "text", "hits").mapInArrow(assemble, schema)
 
 
-def removal(text: str, hits: list[dict] | None, min_words: int) -> tuple[str, int, int, int, list[dict]]:
-    """What dedup() returns of a text, from its removed places."""
+def removal(text: str, hits: list[dict] | None, min_words: int, spans: list[dict] = ()) -> tuple[str, int, int, int, list[dict]]:
+    """What dedup() returns of a text, from its removed lines (by place) and sentences (by start and end)."""
     parts = text.split("\n")
     firsts = {h["place"]: h["first_doc"] for h in hits or ()}
-    gone = set(firsts)
-    waiting: list[int] = []  # short lines since the last removed one
+    starts, at = [], 0
+    for part in parts:
+        starts.append(at)
+        at += len(part) + 1
+    # What is removed of each line, as (start, end, first_doc) in the line, in order and apart.
+    gone: dict[int, list[tuple]] = {i: [(0, len(parts[i]), first)] for i, first in firsts.items()}
+    for span in sorted(spans, key=lambda x: (x["start"], -x["end"])):
+        i = bisect_right(starts, span["start"]) - 1
+        while i < len(parts) and starts[i] < span["end"]:
+            mine = gone.setdefault(i, [])
+            x, y = max(span["start"] - starts[i], mine[-1][1] if mine else 0), min(span["end"] - starts[i], len(parts[i]))
+            if x < y:
+                mine.append((x, y, span["first_doc"]))
+            i += 1
+    waiting: list[tuple] = []  # (line, start, end) of what is short, since what was last removed
     after = False
+    between: list[tuple] = []
     for i, part in enumerate(parts):
-        if i in firsts:
-            if after:
-                gone.update(waiting)
-            waiting, after = [], True
-        elif len(part.split()) < min_words:
-            waiting.append(i)
-        else:
-            waiting, after = [], False
-    removed, at = [], 0
+        at = 0
+        for x, y, _ in [*gone.get(i, ()), (len(part), len(part), None)]:
+            last = x == y == len(part) and not (y == 0 and i in firsts and at == 0)
+            if at < x or not part and i not in firsts:
+                if len(part[at:x].split()) < min_words:
+                    waiting.append((i, at, x))
+                else:
+                    waiting, after = [], False
+            if not last:
+                if after:
+                    between += waiting
+                waiting, after = [], True
+            at = y
+    for i, x, y in between:
+        gone.setdefault(i, []).append((x, y, None))
+    kept, removed = [], []
     for i, part in enumerate(parts):
-        if i in gone:
-            removed.append({"start": at, "length": len(part), "first_doc": firsts.get(i)})
-        at += len(part) + 1
-    kept = "\n".join(p for i, p in enumerate(parts) if i not in gone)
-    return kept, len(parts), len(removed), sum(r["length"] for r in removed), removed
+        mine = sorted(gone.get(i, ()), key=lambda r: r[:2])
+        removed += [{"start": starts[i] + x, "length": y - x, "first_doc": first} for x, y, first in mine if x < y or len(part) == 0]
+        rest, at = [], 0
+        for x, y, _ in mine:
+            rest.append(part[at:x])
+            at = y
+        left = "".join([*rest, part[at:]])
+        # A line of which nothing is left goes with its line break.
+        if not mine or left.strip():
+            kept.append(left)
+    return "\n".join(kept), len(parts), len(removed), sum(r["length"] for r in removed), removed

@@ -225,6 +225,23 @@ def test_line_dedup(docs, corpus, nothing):
     assert sum(len(g) for g in wanted.values()) > 20 and line_dedup.dedup(nothing).collect() == []
 
 
+def test_line_dedup_finds_passages_within_lines(spark):
+    """A passage set in the middle of other lines, broken elsewhere, and in one line: all but the sentence it begins within and a short one after that go."""
+    rng = random.Random(17)
+    sentence = lambda n: " ".join(f"w{rng.randrange(99999)}" for _ in range(n)).capitalize() + "."
+    inside = [sentence(12), sentence(3), sentence(9), sentence(20), sentence(14)]
+    own = [[sentence(rng.randint(6, 15)) for _ in range(6)] for _ in range(4)]
+    line, broken = " ".join(inside), " ".join(inside).replace(" ", "\n", 7).replace(" ", "\n", 1)
+    texts = [" ".join(own[0][:3]) + " " + line + " " + " ".join(own[0][3:]), " ".join(own[1][:3]) + " cut " + line + " " + " ".join(own[1][3:]), own[2][0] + " " + broken + " " + own[2][1], " ".join(own[3])]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["text"] == texts[0] and got[3]["text"] == texts[3] and got[0]["n_removed"] == got[3]["n_removed"] == 0
+    assert not any(s in got[1]["text"] for s in inside[2:]) and all(s in got[1]["text"] for s in own[1])
+    assert got[2]["text"].split() == " ".join(own[2][:2]).split()
+    for i in (1, 2):
+        gone = got[i]["removed"]
+        assert sum(s["length"] for s in gone) == got[i]["n_removed_chars"] and all(a["start"] + a["length"] <= b["start"] for a, b in zip(gone, gone[1:], strict=False))
+
+
 def spark_order(text):
     """Ties of doc_id go by xxhash64 of the text, as Spark has it."""
     import xxhash
