@@ -11,8 +11,9 @@ integers, so sums are exact and the same however rows are dealt. The h-th smalle
 counts by distance bin (a set number of bins, partial counts before the shuffle), never by collecting a group. DataFrame
 functions alone touch documents.
 
-Groups with fewer than ``min_group`` documents share one estimate over all such groups; if even that is smaller, none of
-its documents is rejected. A coordinate's variance is never taken to be below a floor, so that a statistic that is
+Estimates shrink: to the core of a group that of its language is added with the weight of ``PRIOR`` documents, and to that
+of a language the table's, so every document is judged, one of a small group by nearly its language's estimate, and no
+size switches from one estimate to another. A coordinate's variance is never taken to be below a floor, so that a statistic that is
 nearly constant in a group does not reject documents for a trace of it.
 
 Defined results: a null text counts as empty and fails the base rules. Equal rows get equal results. Null languages and
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from chronolith.llm._common import cut, small, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Share of a group in its core; concentration steps; smallest group with an estimate of its own.
-CORE, STEPS, MIN_GROUP = 0.75, 4, 200
+#: Share of a group in its core; concentration steps; documents that the estimate of the language, or of the table, counts for.
+CORE, STEPS, PRIOR = 0.75, 4, 30
 #: Square of the distance beyond which a document is rejected: the chi-square quantile of 1 - 1e-9 for four coordinates.
 CUT = 47.9
 #: Median of the chi-square distribution of four degrees of freedom, by which distances are rescaled.
@@ -136,8 +137,9 @@ def _by_group():
     return Window.partitionBy("grp")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The rescaled minimum-covariance-determinant estimate per group from rows of grp and coordinates."""
+def estimates(rows: DataFrame, steps: int = STEPS, above: list[DataFrame] = ()) -> DataFrame:
+    """The rescaled minimum-covariance-determinant estimate per group from rows of grp and coordinates. above: frames of grp
+    and up, the group that grp shrinks to, from the top down."""
     # Start: medians of coordinates (in sixteenths) and their median deviations; the core is what lies nearest by the largest deviation.
     medians = None
     for i in range(DIMS):
@@ -149,26 +151,48 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         core = near.join(small(cut(edge)), "grp").where(_bin("d2") <= F.col("edge"))
         sums = cut(_scatter(core))
         near = _distance(rows, _estimate(sums, F.lit(1.0)))
+    for levels in above:
+        sums = cut(_shrunk(sums, levels, [c for c in sums.columns if c != "grp"]))
+    if above:
+        near = _distance(rows, _estimate(sums, F.lit(1.0)))
     # Consistency: the median of the group's distances is that of the chi-square distribution.
     middle = _quantile_bin(near, _bin("d2"), 0.5, "middle")
     factor = F.greatest(F.pow(F.lit(2.0), (F.col("middle") + 0.5) / BINS_PER_DOUBLING - 20) / MEDIAN_CHI, F.lit(1.0))
-    return cut(_estimate(sums.join(middle, "grp"), factor))
+    scaled = sums.join(middle, "grp").withColumn("factor", factor)
+    for levels in above:
+        # The factor of a few documents says little: it is averaged with that of the group above.
+        of = scaled.select("grp", (rows_of := F.col("n").cast("double")).alias("n"), (F.col("factor") * rows_of).alias("f"))
+        of = cut(_shrunk(of, levels, ["n", "f"])).select("grp", (F.col("f") / F.col("n")).alias("factor"))
+        scaled = scaled.drop("factor").join(of, "grp")
+    return cut(_estimate(scaled, F.col("factor")).drop("factor"))
+
+
+def _shrunk(sums: DataFrame, levels: DataFrame, names: list[str]) -> DataFrame:
+    """sums of grp, n and others, where those of the groups of levels have their upper group's added as that of PRIOR documents."""
+    top = sums.select(F.col("grp").alias("up"), *[(F.col(c) * PRIOR / F.col("n")).alias(f"u_{c}") for c in names])
+    both = sums.join(small(levels), "grp", "left").join(small(cut(top)), "up", "left")
+    added = {c: F.col(c) + F.coalesce(F.col(f"u_{c}"), F.lit(0.0)) for c in names}
+    for i in range(DIMS if "s0" in names else 0):
+        for j in range(i + 1):
+            # Scatter is about each one's own mean, so that a distant group of a few documents does not widen its own estimate.
+            own, upper = F.col(f"s{i}") * F.col(f"s{j}") / F.col("n"), F.col(f"u_s{i}") * F.col(f"u_s{j}") / PRIOR
+            added[f"p{i}{j}"] = added[f"p{i}{j}"] + F.coalesce(added[f"s{i}"] * added[f"s{j}"] / added["n"] - own - upper, F.lit(0.0))
+    return both.select("grp", *[x.alias(c) for c, x in added.items()])
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, doc_id, the statistics, base_failed, kept and d2 (squared distance; null where the base rules failed or no estimate holds)."""
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, doc_id, the statistics, base_failed, kept and d2 (squared distance; null where the base rules failed)."""
     columns = tuple(dict.fromkeys((*keep, "doc_id", "lang", "source")))
     stats = statistics(docs, columns).withColumn("base_failed", base_failed())
-    group = F.to_json(F.struct("lang", "source"))
-    stats = cut(stats.select("*", group.alias("own"), *vector()))
-    sizes = stats.where(~F.col("base_failed")).groupBy("own").agg(F.count("*").alias("size"))
-    groups = sizes.select(F.col("own").alias("o"), F.when(F.col("size") >= min_group, F.col("own")).otherwise("rest").alias("grp"), "size")
-    pooled = groups.groupBy("grp").agg(F.sum("size").alias("of_group")).where(F.col("of_group") >= min_group).select(F.col("grp").alias("g"))
-    groups = small(cut(groups.join(pooled, F.col("grp") == F.col("g")).select("o", "grp")))
-    named = stats.join(groups, F.col("own") == F.col("o"), "left")
-    coordinates = ["grp", *[f"x{i}" for i in range(DIMS)]]
-    found = estimates(named.where(~F.col("base_failed") & F.col("grp").isNotNull()).select(*coordinates))
-    judged = _distance(named, found).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    group, language = F.to_json(F.struct("lang", "source")), F.concat(F.lit("lang"), F.to_json(F.struct("lang")))
+    stats = cut(stats.select("*", group.alias("grp"), language.alias("language"), *vector()))
+    good = stats.where(~F.col("base_failed"))
+    coordinates = [f"x{i}" for i in range(DIMS)]
+    groups = cut(good.select("grp", "language").distinct())
+    levels = [groups.select(F.col("language").alias("grp"), F.lit("all").alias("up")).distinct(), groups.select("grp", F.col("language").alias("up"))]
+    every = good.select(F.explode(F.array("grp", "language", F.lit("all"))).alias("grp"), *coordinates)
+    found = estimates(every, above=levels)
+    judged = _distance(stats, found).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))
     numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return judged.select(*columns, *numbers, kept.alias("kept"), "d2")

@@ -140,6 +140,19 @@ def test_quality_estimate_is_robust(spark):
     assert np.allclose([e[f"m{i}"] for i in range(4)], clean.mean(0), atol=0.05)
 
 
+def test_quality_judges_small_groups(spark):
+    """Groups of a few tens and of a few have their outliers rejected and the rest kept, with or without a large group beside them."""
+    rng = random.Random(12)
+    junk = lambda: " ".join(f"{w}###$$" for w in prose(rng, 100, 5000).split())
+    rows = [(i, prose(rng, rng.randint(60, 300), 5000), "de", f"s{i % 3}") for i in range(120)] + [(200 + i, junk(), "de", f"s{i}") for i in range(3)]
+    rows += [(300 + i, prose(rng, rng.randint(60, 300), 5000), "de", "few") for i in range(3)] + [(310, junk(), "de", "few"), (311, junk(), "de", "one")]
+    more = rows + [(1000 + i, " ".join(w * 3 for w in prose(rng, 120, 5000).split()), "en", "hot") for i in range(300)]
+    for table in (rows, more):
+        judged = quality_rules.judge(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).collect()
+        assert all(r["d2"] is not None for r in judged if not r["base_failed"])
+        assert {r["doc_id"] for r in judged if not r["kept"]} == {200, 201, 202, 310, 311}
+
+
 def test_packing(docs, corpus, nothing):
     library = Tokenizer.from_file(BYTES)
     library.encode_special_tokens = True
