@@ -1,20 +1,23 @@
 """Quality rules by robust multivariate outliers.
 
-Each document has a vector of transformed statistics. Per group (language and source) the minimum-covariance-
-determinant estimate of place and scatter is found over all its documents that pass the base rules: start at the
-coordinates' medians, then repeat concentration steps - the three quarters of the group nearest by Mahalanobis distance
-give the next mean and covariance, whose determinant never rises - and rescale. A document is rejected if its distance
-from its group's estimate is beyond the cut.
+Each document has a vector of transformed statistics: log mean word length, log punctuation and symbols per word, log
+distinct words over log words, log capitals per word. Per group (language and source) the minimum-covariance-determinant
+estimate of place and scatter is found over all its documents that pass the base rules. There are three deterministic
+starts: medians with quartile spreads, the correlation of the vectors' hyperbolic tangents, and that of their signs in
+space. From each, concentration steps - the three quarters of the group nearest by Mahalanobis distance give the next
+mean and covariance - go on until the determinant stands still; the start of least determinant is taken. The estimate is
+rescaled so that the group's median squared distance is that of the chi-square distribution, and a document is rejected
+if its squared distance is beyond that distribution's quantile of ``1 - 1e-9``.
+
+Estimates shrink, so that every document is judged however small its group: to the core of a group that of its language
+is added with the weight of ``PRIOR`` documents, and to that of a language the table's. No size switches from one
+estimate to another. The one constant added to a variance is ``RIDGE``, the square of 0.03 in coordinates whose usual
+scatter is a tenth and more; it keeps the covariance of equal vectors positive definite.
 
 Scale: texts are read once; what the steps read is a table of a few numbers a row. The coordinates are fixed-point
-integers, so sums are exact and the same however rows are dealt. The h-th smallest distance of a group is found from
-counts by distance bin (a set number of bins, partial counts before the shuffle), never by collecting a group. DataFrame
-functions alone touch documents.
-
-Estimates shrink: to the core of a group that of its language is added with the weight of ``PRIOR`` documents, and to that
-of a language the table's, so every document is judged, one of a small group by nearly its language's estimate, and no
-size switches from one estimate to another. A coordinate's variance is never taken to be below a floor, so that a statistic that is
-nearly constant in a group does not reject documents for a trace of it.
+integers, so sums are exact and the same however rows are dealt. A step is one aggregation of counts, sums and products by
+group, start and distance bin (a set number of bins, partial results before the shuffle), from which the core is the
+nearest bins; no group is ever in one task. DataFrame functions alone touch documents.
 
 Defined results: a null text counts as empty and fails the base rules. Equal rows get equal results. Null languages and
 sources are values of their own. An empty table gives no rows. Extra columns are not read by judge().
@@ -22,43 +25,48 @@ sources are values of their own. An empty table gives no rows. Extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm._common import cut, small, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Share of a group in its core; concentration steps; documents that the estimate of the language, or of the table, counts for.
-CORE, STEPS, PRIOR = 0.75, 4, 30
-#: Square of the distance beyond which a document is rejected: the chi-square quantile of 1 - 1e-9 for four coordinates.
-CUT = 47.9
-#: Median of the chi-square distribution of four degrees of freedom, by which distances are rescaled.
-MEDIAN_CHI = 3.357
+#: What is neither punctuation nor a symbol.
+PLAIN = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
+#: Share of a group in its core; documents that the estimate of the language, or of the table, counts for.
+CORE, PRIOR = 0.75, 60
+#: Quantile of 1 - 1e-9, and median, of the chi-square distribution with as many degrees of freedom as coordinates.
+CUT, MEDIAN_CHI = 47.9, 3.357
 #: Fixed-point units of a coordinate; distance bins per doubling; their largest number.
-UNITS, BINS_PER_DOUBLING, LAST_BIN = 1024, 16, 640
-#: Least standard deviation of each coordinate, in its own units.
-FLOORS = (0.08, 0.25, 0.20, 0.40)
-DIMS = len(FLOORS)
+UNITS, BINS_PER_DOUBLING, LAST_BIN = 4096, 32, 1280
+#: What is added to each variance; scales of the coordinates, which bring their usual scatter to the order of a tenth or more, far above the ridge.
+RIDGE = 9e-4
+SCALES = (4, 1, 10, 1)
+DIMS = len(SCALES)
+#: A determinant stands still if its logarithm falls by less.
+STILL = 1e-6
 #: Longest list of repeated windows that is searched window by window; longer ones are matched by sorting.
 FEW = 48
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every whole text."""
+    """keep, n_words, word_chars, n_symbols, n_punct, n_distinct (words), n_upper (capitals), n_dup_lines and n_repeat_words of every whole text."""
     kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
     names = [f"__k{i}" for i in range(len(keep))]
     text = docs.select(*kept, text_of().alias("t"))
     real = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD))
     one = text.select(
-        *names, F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.octet_length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), real.alias("lines"),
+        *names, F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.octet_length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("t", PLAIN, "")).cast("long").alias("n_punct"),
+        F.length(F.regexp_replace("t", r"\P{Lu}+", "")).cast("long").alias("n_upper"), real.alias("lines"),
     )
     n = F.size("w")
     hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     two = one.select(
-        *names, n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), hashes.alias("h"),
+        *names, n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols", "n_punct",
+        F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), "n_upper", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), hashes.alias("h"),
     )
-    done = [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    done = [*names, "n_words", "word_chars", "n_symbols", "n_punct", "n_distinct", "n_upper", "n_dup_lines"]
     three = two.select(*done, "h", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array("h")).alias("sorted"))
     again = F.array_distinct(F.filter("sorted", lambda x, i: (i > 0) & (F.get("sorted", i - 1) == x)))
     four = three.select(*done, "h", again.alias("again"))
@@ -78,105 +86,132 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics, as fixed-point integers: log mean word length, log symbols per hundred words, root of the share of repeated words, log repeated lines."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    raw = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log1p(100 * F.col("n_symbols") / words), F.sqrt(F.col("n_repeat_words") / words), F.log1p(F.col("n_dup_lines")))
+    """The transformed statistics, as fixed-point integers."""
+    words = F.greatest(F.col("n_words"), F.lit(2))
+    logs = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log((F.col("n_punct") + 1) / words), F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(words), F.log((F.col("n_upper") + 1) / words))
+    raw = [x * scale for x, scale in zip(logs, SCALES, strict=True)]
     return [F.round(x * UNITS).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
-def _scatter(rows: DataFrame) -> DataFrame:
-    """n, and exact integer sums of coordinates and of their products, per group."""
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), *sums, *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+_PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+_MEANS = [f"m{i}" for i in range(DIMS)]
+_FACTOR = [f"l{i}{j}" for i, j in _PAIRS]
+_SUMS = ["n", *(f"s{i}" for i in range(DIMS)), *(f"p{i}{j}" for i, j in _PAIRS)]
 
 
-def _estimate(sums: DataFrame, scale: Column) -> DataFrame:
-    """m (mean), l (rows of the lower Cholesky factor of the floored covariance, times the square root of scale) per group, in coordinates of unit size."""
-    mean = [F.col(f"s{i}") / F.col("n") / UNITS for i in range(DIMS)]
-    frame = sums.select("grp", *[mean[i].alias(f"m{i}") for i in range(DIMS)], scale.alias("scale"), *[(F.col(f"p{i}{j}") / F.col("n") / (UNITS * UNITS) - mean[i] * mean[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-    for i in range(DIMS):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") * F.col("scale") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floor keeps the matrix positive definite, so what is left on the diagonal is at least its order.
-            frame = frame.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return frame.drop("scale", *[f"c{i}{j}" for i in range(DIMS) for j in range(i + 1)])
-
-
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group's estimate (null without one)."""
-    frame = rows.join(small(estimate), "grp", "left")
-    for i in range(DIMS):
-        left = F.col(f"x{i}") / UNITS - F.col(f"m{i}")
-        for k in range(i):
-            left = left - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        frame = frame.withColumn(f"y{i}", left / F.col(f"l{i}{i}"))
-    d2 = F.lit(0.0)
-    for i in range(DIMS):
-        d2 = d2 + F.col(f"y{i}") * F.col(f"y{i}")
-    return frame.select(*rows.columns, d2.alias("d2"))
+# Expressions are SQL text, which is parsed at once; columns refer to earlier ones of their select.
 
 
-def _bin(value: str) -> Column:
-    """Bin of a number from 0 on: BINS_PER_DOUBLING to a doubling, from 2^-20 to 2^20."""
-    return F.least(F.greatest(F.floor((F.log2(F.greatest(F.col(value), F.lit(1e-6))) + 20) * BINS_PER_DOUBLING), F.lit(0)), F.lit(LAST_BIN)).cast("int")
+def _factored(frame: DataFrame, names: list[str]) -> DataFrame:
+    """names, m (mean), l (rows of the lower Cholesky factor of the covariance c) and logdet, per row of frame."""
+    factor = []
+    for i, j in _PAIRS:
+        rest = " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        # The ridge keeps the matrix positive definite, so what is left on the diagonal is at least its order.
+        factor.append(f"sqrt(greatest({rest} + {RIDGE:.9f}D, {RIDGE / 4:.9f}D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return frame.selectExpr(*names, *_MEANS, *factor, " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMS)) + " AS logdet")
 
 
-def _quantile_bin(rows: DataFrame, column: Column, share: float, name: str) -> DataFrame:
-    """Per group, the smallest value of an integer column at or below which the share of the group lies. The column has a set number of values."""
-    counts = rows.groupBy("grp", column.alias("bin")).agg(F.count("*").alias("n"))
-    run = F.col("n") - F.col("n") + F.sum("n").over(_by_group().orderBy("bin"))
-    edges = counts.select("grp", "bin", run.alias("run"), F.sum("n").over(_by_group()).alias("all")).where(F.col("run") >= share * F.col("all"))
-    return edges.groupBy("grp").agg(F.min("bin").alias(name))
+def _estimate(sums: DataFrame, names: list[str], scale: str = "1D") -> DataFrame:
+    """The mean and factored covariance (times scale) of each row's sums, in coordinates of unit size."""
+    covariance = [f"(p{i}{j} / n / {UNITS * UNITS}D - m{i} * m{j}) * {scale} AS c{i}{j}" for i, j in _PAIRS]
+    return _factored(sums.selectExpr(*names, *[f"s{i} / n / {UNITS}D AS m{i}" for i in range(DIMS)], *covariance), names)
 
 
-def _by_group():
-    from pyspark.sql import Window
+def _distance(rows: DataFrame, estimate: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """rows, with the columns kept of the estimates, and d2, the squared Mahalanobis distance from their group's estimate (null without one)."""
+    frame = rows.join(small(estimate.select("grp", *kept, *_MEANS, *_FACTOR)), "grp", "left" if not kept else "inner")
+    turned = []
+    for i in range(DIMS):
+        left = " - ".join([f"x{i} / {UNITS}D - m{i}", *(f"l{i}{k} * y{k}" for k in range(i))])
+        turned.append(f"({left}) / l{i}{i} AS y{i}")
+    return frame.selectExpr(*rows.columns, *kept, *turned, " + ".join(f"y{i} * y{i}" for i in range(DIMS)) + " AS d2").drop(*[f"y{i}" for i in range(DIMS)])
+
 
-    return Window.partitionBy("grp")
+def _bin(value: str) -> Column:
+    """Bin of a number from 0 on: BINS_PER_DOUBLING to a doubling, from 2^-20 to 2^20."""
+    return F.least(F.greatest(F.floor((F.log2(F.greatest(F.col(value), F.lit(1e-6))) + 20) * BINS_PER_DOUBLING), F.lit(0)), F.lit(LAST_BIN)).cast("int")
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, above: list[DataFrame] = ()) -> DataFrame:
+def _middle_of_bin(name: str) -> Column:
+    return F.pow(F.lit(2.0), (F.col(name) + 0.5) / BINS_PER_DOUBLING - 20)
+
+
+def _nearest(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Of counts (keys, bin, n, others), the bins that hold the nearest share of each key's rows."""
+    of = Window.partitionBy(*keys)
+    return counts.withColumns({"__all": F.sum("n").over(of), "__upto": F.sum("n").over(of.orderBy("bin"))}).where(F.col("__upto") - F.col("n") < share * F.col("__all")).drop("__all", "__upto")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first estimates of each group, by start."""
+    # Coordinates in sixteenths have a set number of values, so what an exact percentile counts is bounded.
+    spread = rows.groupBy("grp").agg(*[F.expr(f"percentile(round(x{i} / 16), array(0.25, 0.5, 0.75)) AS q{i}") for i in range(DIMS)])
+    spread = cut(spread.selectExpr("grp", *[f"q{i}[1] * 16 / {UNITS} AS m{i}" for i in range(DIMS)], *[f"greatest((q{i}[2] - q{i}[0]) * 16 / {UNITS} / 1.349D, {RIDGE**0.5}D) AS d{i}" for i in range(DIMS)]))
+    z = rows.join(small(spread), "grp").selectExpr("grp", *[f"(x{i} / {UNITS}D - m{i}) / d{i} AS z{i}" for i in range(DIMS)], "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(DIMS)) + "), 1e-6D) AS norm")
+    # Fixed-point as well, so that their sums are exact.
+    bent = z.selectExpr("grp", *[f"cast(round(tanh(z{i}) * 4096) AS bigint) AS t{i}" for i in range(DIMS)], *[f"cast(round(z{i} / norm * 4096) AS bigint) AS u{i}" for i in range(DIMS)])
+    sums = bent.groupBy("grp").agg(*[F.expr(x) for x in ("count(*) AS n", *(f"sum(t{i}) AS t{i}" for i in range(DIMS)), *(f"sum({c}{i} * {c}{j}) AS {c}{i}{j}" for c in "tu" for i, j in _PAIRS))])
+    sums = sums.selectExpr("grp", *[f"t{i}{j} / n - t{i} / n * t{j} / n AS t{i}{j}" for i, j in _PAIRS], *[f"u{i}{j} / n AS u{i}{j}" for i, j in _PAIRS])
+    starts = []
+    for start, of in enumerate(" tu"):
+        # Correlations; the first start has none.
+        c = {(i, j): "1D" if i == j else "0D" if start == 0 else f"{of}{i}{j} / sqrt(greatest({of}{i}{i}, 1D) * greatest({of}{j}{j}, 1D))" for i, j in _PAIRS}
+        starts.append(f"struct({start} AS start, " + ", ".join(f"{c[i, j]} * d{i} * d{j} AS c{i}{j}" for i, j in _PAIRS) + ")")
+    each = sums.join(small(spread), "grp").selectExpr("grp", *_MEANS, f"explode(array({', '.join(starts)})) AS c").select("grp", *_MEANS, "c.*")
+    return _factored(each, ["grp", "start"])
+
+
+def cores(rows: DataFrame) -> DataFrame:
+    """grp and the sums over its core (n, s, p), of the start with the least determinant, from rows of grp and coordinates."""
+    keys = ["grp", "start"]
+    moments = [F.expr(x) for x in ("count(*) AS n", *(f"sum(x{i}) AS s{i}" for i in range(DIMS)), *(f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in _PAIRS))]
+    total = [F.expr(f"sum({c}) AS {c}") for c in _SUMS]
+    now = cut(_starts(rows).withColumn("last", F.lit(float("inf"))).drop("logdet"))
+    settled = None
+    while not now.isEmpty():
+        binned = _distance(rows, now, ("start", "last")).groupBy(*keys, "last", _bin("d2").alias("bin")).agg(*moments)
+        sums = _nearest(binned, keys, CORE).groupBy(*keys, "last").agg(*total)
+        after = cut(sums.join(_estimate(sums, keys), keys))
+        # A determinant that no longer falls ends the steps: it falls by STILL each time, and the ridge bounds it.
+        still = F.col("logdet") > F.col("last") - STILL
+        done = after.where(still).select(*keys, "logdet", *_SUMS)
+        settled = done if settled is None else settled.union(done)
+        now = after.where(~still).select(*keys, F.col("logdet").alias("last"), *_MEANS, *_FACTOR)
+    if settled is None:
+        return rows.groupBy("grp").agg(*moments)
+    return cut(settled.groupBy("grp").agg(F.min_by(F.struct(*_SUMS), F.struct("logdet", "start")).alias("v")).select("grp", "v.*"))
+
+
+def estimates(rows: DataFrame, above: list[DataFrame] = ()) -> DataFrame:
     """The rescaled minimum-covariance-determinant estimate per group from rows of grp and coordinates. above: frames of grp
     and up, the group that grp shrinks to, from the top down."""
-    # Start: medians of coordinates (in sixteenths) and their median deviations; the core is what lies nearest by the largest deviation.
-    medians = None
-    for i in range(DIMS):
-        one = _quantile_bin(rows, F.least(F.greatest(F.floor(F.col(f"x{i}") / 16), F.lit(-LAST_BIN)), F.lit(LAST_BIN)).cast("int"), 0.5, f"c{i}")
-        medians = one if medians is None else medians.join(one, "grp")
-    near = rows.join(small(cut(medians)), "grp").withColumn("d2", F.greatest(*[F.pow((F.col(f"x{i}") / UNITS - (F.col(f"c{i}") + 0.5) * 16 / UNITS) / FLOORS[i], 2) for i in range(DIMS)])).select(*rows.columns, "d2")
-    for step in range(steps + 1):
-        edge = _quantile_bin(near, _bin("d2"), CORE, "edge")
-        core = near.join(small(cut(edge)), "grp").where(_bin("d2") <= F.col("edge"))
-        sums = cut(_scatter(core))
-        near = _distance(rows, _estimate(sums, F.lit(1.0)))
+    sums = cores(rows)
     for levels in above:
-        sums = cut(_shrunk(sums, levels, [c for c in sums.columns if c != "grp"]))
-    if above:
-        near = _distance(rows, _estimate(sums, F.lit(1.0)))
-    # Consistency: the median of the group's distances is that of the chi-square distribution.
-    middle = _quantile_bin(near, _bin("d2"), 0.5, "middle")
-    factor = F.greatest(F.pow(F.lit(2.0), (F.col("middle") + 0.5) / BINS_PER_DOUBLING - 20) / MEDIAN_CHI, F.lit(1.0))
-    scaled = sums.join(middle, "grp").withColumn("factor", factor)
+        sums = cut(_shrunk(sums, levels, _SUMS))
+    # Consistency: the median of the group's squared distances is that of the chi-square distribution.
+    counts = _distance(rows, _estimate(sums, ["grp"])).groupBy("grp", _bin("d2").alias("bin")).agg(F.count("*").alias("n"))
+    middle = _nearest(counts, ["grp"], 0.5).groupBy("grp").agg(F.max("bin").alias("middle"))
+    # A core's scatter is at most that of its group: a factor below 1 comes from the ridge, where coordinates are constant.
+    factors = cut(middle.select("grp", F.greatest(_middle_of_bin("middle") / MEDIAN_CHI, F.lit(1.0)).alias("factor")))
+    scaled = sums.join(small(factors), "grp")
     for levels in above:
         # The factor of a few documents says little: it is averaged with that of the group above.
         of = scaled.select("grp", (rows_of := F.col("n").cast("double")).alias("n"), (F.col("factor") * rows_of).alias("f"))
         of = cut(_shrunk(of, levels, ["n", "f"])).select("grp", (F.col("f") / F.col("n")).alias("factor"))
-        scaled = scaled.drop("factor").join(of, "grp")
-    return cut(_estimate(scaled, F.col("factor")).drop("factor"))
+        scaled = scaled.drop("factor").join(small(of), "grp")
+    return cut(_estimate(scaled, ["grp"], "factor"))
 
 
 def _shrunk(sums: DataFrame, levels: DataFrame, names: list[str]) -> DataFrame:
     """sums of grp, n and others, where those of the groups of levels have their upper group's added as that of PRIOR documents."""
     top = sums.select(F.col("grp").alias("up"), *[(F.col(c) * PRIOR / F.col("n")).alias(f"u_{c}") for c in names])
-    both = sums.join(small(levels), "grp", "left").join(small(cut(top)), "up", "left")
+    both = sums.join(small(levels), "grp", "left").join(small(top), "up", "left")
     added = {c: F.col(c) + F.coalesce(F.col(f"u_{c}"), F.lit(0.0)) for c in names}
-    for i in range(DIMS if "s0" in names else 0):
-        for j in range(i + 1):
-            # Scatter is about each one's own mean, so that a distant group of a few documents does not widen its own estimate.
-            own, upper = F.col(f"s{i}") * F.col(f"s{j}") / F.col("n"), F.col(f"u_s{i}") * F.col(f"u_s{j}") / PRIOR
-            added[f"p{i}{j}"] = added[f"p{i}{j}"] + F.coalesce(added[f"s{i}"] * added[f"s{j}"] / added["n"] - own - upper, F.lit(0.0))
+    for i, j in _PAIRS if "s0" in names else ():
+        # Scatter is about each one's own mean, so that a distant group of a few documents does not widen its own estimate.
+        own, upper = F.col(f"s{i}") * F.col(f"s{j}") / F.col("n"), F.col(f"u_s{i}") * F.col(f"u_s{j}") / PRIOR
+        added[f"p{i}{j}"] = added[f"p{i}{j}"] + F.coalesce(added[f"s{i}"] * added[f"s{j}"] / added["n"] - own - upper, F.lit(0.0))
     return both.select("grp", *[x.alias(c) for c, x in added.items()])
 
 
@@ -187,12 +222,10 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     group, language = F.to_json(F.struct("lang", "source")), F.concat(F.lit("lang"), F.to_json(F.struct("lang")))
     stats = cut(stats.select("*", group.alias("grp"), language.alias("language"), *vector()))
     good = stats.where(~F.col("base_failed"))
-    coordinates = [f"x{i}" for i in range(DIMS)]
     groups = cut(good.select("grp", "language").distinct())
     levels = [groups.select(F.col("language").alias("grp"), F.lit("all").alias("up")).distinct(), groups.select("grp", F.col("language").alias("up"))]
-    every = good.select(F.explode(F.array("grp", "language", F.lit("all"))).alias("grp"), *coordinates)
-    found = estimates(every, above=levels)
-    judged = _distance(stats, found).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    every = good.select(F.explode(F.array("grp", "language", F.lit("all"))).alias("grp"), *[f"x{i}" for i in range(DIMS)])
+    judged = _distance(stats, estimates(every, above=levels)).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUT, F.lit(True))
-    numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    numbers = ("n_words", "word_chars", "n_symbols", "n_punct", "n_distinct", "n_upper", "n_dup_lines", "n_repeat_words", "base_failed")
     return judged.select(*columns, *numbers, kept.alias("kept"), "d2")

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -109,11 +110,12 @@ def statistics_of(text):
         if count[w] > 1:
             covered |= {i, i + 1, i + 2}
     lines = [x for x in (text or "").split("\n") if re.search(quality_rules.WORD, x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+    punct = regex.findall(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]", text or "")
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(punct), len(set(words)), len(regex.findall(r"\p{Lu}", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
 def test_quality_statistics(docs, corpus, nothing):
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_punct", "n_distinct", "n_upper", "n_dup_lines", "n_repeat_words")
     got = sorted((tuple(r[n] for n in ("doc_id", *names)) for r in quality_rules.judge(docs).collect()), key=repr)
     assert got == sorted(((i, *statistics_of(t)) for i, t in corpus), key=repr)
     for r in quality_rules.judge(docs).collect():
@@ -131,13 +133,50 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
 
 
 def test_quality_estimate_is_robust(spark):
-    """The estimate of a group with a fifth of gross outliers is near that of its clean rows."""
+    """The estimate of a group with a fifth of gross outliers is that of a plain search for the core of least determinant."""
     rng = np.random.default_rng(1)
-    clean = rng.normal([1.5, 0.5, 0.3, 0.5], [0.2, 0.5, 0.4, 0.8], (2000, 4))
-    dirty = rng.normal([3.0, 5.0, 0.9, 3.0], 0.1, (400, 4))
-    rows = [("g", *map(int, np.round(x * quality_rules.UNITS))) for x in np.vstack([clean, dirty])]
-    e = quality_rules.estimates(spark.createDataFrame(rows, "grp string, x0 long, x1 long, x2 long, x3 long")).first()
-    assert np.allclose([e[f"m{i}"] for i in range(4)], clean.mean(0), atol=0.05)
+    mix = np.array([[1, 0, 0, 0], [0.4, 1, 0, 0], [-0.3, 0.2, 1, 0], [0.1, 0.5, 0.2, 1]]) * [[0.2], [0.5], [0.4], [0.8]]
+    clean = rng.normal(size=(2000, 4)) @ mix.T + [1.5, -2, 0.9, 3]
+    dirty = rng.normal([3.0, 2.0, 0.2, 0.5], 0.1, (400, 4))
+    rows = np.round(np.vstack([clean, dirty]) * quality_rules.UNITS)
+    e = quality_rules.estimates(spark.createDataFrame([("g", *map(int, x)) for x in rows], "grp string, x0 long, x1 long, x2 long, x3 long")).first()
+    place, factor = np.array([e[f"m{i}"] for i in range(4)]), np.zeros((4, 4))
+    for i in range(4):
+        factor[i, : i + 1] = [e[f"l{i}{j}"] for j in range(i + 1)]
+    x, best = rows / quality_rules.UNITS, None
+    for _ in range(20):  # random starts of five rows
+        d = np.inf
+        core = rng.choice(len(x), 5, replace=False)
+        while True:
+            m, c = x[core].mean(0), np.cov(x[core].T, bias=True) + quality_rules.RIDGE * np.eye(4)
+            was, d = d, np.linalg.slogdet(c)[1]
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            core = np.argsort(d2)[: int(0.75 * len(x))]
+            if len(core) == int(0.75 * len(x)) and abs(was - d) < 1e-9:
+                break
+        if best is None or d < best[0]:
+            best = d, m, c, d2
+    _, m, c, d2 = best
+    c = c * np.median(d2) / quality_rules.MEDIAN_CHI
+    assert np.allclose(place, clean.mean(0), atol=0.05) and np.allclose(place, m, atol=0.02) and np.allclose(factor @ factor.T, c, rtol=0.06, atol=0.002)
+    d2 = ((np.linalg.inv(factor) @ (x - place).T) ** 2).sum(0)
+    assert np.median(d2) == pytest.approx(quality_rules.MEDIAN_CHI, rel=0.03) and (d2[2000:] > quality_rules.CUT).all() and (d2[:2000] > quality_rules.CUT).mean() < 0.001
+
+
+def test_quality_rejects_what_no_single_statistic_shows(spark):
+    """Two statistics go together in a group; a document whose values are each usual, but not together, is rejected."""
+    rng = random.Random(5)
+
+    def text(commas, capitals):
+        words = [w + ("," if rng.random() < commas else "") for w in prose(rng, 1500, 5000).split()]
+        return " ".join(w.capitalize() if rng.random() < capitals else w for w in words)
+
+    rows = [(i, text(0.15 + 0.015 * k, 0.15 + 0.015 * k), "en", "s") for i in range(300) for k in [i % 20]] + [(900, text(0.18, 0.42), "en", "s"), (901, text(0.42, 0.18), "en", "s")]
+    judged = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, r in judged.items() if not r["kept"]} == {900, 901}
+    for name in ("n_punct", "n_upper"):
+        usual = [judged[i][name] for i in range(300)]
+        assert all(min(usual) <= judged[i][name] <= max(usual) for i in (900, 901))
 
 
 def test_quality_judges_small_groups(spark):
