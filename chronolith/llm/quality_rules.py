@@ -205,6 +205,7 @@ def estimates(rows: DataFrame, above: list[DataFrame] = ()) -> DataFrame:
 
 def _shrunk(sums: DataFrame, levels: DataFrame, names: list[str]) -> DataFrame:
     """sums of grp, n and others, where those of the groups of levels have their upper group's added as that of PRIOR documents."""
+    sums = sums.select("grp", *[F.col(c).cast("double").alias(c) for c in names])  # products of exact sums pass 64 bits
     top = sums.select(F.col("grp").alias("up"), *[(F.col(c) * PRIOR / F.col("n")).alias(f"u_{c}") for c in names])
     both = sums.join(small(levels), "grp", "left").join(small(top), "up", "left")
     added = {c: F.col(c) + F.coalesce(F.col(f"u_{c}"), F.lit(0.0)) for c in names}
