@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, and the one machine is the whole cluster, a new temporary one."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")
@@ -33,21 +36,50 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/chronolith-{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """The same rows, materialised in the shared folder; Spark deletes them once no frame refers to them.
-
-    With release, shuffle files that led to them go at once and not when the driver next happens to collect garbage.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    done = df.checkpoint(eager=True)
-    if release:
-        del df  # it refers to the shuffles
-        for _ in range(2):  # the session refers to its last job until it runs another
-            spark.range(1).count()
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-    return done
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same few rows, materialised in the shared folder. Spark deletes them with the last frame that refers to them if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, and else whoever clears the folder."""
+    shared_dir(df.sparkSession)
+    with released_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def released_shuffles(spark: SparkSession):
+    """Within, shuffle files of an execution go when it ends and not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class Scratch:
+    """Intermediate tables of one run of an operator: Parquet in a folder of the shared one, each deleted by name when it has served."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.path = spark, new_path(spark, kind)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written and read back."""
+        with released_shuffles(self.spark):
+            df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Deletes what is left."""
+        delete(self.spark, self.path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

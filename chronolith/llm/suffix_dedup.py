@@ -6,33 +6,38 @@ doc_id, or earlier in its own. Strings are judged on the input.
 A text that an earlier document has as well is removed whole. Of distinct texts:
 
 1. Anchors: in each string of LENGTH bytes the leftmost GRAM bytes of least hash. Equal strings have equal anchors at
-   equal offsets, so a string repeats only if its anchor does. Anchors that stand in one place alone are dropped.
-2. Around an anchor, a context holds every string of LENGTH bytes that contains it. Equal contexts are merged, with
-   partial aggregation; all but the earliest of them are removed whole.
-3. Distinct contexts of one anchor go to one task, which trims the margins that no other of them shares, merges what
-   has become equal, and sorts the suffixes of the rest by linear grouping (suffix_array.py). Runs of suffixes that
-   agree in LENGTH bytes or more keep their earliest start; the others are removed.
-4. Anchors with more than LIMIT distinct contexts are too many for one task. Their strings are keyed by anchor and
-   digest, the earliest start of each key found by partial aggregation, and the later ones removed.
+   equal offsets, so a string repeats only if its anchor does. Around an anchor, a context holds every string of LENGTH
+   bytes that contains it. Anchors are dealt by their hash once; those that stand in one place alone go.
+2. Equal contexts of an anchor are one, that of the earliest place: in the others every string starts earlier too.
+3. Distinct contexts of one anchor go to one task, which trims the margins that no other of them shares and sorts the
+   suffixes of the rest by linear grouping (suffix_array.py). Of suffixes that agree in LENGTH bytes the earliest start
+   stays; the others are removed.
+4. Anchors with more than LIMIT distinct contexts are refined until they have fewer: of the bytes of a string beside its
+   anchor, half lie on one side. So each context gives one with the anchor longer by half of what is missing on the
+   right, and one on the left; every string lies in one of the two, and steps 2 and 3 hold for the longer anchors. After
+   at most seven refinements an anchor is the whole string, and has one context.
 5. Removed strings of a document are merged into spans.
 
-Defined results: a null text counts as empty. Null doc_ids rank last, by a hash of their text. Rows with one doc_id but
-other texts rank by that hash; equal rows count as one document. An empty table gives no rows. Other columns of the
-input are not read.
+An anchor that stands in a third of all documents is one of the many of each document, so no task gets more than a few
+times its share of them. Intermediate tables are written in the shared folder and deleted when they have served.
+
+Defined results: a null text counts as empty. Null doc_ids rank last, by a 64-bit hash of their text. Rows with one doc_id
+but other texts rank by that hash; equal rows count as one document. A doc_id that is not a number is an error. An empty
+table gives no rows. Columns of the input are read only if named in keep; their names cannot clash with the operator's.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.llm._common import cut, small, text_of
+from chronolith.llm._common import Scratch, cut, small, text_of
 from chronolith.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 100, 24
@@ -41,38 +46,46 @@ LIMIT = 1000
 #: Bytes whose anchors are sought at once; a longer text is taken in overlapping pieces.
 BLOCK = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _PLACE_BITS = 24
 
 
-def _powers(k: int) -> np.uint64:
-    return np.uint64(pow(_BASE, k, 1 << 64))
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, and a number for each byte."""
+    up, down = np.full(n, _BASE, dtype=np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down), np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+class Hashes:
+    """64-bit hashes of all substrings of uint8 data: differences of one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down, numbers = _powers(max(1 << 20, 1 << len(data).bit_length()))
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(numbers[data] * up[: len(data)], out=self.sums[1:])
+
+    def every(self, size: int) -> np.ndarray:
+        """Of the bytes of a size that begin at each place."""
+        n = len(self.sums) - size
+        return _mixed((self.sums[size:] - self.sums[:n]) * self.down[:n])
 
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors of uint8 data, texts of which begin at starts; ascending places."""
-    n = len(data)
+
+def anchors(hashes: Hashes, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors of data, texts of which begin at starts; ascending places."""
+    n = len(hashes.sums) - 1
     if n < length:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    # Hashes of the 1, 2, 4, 8, ... bytes from each place on; gram is put together from them.
-    h, size = data.astype(np.uint64) + np.uint64(1), 1
-    parts, rest = [], gram
-    while True:
-        if rest & size:
-            parts.append((size, h))
-        if 2 * size > gram:
-            break
-        h = h[:-size] * _powers(size) + h[size:]
-        size *= 2
-    whole, covered = None, 0
-    for size, h in reversed(parts):
-        if whole is None:
-            whole, covered = h, size
-        else:
-            m = n - covered - size + 1
-            whole, covered = whole[:m] * _powers(size) + h[covered : covered + m], covered + size
-    whole ^= whole >> np.uint64(31)
-    whole *= np.uint64(0xD6E8FEB86659FD93)
-    whole ^= whole >> np.uint64(32)
+    whole = hashes.every(gram)
     m = len(whole)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     best = (whole & ~low) | np.arange(m, dtype=np.uint64)
@@ -107,15 +120,29 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, i
         yield [(j, a) for j, a, _ in held], b"".join(p for *_, p in held)
 
 
-def text_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, place in it, hash) of all anchors, block by block; a place may come twice where pieces of a text overlap."""
+def text_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, place in it, hash, hash of its context, end of its context) of all anchors, block by block; a place may come twice where pieces of a text overlap."""
+    all_sizes, reach = np.array([len(t) for t in texts], dtype=np.int64), length - gram
     for parts, data in _blocks(texts, length):
         sizes = [min(len(texts[i]) - at, BLOCK + length - 1) for i, at in parts]
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        places, hashes = anchors(np.frombuffer(data, dtype=np.uint8), starts, length, gram)
-        part = np.searchsorted(starts, places, "right") - 1
+        hashes = Hashes(np.frombuffer(data, dtype=np.uint8))
+        places, h = anchors(hashes, starts, length, gram)
         # Empty texts share a start with the next; the last part that begins there is the one with bytes.
-        yield np.array([i for i, _ in parts])[part], places - starts[part] + np.array([at for _, at in parts])[part], hashes
+        part = np.searchsorted(starts, places, "right") - 1
+        text, offset = np.array([i for i, _ in parts], dtype=np.int64)[part], np.array([at for _, at in parts], dtype=np.int64)[part]
+        place = places - starts[part] + offset
+        left, end = np.minimum(place, reach), np.minimum(place + length, all_sizes[text])
+        # A context that a piece of a long text cuts off is hashed from the text.
+        begins, ends = places - left, places + end - place
+        cut_off = (begins < starts[part]) | (ends > starts[part] + np.array(sizes, dtype=np.int64)[part])
+        c = hashes.of(np.where(cut_off, 0, begins), np.where(cut_off, 0, ends))
+        for k in np.flatnonzero(cut_off).tolist():
+            whole = texts[text[k]][place[k] - left[k] : end[k]]
+            c[k] = Hashes(np.frombuffer(whole, dtype=np.uint8)).of(np.array([0]), np.array([len(whole)]))[0]
+        # The anchor's place in a context that is cut off at the text's start or end tells it apart.
+        c = _mixed(c + ((left << 8) + (end - place)).astype(np.uint64) * _MIX)
+        yield text, place, h, c.view(np.int64), end
 
 
 def context(text: bytes, place: int, length: int, gram: int) -> tuple[bytes, bytes]:
@@ -144,18 +171,8 @@ def later(group: list[tuple], length: int = LENGTH) -> list[tuple]:
             c = _common(texts[x], texts[y])
             shared[x][side] = max(shared[x][side], c)
             shared[y][side] = max(shared[y][side], c)
-    merged: dict[bytes, list[tuple]] = {}
-    for (key, place, left, right), (on_left, on_right) in zip(group, shared, strict=True):
-        if on_left + on_right >= length:
-            merged.setdefault(left[len(left) - on_left :] + right[:on_right], []).append((key, place - on_left))
-    removed = []
-    for text, holders in merged.items():
-        # Contexts that overlap can be trimmed to one and the same place.
-        _, *others = sorted(set(holders))
-        removed += [(key, start, start + len(text)) for key, start in others]
-    if len(merged) > 1:
-        removed += sorted_runs([(text, *min(holders)) for text, holders in merged.items()], length)
-    return removed
+    rest = [(left[len(left) - on_left :] + right[:on_right], key, place - on_left) for (key, place, left, right), (on_left, on_right) in zip(group, shared, strict=True) if on_left + on_right >= length]
+    return sorted_runs(rest, length) if len(rest) > 1 else []
 
 
 def sorted_runs(items: list[tuple], length: int = LENGTH) -> list[tuple]:
@@ -163,7 +180,7 @@ def sorted_runs(items: list[tuple], length: int = LENGTH) -> list[tuple]:
     joined = b"".join([text for text, _, _ in items])
     sizes = np.array([len(text) for text, _, _ in items])
     ends = np.cumsum(sizes)
-    order = np.array(suffix_array((np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1).tolist()))
+    order = np.array(suffix_array(np.frombuffer(joined, dtype=np.uint8).astype(np.int64) + 1))
     owner = np.searchsorted(ends, order, "right")
     whole = order + length <= ends[owner]  # the string lies in one text
     out: dict[int, list[int]] = {}
@@ -199,40 +216,34 @@ def spans(starts: list[int], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def tie_of() -> Column:
-    """31 bits of a hash of the text, which tell texts of one doc_id apart."""
-    return F.shiftrightunsigned(F.xxhash64(text_of()), 33)
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """rank (doc_id, nulls last), tie (a hash of the text) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), tie_of().alias("tie"), text_of().alias("text"))
+def _tie() -> Column:
+    return F.xxhash64(text_of())
 
 
-def _hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h of every anchor."""
+def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """h, c (a hash of the context), rank, tie, place and end (of the context) of every anchor."""
+    names = ["h", "c", "rank", "tie", "place", "end"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, h in text_anchors(_texts(batch), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
+            ranks, ties = batch.column("rank").to_numpy(), batch.column("tie").to_numpy()
+            for text, place, h, c, end in text_anchors(_texts(batch), length, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ranks[text]), pa.array(ties[text]), pa.array(place, pa.int32()), pa.array(end, pa.int32())], names=names)
 
-    return docs.select("text").mapInArrow(made, "h long")
+    return docs.mapInArrow(made, "h long, c long, rank long, tie long, place int, end int")
 
 
-def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, rank, at (tie and place, packed to keep their order) and c (a hash of the context) of every anchor."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ranks, ties = _texts(batch), batch.column("rank").to_numpy(), batch.column("tie").to_numpy()
-            left, digest = length - gram, xxhash.xxh3_64_intdigest
-            for text, place, h in text_anchors(texts, length, gram):
-                # The place of the anchor in a context that is cut off at the text's start tells it apart.
-                c = [digest(texts[i][max(0, p - left) : p + length], min(p, left)) for i, p in zip(text.tolist(), place.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ranks[text]), pa.array((ties[text] << 32) | place), pa.array(np.array(c, dtype=np.uint64).view(np.int64))], names=["h", "rank", "at", "c"])
-
-    return docs.mapInArrow(made, "h long, rank long, at long, c long")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The rows whose h stands in several places, with first (whether it is the earliest of its h and c) and contexts (how many c the h has)."""
+    own = F.struct("rank", "tie", "place")
+    marked = rows.repartition("h").withColumn("first", F.min(own).over(Window.partitionBy("h", "c")) == own)
+    of = Window.partitionBy("h")
+    counted = marked.withColumns({"n": F.count("*").over(of), "contexts": F.sum(F.col("first").cast("int")).over(of)})
+    return counted.where("n > 1 and (not first or contexts > 1)").drop("n", "c")
 
 
 _FOUND = "rank long, tie long, start long, end long"
@@ -244,7 +255,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """Removed strings of rows (h, rank, tie, place, left, right) that hold the distinct contexts of anchors."""
+    """Removed strings of rows (h, rank, tie, place, left, right) that hold the distinct contexts of anchors, as (rank, tie, start, end)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out, known = None, [], [], set()
@@ -269,75 +280,82 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
         settle()
         yield _found(out)
 
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(made, _FOUND)
-
-
-def _large_groups(rows: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with more contexts than one task may hold, by digests of their strings."""
+    return rows.select("h", "rank", "tie", "place", "left", "right").repartition("h").sortWithinPartitions("h").mapInArrow(made, _FOUND)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            out = []
-            for h, rank, tie, place, left, right in zip(*(batch.column(c).to_pylist() for c in ("h", "rank", "tie", "place", "left", "right")), strict=True):
-                text = left + right
-                out += [(h, digest(text[at : at + length]), rank, tie, place - len(left) + at) for at in range(len(text) - length + 1)]
-            h, d, *rest = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.array(d, dtype=np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in rest)], names=["h", "d", "rank", "tie", "start"])
 
-    strings = rows.mapInArrow(made, "h long, d long, rank long, tie long, start long")
-    first = strings.groupBy("h", "d").agg(F.min(F.struct("rank", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = strings.join(first.select("h", "d", "first"), ["h", "d"]).where(F.struct("rank", "tie", "start") != F.col("first"))
-    return again.select("rank", "tie", "start", (F.col("start") + length).alias("end"))
+def _refined(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts (h, rank, tie, place, left, right, on_left, on_right) whose anchor has on_left bytes of left and on_right of right, as those of longer anchors, with c."""
+    parts = rows.selectExpr("*", f"{length} - on_left - on_right AS missing").selectExpr("*", "missing - missing div 2 AS to_right", "missing div 2 + 1 AS to_left")
+    # A string with at least to_right bytes beyond the anchor on the right lies in the first, any other in the second.
+    first = """struct(on_left AS on_left, on_right + to_right AS on_right, substring(right, 1, on_right + to_right) AS key, length(right) >= on_right + to_right AS enough,
+        on_left + missing - to_right AS most_left, on_right + missing AS most_right)"""
+    second = """struct(on_left + to_left AS on_left, on_right AS on_right, substring(left, length(left) - on_left - to_left + 1, on_left + to_left) AS key, length(left) >= on_left + to_left AS enough,
+        on_left + missing AS most_left, on_right + missing - to_left AS most_right)"""
+    each = parts.selectExpr("h", "rank", "tie", "place", "left", "right", f"posexplode(array({first}, {second})) AS (side, x)").where("x.enough")
+    cut_off = each.selectExpr(
+        "xxhash64(h, side, x.key) AS h", "rank", "tie", "place", "substring(left, greatest(length(left) - x.most_left, 0) + 1, x.most_left) AS left",
+        "substring(right, 1, x.most_right) AS right", "x.on_left AS on_left", "x.on_right AS on_right",
+    )
+    return cut_off.where(F.length("left") + F.length("right") >= length).withColumn("c", F.xxhash64("left", "right", F.length("left")))
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """rank, tie (of a document), start and end of strings to remove, in bytes; they may overlap."""
-    everything = _keyed(docs)
+    """rank, tie (of a document: a hash of its text) and marks, its strings to remove as (start, end) in bytes, which may overlap."""
+    scratch = Scratch(docs.sparkSession, "suffix-dedup")
+    everything = docs.select(_rank().alias("rank"), _tie().alias("hash"), text_of().alias("text"))
+    texts = scratch.keep("texts", everything.select("rank", "hash", F.unhex(F.md5(F.col("text").cast("binary"))).alias("d"), F.octet_length("text").alias("size")).distinct())
+    # Only where texts share a rank are they told apart by their hash: else it is a constant, which takes no room in a shuffle.
+    together = scratch.keep("together", texts.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"))
+    if together.isEmpty():
+        tied = lambda df: df.withColumn("tie", F.lit(0).cast("long"))
+    else:
+        mark = small(together.withColumn("several", F.lit(True)))
+        tied = lambda df: df.join(mark, "rank", "left").withColumn("tie", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0).cast("long"))).drop("several")
+    everything, texts = tied(everything).drop("hash"), tied(texts)
     # Texts equal to that of an earlier document go whole; the rest of the work is on distinct texts.
-    texts = everything.select("rank", "tie", F.md5(F.col("text").cast("binary")).alias("d"), F.octet_length("text").cast("long").alias("size")).distinct()
     firsts = texts.groupBy("d").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
-    copies = cut(texts.join(firsts, "d").where("rank > first").select("rank", "tie", "size"))
-    keyed = everything.join(small(copies.select("rank", "tie")), ["rank", "tie"], "left_anti")
-    copied = copies.where(F.col("size") >= length).select("rank", "tie", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
-    repeated = _hashes(keyed, length, gram).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    rows = cut(_places(keyed, length, gram).join(repeated, "h", "left_semi"), release=True)
-    first = rows.groupBy("h", "c").agg(F.min(F.struct("rank", "at")).alias("f"), F.count("*").alias("n"))
-    first = cut(first.select("h", "c", F.col("f.rank").alias("rank"), F.col("f.at").alias("at"), "n"), release=True)
-    tie, place, reach = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)), length - gram
-    sizes = keyed.select("rank", "tie", F.octet_length("text").cast("long").alias("size")).distinct()
-    earliest = first.where("n > 1").select("h", "c", F.col("rank").alias("r"), F.col("at").alias("a"))
-    again = rows.join(earliest, ["h", "c"]).where("not (rank = r and at = a)").select("rank", tie.alias("tie"), place.alias("place")).join(sizes, ["rank", "tie"])
-    whole = again.select("rank", "tie", F.greatest(F.col("place") - reach, F.lit(0)).alias("start"), F.least(F.col("place") + length, F.col("size")).alias("end")).where(F.col("end") - F.col("start") >= length)
-    several = cut(first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"), release=True)
+    copies = scratch.keep("copies", texts.join(firsts, "d").where("rank > first").select("rank", "tie", "size"))
+    copied = copies.where(F.col("size") >= length).select("rank", "tie", F.lit(0).alias("start"), F.col("size").alias("end"))
+    rows = scratch.keep("rows", _grouped(_places(everything.join(small(copies.select("rank", "tie")), ["rank", "tie"], "left_anti").select("rank", "tie", "text"), length, gram)))
+    reach = length - gram
+    found = [copied, rows.where("not first").select("rank", "tie", F.greatest(F.col("place") - reach, F.lit(0)).alias("start"), "end").where(F.col("end") - F.col("start") >= length)]
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "rank", "tie", "place", "left", "right"]
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+        names = ["h", "rank", "tie", "place", "contexts", "left", "right"]
+        kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.binary()] * 2]
         for batch in batches:
-            out = []
-            for text, rank, tie, open_ in zip(_texts(batch), *(batch.column(c).to_pylist() for c in ("rank", "tie", "open")), strict=True):
-                out += [(x["h"], rank, tie, x["place"], *context(text, x["place"], length, gram)) for x in open_]
-                if len(out) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    def contexts(of: DataFrame) -> DataFrame:
-        wanted = first.join(of.select("h"), "h").groupBy("rank", tie.alias("tie")).agg(F.collect_list(F.struct("h", place.alias("place"))).alias("open"))
-        return keyed.join(wanted, ["rank", "tie"]).select("rank", "tie", "text", "open").mapInArrow(bytes_of, "h long, rank long, tie long, place long, left binary, right binary")
-
-    found = copied.union(whole).union(_sorted_groups(contexts(several.where(F.col("contexts") <= limit)), length))
-    large = several.where(F.col("contexts") > limit)
-    return found if large.isEmpty() else found.union(_large_groups(contexts(large), length))
+            for at in range(0, len(batch), 64):
+                part, out = batch.slice(at, 64), []
+                for text, rank, tie, open_ in zip(_texts(part), *(part.column(c).to_pylist() for c in ("rank", "tie", "open")), strict=True):
+                    out += [(x["h"], rank, tie, x["place"], x["contexts"], *context(text, x["place"], length, gram)) for x in open_]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+
+    wanted = rows.where("first and contexts > 1").groupBy("rank", "tie").agg(F.collect_list(F.struct("h", "place", F.col("contexts").cast("int").alias("contexts"))).alias("open"))
+    held = everything.join(wanted, ["rank", "tie"])
+    group = scratch.keep("contexts", held.select("rank", "tie", "text", "open").mapInArrow(bytes_of, "h long, rank long, tie long, place int, contexts int, left binary, right binary"))
+    level = 0
+    group = group.selectExpr("*", "0 AS on_left", f"{gram} AS on_right")
+    while True:
+        found.append(_sorted_groups(group.where(F.col("contexts") <= limit), length))
+        large = group.where((F.col("contexts") > limit) & (F.col("on_left") + F.col("on_right") < length)).drop("contexts")
+        if large.isEmpty():
+            break
+        level += 1
+        group = scratch.keep(f"refined-{level}", _grouped(_refined(large, length)))
+        found.append(group.where("not first").selectExpr("rank", "tie", "place - length(left) AS start", "place + length(right) AS end"))
+        group = group.where("first and contexts > 1").drop("first").withColumn("contexts", F.col("contexts").cast("int"))
+    every = functools.reduce(DataFrame.union, [x.selectExpr("rank", "tie", "cast(start AS bigint) AS start", "cast(end AS bigint) AS end") for x in found])
+    marks = every.groupBy("rank", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    marks = cut(marks.join(texts.select("rank", "tie", "hash"), ["rank", "tie"]).select("rank", F.col("hash").alias("tie"), "marks"))
+    scratch.close()
+    return marks
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, doc_id, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (the remaining bytes) of each document."""
-    marks = cut(removals(docs, length, gram, limit).groupBy("rank", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")), release=True)
+    marks = removals(docs, length, gram, limit)
     columns = [c for c in dict.fromkeys((*keep, "doc_id")) if c != "text"]
-    base = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("__rank"), tie_of().alias("__tie"), text_of().alias("__text"))
+    base = docs.select(*columns, _rank().alias("__rank"), _tie().alias("__tie"), text_of().alias("__text"))
     marks = marks.select(F.col("rank").alias("__rank"), F.col("tie").alias("__tie"), F.col("marks").alias("__marks"))
     both = base.join(marks, ["__rank", "__tie"], "left").select(*columns, F.col("__text").alias("text"), F.col("__marks").alias("marks"))
     kept_fields = [both.schema[c] for c in columns]
