@@ -8,16 +8,20 @@ link if a banded alignment of the words shows an edit similarity (1 - edits / wo
 more. Classes are connected components of links.
 
 Texts with the same words are one node, by partial aggregation, before anything else. Buckets (texts with one sketch)
-with the same nodes are one bucket. In rounds, leaders of each bucket are compared with all its nodes of other classes
-and then leave it: one leader at first, then the one of most links, then a growing number. A bucket is
-done when what is left of it is one class, so any two texts of a bucket end in one class or were compared: classes are
-those of comparing every pair of every bucket. Texts that are too unequal in length to be a link are not compared. A
-bucket of n texts that are alike in nothing but a sketch costs n * n / 2 comparisons. No bucket is ever in one task,
-every round is materialised, no links are collected, and rounds do not broadcast, as what is broadcast stays in the driver.
+with the same nodes are one bucket. In the first round the node of each bucket that meets the most others in all its
+buckets, most likely what the others were copied from, is compared with all the rest; links make classes. In the second
+the node of most links and a few others are compared with what is not of their class. In the last, any two nodes of a
+bucket that are still of different classes are compared, but for pairs that are too unequal in length, or in how often
+words of each of 256 hash buckets stand in them, for their edit distance to be within the band. So any two texts of a
+bucket end in one class or were compared: classes are those of comparing every pair of every bucket. A bucket of n texts
+that are alike in nothing but a sketch costs n * n / 2 comparisons of counts. No bucket is ever in one task, no links are
+collected, and rounds do not broadcast. Intermediate tables are written in the shared folder and deleted when they have
+served.
 
 Defined results: a null text counts as empty; texts without words are one class. A text of fewer than five words is one
-shingle. Null doc_ids are not compared: their class is null. Rows with one doc_id are nodes by their words; a doc_id
-with several texts has a row, and a class, for each. An empty table gives no rows. Extra columns are not read.
+shingle. Rows with a null doc_id rank last in a class, by a hash of their text; a class of such rows alone has a null
+class_id. Rows with one doc_id are nodes by their words; a doc_id with several texts has a row, and a class, for each.
+A doc_id that is not a number is an error. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,13 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm._common import cut, text_of
+from chronolith.llm._common import Scratch, cut, small, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
-#: By how much the leaders of a bucket grow from the third round on.
-MORE_LEADERS = 64
+#: Nodes of a bucket that lead it in the second round, about; hash buckets whose words are counted.
+MORE_LEADERS, COUNTS = 16, 256
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
-BATCH_WORDS, KEPT_WORDS = 200_000, 200_000
+BATCH_WORDS, KEPT_WORDS = 200_000, 100_000
 
 _WORDS = re.compile(r"[^\W_]+")
 _PLACE = np.uint64((1 << 24) - 1)
@@ -231,62 +235,88 @@ def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return band + 1
 
 
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
 def signatures(docs: DataFrame, count: int = SKETCHES) -> DataFrame:
-    """doc_id, tie (a hash of the text), node, n_words and sketches of each text."""
+    """rank (doc_id, nulls last), tie (a hash of the text), node, n_words and sketches of each text."""
+    names = ["rank", "tie", "node", "n_words", "sketches"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, waiting, size = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie")), strict=True), [], 0
-
-            def flush(waiting=waiting) -> pa.RecordBatch:
-                full = [w for _, w in waiting if len(w)]
+            ids, texts, at = batch.select(["rank", "tie"]), batch.column("text"), 0
+            while at < len(batch):
+                words, size = [], 0
+                while at + len(words) < len(batch) and size <= BATCH_WORDS:
+                    words.append(hashes(texts[at + len(words)].as_py()))
+                    size += len(words[-1])
+                full = [w for w in words if len(w)]
                 found = iter(sketches(full, count) if full else [])
-                out = pa.RecordBatch.from_arrays([
-                    *(pa.array(c, pa.int64()) for c in zip(*((*ids, node_of(w), len(w)) for ids, w in waiting), strict=True)),
-                    pa.array([next(found) if len(w) else [] for _, w in waiting], pa.list_(pa.int64())),
-                ], names=["doc_id", "tie", "node", "n_words", "sketches"])
-                waiting.clear()
-                return out
-
-            for doc, text in zip(ids, batch.column("text").to_pylist(), strict=True):
-                words = hashes(text)
-                waiting.append((doc, words))
-                size += len(words)
-                if size > BATCH_WORDS:
-                    yield flush()
-                    size = 0
-            if waiting:
-                yield flush()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), "text").mapInArrow(made, "doc_id long, tie long, node long, n_words long, sketches array<long>")
+                yield pa.RecordBatch.from_arrays([
+                    *ids.slice(at, len(words)).columns, pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([next(found) if len(w) else [] for w in words], pa.list_(pa.int64())),
+                ], names=names)
+                at += len(words)
+
+    return docs.select(_rank().alias("rank"), F.xxhash64(text_of()).alias("tie"), "text").mapInArrow(made, "rank long, tie long, node long, n_words long, sketches array<long>")
 
 
 def _word_table(docs: DataFrame) -> DataFrame:
-    """node and its words' hashes, as bytes, of each text."""
+    """node, its words' hashes and its counts of words by hash bucket, as bytes, of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            texts = [hashes(t) for t in batch.column("text").to_pylist()]
-            # 32 bits are enough to compare the words of two texts.
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in texts], pa.int64()), pa.array([w.astype(np.uint32).tobytes() for w in texts], pa.binary())], names=["node", "words"])
+            for at in range(0, len(batch), 256):
+                words = [hashes(t.as_py()) for t in batch.column("text").slice(at, 256)]
+                counts = [np.minimum(np.bincount((w & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for w in words]
+                # 32 bits are enough to compare the words of two texts.
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in words], pa.int64()), pa.array([w.astype(np.uint32).tobytes() for w in words], pa.binary()), pa.array(counts, pa.binary())], names=["node", "words", "counts"])
 
-    return docs.select("text").mapInArrow(made, "node long, words binary")
+    return docs.select("text").mapInArrow(made, "node long, words binary, counts binary")
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    left = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
-    right = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
+def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with a column of each of the two nodes."""
+    left, right = of.select(F.col("node").alias("a"), F.col(column).alias("of_a")), of.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "of_a", "of_b")
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _filtered(pairs: DataFrame, test) -> DataFrame:
+    """The pairs whose two values pass test(list, list)."""
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [[np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in batch.column(c)] for c in ("words_a", "words_b")]
-            keep = pa.array([similar(x, y, least) for x, y in zip(*seqs, strict=True)], pa.bool_())
+            keep = pa.array(test(batch.column("of_a"), batch.column("of_b")), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(aligned, "a long, b long")
+    return pairs.mapInArrow(passing, "a long, b long")
+
+
+def possible(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose counts of words let them be links: an edit changes the counts by two at most."""
+
+    def test(left, right) -> list[bool]:
+        out: list[bool] = []
+        for at in range(0, len(left), 2048):
+            a, b = (np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in c.slice(at, 2048)]).astype(np.int16) for c in (left, right))
+            # Counts that were cut off at 255 differ by no more than the true ones, but sum to less than the words: they pass.
+            longer, cut_off = np.maximum(a.sum(1), b.sum(1)), (a == 255).any(1) | (b == 255).any(1)
+            out += (cut_off | (np.abs(a - b).sum(1) <= 2 * np.floor((1 - least) * longer + 1e-9))).tolist()
+        return out
+
+    return _filtered(_with_both(pairs, words, "counts"), test)
+
+
+def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts align."""
+
+    def test(left, right) -> list[bool]:
+        return [similar(np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32), least) for x, y in zip(left, right, strict=True)]
+
+    return _filtered(_with_both(pairs, words, "words"), test)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,60 +340,74 @@ def _no_longer(a: str, b: str, least: float) -> Column:
     return longer - F.least(a, b) <= F.floor((1 - least) * longer + 1e-9)
 
 
-def _linked(members: DataFrame, words: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _led(now: DataFrame, turn: int, least: float) -> DataFrame:
+    """now (key, node, n_words, label, merit) with leads, whether the node is compared with all of other classes in its bucket."""
+    open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", F.struct("merit", "node")).alias("best")).where("low <> high")
+    chance = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    leads = (F.col("node") == F.col("best")) | (chance * F.col("n") < (0.0 if turn == 0 else float(MORE_LEADERS)))
+    return now.hint("merge").join(open_.select("key", "n", "best"), "key").select("key", "node", "n_words", "label", leads.alias("leads"))
+
+
+def _all_left(now: DataFrame) -> DataFrame:
+    """now with leads: all nodes that are not of their bucket's largest class."""
+    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
+    return now.hint("merge").join(largest, "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("largest")).alias("leads"))
+
+
+def _linked(members: DataFrame, words: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The links (a, b), and node and label, the same for all nodes of a class, of the nodes of members (key, node, n_words)."""
-    labels = cut(members.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")))
-    links, tried, left, turn = None, None, members, 0
-    while True:
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    merits = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("merit"))
+    labels = scratch.keep("labels-0", merits.select("node", F.col("node").alias("label"), "merit"))
+    links, left = None, members
+    for turn in range(3):
         now = left.hint("merge").join(labels, "node")
-        chance = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", F.struct("degree", "node")).alias("best")).where("low <> high")
-        share = 0.0 if turn < 2 else float(MORE_LEADERS ** (turn - 1))
-        now = cut(now.hint("merge").join(open_.select("key", "n", "best"), "key").select("key", "node", "n_words", "label", ((F.col("node") == F.col("best")) | (chance * F.col("n") < share)).alias("leads")))
-        if now.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), labels.select("node", "label")
+        now = scratch.keep(f"led-{turn}", _led(now, turn, least) if turn < 2 else _all_left(now))
         leaders = now.where("leads").select("key", F.col("node").alias("x"), F.col("label").alias("its"), F.col("n_words").alias("size"))
         # Of two leaders the lesser is compared with the other.
         apart = (F.col("label") != F.col("its")) & (~F.col("leads") | (F.col("x") < F.col("node"))) & _no_longer("n_words", "size", least)
         pairs = now.hint("merge").join(leaders, "key").where(apart).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.hint("merge").join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        fresh = cut(verified(pairs, words, least))
+        if turn:
+            pairs = possible(pairs, words, least)
+        fresh = scratch.keep(f"links-{turn}", verified(pairs, words, least))
         links = fresh if links is None else links.union(fresh)
-        left, turn = now.where("not leads").select("key", "node", "n_words"), turn + 1
-        if fresh.isEmpty():
-            continue
+        if turn < 2:
+            left = now.where("not leads").select("key", "node", "n_words")
         # Classes that a fresh link joins become one.
         of = labels.select("node", "label")
-        joined = fresh.hint("merge").join(of.toDF("a", "la"), "a").hint("merge").join(of.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        joined = fresh.hint("merge").join(of.toDF("a", "la"), "a").hint("merge").join(of.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("into"))
         more = fresh.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
-        labels = cut(labels.hint("merge").join(merged, "label", "left").hint("merge").join(more, "node", "left").select("node", F.coalesce("into", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")), release=True)
+        # From the second round on a node's merit is its number of links.
+        labels = scratch.keep(f"labels-{turn + 1}", labels.hint("merge").join(merged, "label", "left").hint("merge").join(more, "node", "left").select("node", F.coalesce("into", "label").alias("label"), F.coalesce("more", F.lit(0)).alias("merit")))
+    return links.distinct(), labels.select("node", "label")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
     """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (verified links of its words) and
     first (whether it is the one of its class that stays) of each document."""
-    known = docs.where("doc_id is not null")
-    signed = cut(signatures(known, count))
-    nodes = cut(signed.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("top"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words")).select("node", "top", F.col("top.doc_id").alias("first_doc"), "n_words", "sketches"))
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    signed = scratch.keep("signed", signatures(docs, count))
+    nodes = scratch.keep("nodes", signed.where("n_words > 0").groupBy("node").agg(F.min(F.struct("rank", "tie")).alias("top"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words")))
     keys = nodes.select("node", "n_words", F.posexplode("sketches").alias("i", "s")).select("node", "n_words", F.xxhash64("i", "s").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("n > 1")
     shared = shared.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
-    members = cut(keys.join(shared, "key").select("key", "node", "n_words"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "first_doc"), "node")
-    texts = known.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted.select("first_doc").distinct(), "first_doc", "left_semi")
-    words = cut(_word_table(texts).groupBy("node").agg(F.first("words").alias("words")))
-    links, labels = _linked(members, words, least)
+    members = scratch.keep("members", keys.join(shared, "key").select("key", "node", "n_words"))
+    wanted = scratch.keep("wanted", members.select("node").distinct().join(nodes.select("node", "top"), "node").select("top.rank", "top.tie"))
+    texts = docs.select(_rank().alias("rank"), F.xxhash64(text_of()).alias("tie"), "text").join(small(wanted), ["rank", "tie"], "left_semi")
+    words = scratch.keep("words", _word_table(texts).groupBy("node").agg(F.first("words").alias("words"), F.first("counts").alias("counts")))
+    links, labels = _linked(members, words, least, scratch)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "top").join(labels, "node", "left").join(ends, "node", "left").select("node", "top", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = placed.groupBy("label").agg(F.min("top").alias("class_top"))
-    of_node = cut(placed.join(named, "label").select("node", "class_top", "n_links"))
+    of_node = placed.join(named, "label").select("node", "class_top", "n_links")
     # Texts without words are one class.
-    empty = signed.where("n_words = 0").agg(F.min(F.struct("doc_id", "tie")).alias("empty_top"))
-    found = signed.select("doc_id", "tie", "node", "n_words").join(of_node, "node", "left").join(F.broadcast(empty), F.lit(True), "left")
+    empty = signed.where("n_words = 0").agg(F.min(F.struct("rank", "tie")).alias("empty_top"))
+    found = signed.select("rank", "tie", "node", "n_words").join(of_node, "node", "left").join(F.broadcast(empty), F.lit(True), "left")
     found = found.withColumn("top", F.when(F.col("n_words") == 0, F.col("empty_top")).otherwise(F.col("class_top")))
-    first = (F.col("doc_id") == F.col("top.doc_id")) & (F.col("tie") == F.col("top.tie"))
-    found = found.select("doc_id", "tie", F.col("top.doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
-    return found.unionByName(nameless)
+    named_id = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c))
+    first = (F.col("rank") == F.col("top.rank")) & (F.col("tie") == F.col("top.tie"))
+    result = cut(found.withColumn("top_rank", F.col("top.rank")).select(named_id("rank").alias("doc_id"), "tie", named_id("top_rank").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first")))
+    scratch.close()
+    return result
