@@ -5,8 +5,10 @@ as well. A unit is normalised (letters lower-cased, runs of characters that are
 and digested. Digests are grouped globally, whatever unit they are of: the occurrence with the smallest (doc_id, place)
 stays and every later one is removed, with its code-point offsets in the original text retained. Units with fewer than
 ``min_words`` words are never removed by themselves, since they repeat by chance; what stands between two removed units
-and has fewer words than that in each line is removed with them, as it is part of a repeated passage. The sentences that
-a repeated passage begins and ends within stay.
+and has fewer words than that in each line is removed with them, as it is part of a repeated passage. For the same reason
+a run of repeated units, one after the other, is removed only if it has at least ``min_run`` words in all: a repeated
+short line or sentence among new text stays. The sentences that a repeated passage begins and ends within stay. In
+scripts without spaces two letters count as a word.
 
 The first occurrence of a digest comes from an aggregation with partial minima, so a unit that stands in a third of
 all documents moves as one row per task. Its row is joined back by digest, which adaptive execution splits if skewed.
@@ -29,11 +31,12 @@ from pyspark.sql import types as T
 
 from chronolith.llm._common import cut, text_of
 
-MIN_WORDS = 5
-
+#: Words of the shortest unit that is digested, and of the shortest run of units that is removed.
+MIN_WORDS, MIN_RUN = 5, 20
 
 _APART = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 #: Ends of sentences, and blank lines.
 _END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”’）]*")
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
@@ -43,8 +46,13 @@ def normalised(part: str) -> str:
     return _APART.sub(" ", part.lower()).strip()
 
 
+def n_words(text: str) -> int:
+    """Words of a text; two letters of Thai, Lao, Burmese, Khmer, kana or Han are one."""
+    return len(text.split()) + (0 if text.isascii() else len(_UNSPACED.findall(text)) // 2)
+
+
 def _long(norm: str, min_words: int) -> bool:
-    return norm.count(" ") + 1 >= min_words
+    return norm.count(" ") + 1 >= min_words or n_words(norm) >= min_words
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, str]]:
@@ -98,7 +106,7 @@ def cells_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return base.mapInArrow(made, T.StructType(fields))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """One row per document: doc_id, text (what is kept), n_lines, n_removed, n_removed_chars and removed: its removed lines
     and parts of lines as (start, length, first_doc), in code points of the original text; first_doc is null for what is short and stands between."""
     cells = cells_of(docs, min_words)
@@ -120,13 +128,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             kinds = [kind, pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("first_doc", kind)]))]
-            done = [(d, *removal(t, [x for x in h or () if x["place"] >= 0], min_words, [x for x in h or () if x["place"] < 0])) for d, t, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")), strict=True)]
+            done = [(d, *removal(t, [x for x in h or () if x["place"] >= 0], min_words, [x for x in h or () if x["place"] < 0], min_run)) for d, t, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True) if done else [[]] * 6, kinds, strict=True)], names=schema.names)
 
     return both.select("doc_id", "text", "hits").mapInArrow(assemble, schema)
 
 
-def removal(text: str, hits: list[dict] | None, min_words: int, spans: list[dict] = ()) -> tuple[str, int, int, int, list[dict]]:
+def removal(text: str, hits: list[dict] | None, min_words: int, spans: list[dict] = (), min_run: int = 0) -> tuple[str, int, int, int, list[dict]]:
     """What dedup() returns of a text, from its removed lines (by place) and sentences (by start and end)."""
     parts = text.split("\n")
     firsts = {h["place"]: h["first_doc"] for h in hits or ()}
@@ -134,35 +142,42 @@ def removal(text: str, hits: list[dict] | None, min_words: int, spans: list[dict
     for part in parts:
         starts.append(at)
         at += len(part) + 1
-    # What is removed of each line, as (start, end, first_doc) in the line, in order and apart.
-    gone: dict[int, list[tuple]] = {i: [(0, len(parts[i]), first)] for i, first in firsts.items()}
+    # What repeats in each line, as (start, end, first_doc) in the line, in order and apart.
+    again: dict[int, list[tuple]] = {i: [(0, len(parts[i]), first)] for i, first in firsts.items()}
     for span in sorted(spans, key=lambda x: (x["start"], -x["end"])):
         i = bisect_right(starts, span["start"]) - 1
         while i < len(parts) and starts[i] < span["end"]:
-            mine = gone.setdefault(i, [])
+            mine = again.setdefault(i, [])
             x, y = max(span["start"] - starts[i], mine[-1][1] if mine else 0), min(span["end"] - starts[i], len(parts[i]))
             if x < y:
                 mine.append((x, y, span["first_doc"]))
             i += 1
-    waiting: list[tuple] = []  # (line, start, end) of what is short, since what was last removed
-    after = False
-    between: list[tuple] = []
-    for i, part in enumerate(parts):
+    gone: dict[int, list[tuple]] = {}
+    run: list[tuple] = []  # (line, start, end, first_doc) of what repeats, and of what is short between
+    waiting: list[tuple] = []  # the same of what is short since then
+
+    def settle() -> None:
+        if sum(n_words(parts[i][x:y]) for i, x, y, _ in run) >= min_run:
+            for i, x, y, first in run:
+                gone.setdefault(i, []).append((x, y, first))
+        run.clear()
+        waiting.clear()
+
+    for i, part in enumerate(parts if again else ()):
         at = 0
-        for x, y, _ in [*gone.get(i, ()), (len(part), len(part), None)]:
-            last = x == y == len(part) and not (y == 0 and i in firsts and at == 0)
-            if at < x or not part and i not in firsts:
-                if len(part[at:x].split()) < min_words:
-                    waiting.append((i, at, x))
+        for x, y, first in [*again.get(i, ()), (len(part), len(part), None)]:
+            if at < x or not part:
+                if n_words(part[at:x]) < min_words:
+                    waiting.append((i, at, x, None))
                 else:
-                    waiting, after = [], False
-            if not last:
-                if after:
-                    between += waiting
-                waiting, after = [], True
+                    settle()
+            if x < y:
+                if run:
+                    run += waiting
+                waiting.clear()
+                run.append((i, x, y, first))
             at = y
-    for i, x, y in between:
-        gone.setdefault(i, []).append((x, y, None))
+    settle()
     kept, removed = [], []
     for i, part in enumerate(parts):
         mine = sorted(gone.get(i, ()), key=lambda r: r[:2])
