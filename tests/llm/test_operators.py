@@ -395,7 +395,9 @@ def test_near_dedup(spark, docs, corpus, nothing):
     assert len(result) == len(corpus)
     empty = {r["class_id"] for r in result if r["doc_id"] in (40, 41, 42)}
     assert empty == {40} and {r["class_id"] for r in result if r["doc_id"] in (44, 45)} == {0}
-    assert all(r["class_id"] is None for r in result if r["doc_id"] is None)
+    texts = dict((t, i) for i, t in corpus if i is not None)
+    assert {r["class_id"] for r in result if r["doc_id"] is None} == {7, None} and not any(r["first"] for r in result if r["doc_id"] is None and r["class_id"] == 7)
+    assert sum(r["first"] for r in result if r["class_id"] is None) == 1 and texts[corpus[7][1]] == 7
     assert near_dedup.classes(nothing).collect() == []
 
 
@@ -470,7 +472,7 @@ def covered(texts, length):
 
 @pytest.mark.parametrize("limit", [1000, 2])
 def test_suffix_dedup(docs, corpus, nothing, limit):
-    texts = sorted({(i, t or "") for i, t in corpus}, key=lambda x: (x[0] is None, x[0] or 0, (spark_order(x[1]) % (1 << 64)) >> 33))
+    texts = sorted({(i, t or "") for i, t in corpus}, key=lambda x: (x[0] is None, x[0] or 0, spark_order(x[1])))
     want = collections.Counter()
     times = collections.Counter((i, t or "") for i, t in corpus)
     for (i, t), gone in zip(texts, covered([t.encode() for _, t in texts], 100), strict=True):
@@ -495,9 +497,40 @@ def test_suffix_dedup_small_alphabets(spark):
 def test_anchors_across_pieces(monkeypatch):
     rng = random.Random(8)
     texts = [prose(rng, n).encode() for n in (3, 900, 0, 40, 2000)]
-    whole = {(i, p, h) for t, ps, hs in suffix_dedup.text_anchors(texts) for i, p, h in zip(t.tolist(), ps.tolist(), hs.tolist(), strict=True)}
+    found = lambda: {x for block in suffix_dedup.text_anchors(texts) for x in zip(*(column.tolist() for column in block), strict=True)}
+    whole = found()
+    assert len({c for *_, c, _ in whole}) > 0.9 * len(whole) > 100
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
-    assert {(i, p, h) for t, ps, hs in suffix_dedup.text_anchors(texts) for i, p, h in zip(t.tolist(), ps.tolist(), hs.tolist(), strict=True)} == whole
+    assert found() == whole
+
+
+def test_suffix_dedup_of_many_without_an_id(spark):
+    """Texts that share a rank are told apart by 64 bits, and each loses its own strings alone."""
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    texts = sorted({prose(rng, rng.randint(5, 40)) + (passage if i % 5 == 0 else "") + prose(rng, 5) for i in range(600)}, key=spark_order)
+    frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = collections.Counter(bytes(r["kept"]) for r in suffix_dedup.dedup(frame).collect())
+    assert got == collections.Counter(bytes(b for b, g in zip(t.encode(), gone, strict=True) if not g) for t, gone in zip(texts, covered([t.encode() for t in texts], 100), strict=True))
+
+
+def test_suffix_array_finds_what_contexts_share():
+    """Removed strings of distinct contexts of one anchor, against all pairs of their strings."""
+    rng = random.Random(19)
+    for _ in range(60):
+        sides = [("".join(rng.choice("ab") * rng.randint(1, 9) for _ in range(12))[-16:], "anchor" + "".join(rng.choice("ab") * rng.randint(1, 9) for _ in range(12))[:24]) for _ in range(rng.randint(2, 9))]
+        group = [((k, 0), 100 * k + 50, left.encode(), right.encode()) for k, (left, right) in enumerate(dict.fromkeys(sides))]
+        seen, want = set(), set()
+        for key, place, left, right in group:
+            text = left + right
+            for at in range(len(text) - 19):
+                if text[at : at + 20] in seen:
+                    want |= {(key, place - len(left) + at + k) for k in range(20)}
+            seen |= {text[at : at + 20] for at in range(len(text) - 19) if at <= len(left) and at + 20 >= len(left) + 6}
+        want = {x for x in want}
+        got = {(key, k) for key, a, b in suffix_dedup.later(group, 20) for k in range(a, b)}
+        holds = {(key, place - len(left) + at + k) for key, place, left, right in group for at in range(len(left + right) - 19) if at <= len(left) and at + 20 >= len(left) + 6 for k in range(20)}
+        assert want & holds <= got
 
 
 def test_token_files(spark, docs, corpus, nothing, tmp_path):
