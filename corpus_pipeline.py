@@ -27,13 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least doc_id; documents without an id stay."""
-    kept = near_dedup.classes(docs).where("first and doc_id is not null").select(F.col("doc_id").alias("k"), F.col("tie").alias("t")).distinct()
-    named = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64(text_of()).alias("tie"))
-    # Of equal rows one stays.
+    """One document of each class of near-duplicates: that of the least doc_id, documents without an id coming last; of equal rows one stays."""
+    kept = near_dedup.classes(docs).where("first").select(F.col("doc_id").alias("k"), F.col("tie").alias("t")).distinct()
+    named = docs.select(*COLUMNS, F.xxhash64(text_of()).alias("tie"))
+    stays = named.join(kept, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("source", "lang"))
-    named = named.join(kept, (F.col("doc_id") == F.col("k")) & (F.col("tie") == F.col("t")), "left_semi").withColumn("nth", nth).where("nth = 1")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    return stays.withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
