@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many bytes each times BROADCAST_ROWS stay far below any executor's memory.
 BROADCAST_ROWS = 50_000
+#: Bytes of rows that a Python worker gets at once.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark hand Python workers a few MB of rows at a time, however long the texts, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(name, None) is None:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/chronolith-{kind}-{uuid.uuid4().hex}"
 

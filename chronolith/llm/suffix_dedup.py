@@ -9,8 +9,8 @@ A text that an earlier document has as well is removed whole. Of distinct texts:
    equal offsets, so a string repeats only if its anchor does. Around an anchor, a context holds every string of LENGTH
    bytes that contains it. Anchors are dealt by their hash once; those that stand in one place alone go.
 2. Equal contexts of an anchor are one, that of the earliest place: in the others every string starts earlier too.
-3. Distinct contexts of one anchor go to one task, which trims the margins that no other of them shares and sorts the
-   suffixes of the rest by linear grouping (suffix_array.py). Of suffixes that agree in LENGTH bytes the earliest start
+3. Distinct contexts of one anchor go to one task, which trims the margins that no other of them shares, makes what has
+   become equal one, and sorts the suffixes of the rest by linear grouping (suffix_array.py). Of suffixes that agree in LENGTH bytes the earliest start
    stays; the others are removed.
 4. Anchors with more than LIMIT distinct contexts are refined until they have fewer: of the bytes of a string beside its
    anchor, half lie on one side. So each context gives one with the anchor longer by half of what is missing on the
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,8 +171,19 @@ def later(group: list[tuple], length: int = LENGTH) -> list[tuple]:
             c = _common(texts[x], texts[y])
             shared[x][side] = max(shared[x][side], c)
             shared[y][side] = max(shared[y][side], c)
-    rest = [(left[len(left) - on_left :] + right[:on_right], key, place - on_left) for (key, place, left, right), (on_left, on_right) in zip(group, shared, strict=True) if on_left + on_right >= length]
-    return sorted_runs(rest, length) if len(rest) > 1 else []
+    # Equal rests are one, that of the earliest place; the others go whole.
+    merged: dict[bytes, list[tuple]] = {}
+    for (key, place, left, right), (on_left, on_right) in zip(group, shared, strict=True):
+        if on_left + on_right >= length:
+            merged.setdefault(left[len(left) - on_left :] + right[:on_right], []).append((key, place - on_left))
+    removed = []
+    for text, holders in merged.items():
+        # Contexts that overlap can be trimmed to one and the same place.
+        _, *others = sorted(set(holders))
+        removed += [(key, start, start + len(text)) for key, start in others]
+    if len(merged) > 1:
+        removed += sorted_runs([(text, *min(holders)) for text, holders in merged.items()], length)
+    return removed
 
 
 def sorted_runs(items: list[tuple], length: int = LENGTH) -> list[tuple]:
@@ -238,12 +249,54 @@ def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """The rows whose h stands in several places, with first (whether it is the earliest of its h and c) and contexts (how many c the h has)."""
-    own = F.struct("rank", "tie", "place")
-    marked = rows.repartition("h").withColumn("first", F.min(own).over(Window.partitionBy("h", "c")) == own)
-    of = Window.partitionBy("h")
-    counted = marked.withColumns({"n": F.count("*").over(of), "contexts": F.sum(F.col("first").cast("int")).over(of)})
-    return counted.where("n > 1 and (not first or contexts > 1)").drop("n", "c")
+    """The rows whose h stands in several places, with first: whether it is the earliest of its h and c. A row that is first comes only if its h has several c.
+
+    Rows are dealt by h and pass in order of h, c and place, so a group is never held: a row or two are, to see what follows.
+    """
+    names = [f.name for f in rows.schema.fields if f.name != "c"]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[int] | None = None  # the key of the row before
+        waiting: pa.RecordBatch | None = None  # the first row of the last h while that has one c
+
+        def out(part: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(first)], names=[*names, "first"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            # Which of the keys differ from those of the row before.
+            changes = []
+            for k, name in enumerate(("h", "c", "rank", "tie", "place")):
+                x = batch.column(name).to_numpy()
+                before = np.concatenate((x[:1] if last is None else np.array([last[k]], dtype=x.dtype), x[:-1]))
+                changes.append(x != before)
+            new_h = changes[0]
+            new_h[0] |= last is None
+            new_c = new_h | changes[1]
+            # Equal rows of the input give a place more than once.
+            fresh = new_c | changes[2] | changes[3] | changes[4]
+            # Runs of one h; the first may go on from the batch before, the last may go on in the next.
+            starts = np.flatnonzero(new_h)
+            run = np.cumsum(new_h)  # 0: goes on
+            kinds = np.bincount(run, weights=new_c, minlength=len(starts) + 1).astype(np.int64)
+            open_before = not new_h[0]
+            if open_before and kinds[0] and waiting is not None:
+                yield out(waiting, np.array([True]))
+            several = kinds > 1
+            # A run that goes on already had a c, so any new one is a second.
+            several[0] = open_before and kinds[0] > 0
+            keep = fresh & (~new_c | several[run])
+            if keep.any():
+                yield out(batch.filter(pa.array(keep)), new_c[keep])
+            if len(starts):
+                waiting = None if several[-1] else batch.slice(int(starts[-1]), 1)
+            elif kinds[0]:
+                waiting = None
+            last = [batch.column(n)[len(batch) - 1].as_py() for n in ("h", "c", "rank", "tie", "place")]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "c")
+    return rows.repartition("h").sortWithinPartitions("h", "c", "rank", "tie", "place").mapInArrow(made, f"{fields}, first boolean")
 
 
 _FOUND = "rank long, tie long, start long, end long"
@@ -321,29 +374,29 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int
     found = [copied, rows.where("not first").select("rank", "tie", F.greatest(F.col("place") - reach, F.lit(0)).alias("start"), "end").where(F.col("end") - F.col("start") >= length)]
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "rank", "tie", "place", "contexts", "left", "right"]
-        kinds = [*[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.binary()] * 2]
+        names = ["h", "rank", "tie", "place", "left", "right"]
+        kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.binary()] * 2]
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part, out = batch.slice(at, 64), []
                 for text, rank, tie, open_ in zip(_texts(part), *(part.column(c).to_pylist() for c in ("rank", "tie", "open")), strict=True):
-                    out += [(x["h"], rank, tie, x["place"], x["contexts"], *context(text, x["place"], length, gram)) for x in open_]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
-
-    wanted = rows.where("first and contexts > 1").groupBy("rank", "tie").agg(F.collect_list(F.struct("h", "place", F.col("contexts").cast("int").alias("contexts"))).alias("open"))
-    held = everything.join(wanted, ["rank", "tie"])
-    group = scratch.keep("contexts", held.select("rank", "tie", "text", "open").mapInArrow(bytes_of, "h long, rank long, tie long, place int, contexts int, left binary, right binary"))
-    level = 0
-    group = group.selectExpr("*", "0 AS on_left", f"{gram} AS on_right")
+                    out += [(x["h"], rank, tie, x["place"], *context(text, x["place"], length, gram)) for x in open_]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
+
+    wanted = rows.where("first").groupBy("rank", "tie").agg(F.collect_list(F.struct("h", "place")).alias("open"))
+    group = scratch.keep("contexts", everything.join(wanted, ["rank", "tie"]).select("rank", "tie", "text", "open").mapInArrow(bytes_of, "h long, rank long, tie long, place int, left binary, right binary"))
+    group, level = group.selectExpr("*", "0 AS on_left", f"{gram} AS on_right"), 0
     while True:
-        found.append(_sorted_groups(group.where(F.col("contexts") <= limit), length))
-        large = group.where((F.col("contexts") > limit) & (F.col("on_left") + F.col("on_right") < length)).drop("contexts")
-        if large.isEmpty():
+        many = scratch.keep(f"many-{level}", group.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("h"))
+        if many.isEmpty():
+            found.append(_sorted_groups(group, length))
             break
+        many = small(many)
+        found.append(_sorted_groups(group.join(many, "h", "left_anti"), length))
         level += 1
-        group = scratch.keep(f"refined-{level}", _grouped(_refined(large, length)))
+        group = scratch.keep(f"refined-{level}", _grouped(_refined(group.join(many, "h", "left_semi"), length)))
         found.append(group.where("not first").selectExpr("rank", "tie", "place - length(left) AS start", "place + length(right) AS end"))
-        group = group.where("first and contexts > 1").drop("first").withColumn("contexts", F.col("contexts").cast("int"))
+        group = group.where("first").drop("first")
     every = functools.reduce(DataFrame.union, [x.selectExpr("rank", "tie", "cast(start AS bigint) AS start", "cast(end AS bigint) AS end") for x in found])
     marks = every.groupBy("rank", "tie").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
     marks = cut(marks.join(texts.select("rank", "tie", "hash"), ["rank", "tie"]).select("rank", F.col("hash").alias("tie"), "marks"))
@@ -352,7 +405,8 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, doc_id, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (the remaining bytes) of each document."""
+    """keep, doc_id, n_bytes, n_removed, n_spans, spans (array of start, end), kept (the remaining bytes) and kept_text (them
+    without what is left of characters that were cut apart) of each document."""
     marks = removals(docs, length, gram, limit)
     columns = [c for c in dict.fromkeys((*keep, "doc_id")) if c != "text"]
     base = docs.select(*columns, _rank().alias("__rank"), _tie().alias("__tie"), text_of().alias("__text"))
@@ -361,7 +415,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int =
     kept_fields = [both.schema[c] for c in columns]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, max(len(b), 1), 256)):
             rows = []
             for text, marked in zip(_texts(batch), batch.column("marks").to_pylist(), strict=True):
                 gone: list[list[int]] = []
@@ -370,13 +424,14 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int =
                         gone[-1][1] = max(gone[-1][1], m["end"])
                     else:
                         gone.append([m["start"], m["end"]])
-                rest = b"".join(text[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(text)], strict=True))
-                rows.append((len(text), len(text) - len(rest), len(gone), [{"start": a, "end": b} for a, b in gone], rest))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
+                parts = [text[a:b] for a, b in zip([0, *(g[1] for g in gone)], [*(g[0] for g in gone), len(text)], strict=True)]
+                rest = b"".join(parts)
+                rows.append((len(text), len(text) - len(rest), len(gone), [{"start": a, "end": b} for a, b in gone], rest, "".join(part.decode("utf-8", "ignore") for part in parts)))
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.string()]
+            new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new], names=[*columns, *names])
 
-    names = ["n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    names = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text"]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*kept_fields, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*kept_fields, *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     return both.mapInArrow(made, schema)
