@@ -18,8 +18,8 @@ A text that an earlier document has as well is removed whole. Of distinct texts:
    at most seven refinements an anchor is the whole string, and has one context.
 5. Removed strings of a document are merged into spans.
 
-An anchor that stands in a third of all documents is one of the many of each document, so no task gets more than a few
-times its share of them. Intermediate tables are written in the shared folder and deleted when they have served.
+A context that its own text has earlier goes at once, so an anchor has a row for each text and context at most. One that
+stands in a third of all documents is one of the many of each, so no task gets more than a few times its share of rows. Intermediate tables are written in the shared folder and deleted when they have served.
 
 Defined results: a null text counts as empty. Null doc_ids rank last, by a 64-bit hash of their text. Rows with one doc_id
 but other texts rank by that hash; equal rows count as one document. A doc_id that is not a number is an error. An empty
@@ -236,24 +236,37 @@ def _tie() -> Column:
 
 
 def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, c (a hash of the context), rank, tie, place and end (of the context) of every anchor."""
-    names = ["h", "c", "rank", "tie", "place", "end"]
+    """h, c (a hash of the context), rank, tie, place and end (of the context) of every anchor, and known: whether its text has the
+    same context earlier. Those go for certain, so they get an h of their own and do not meet in one task."""
+    names = ["h", "c", "rank", "tie", "place", "end", "known"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks, ties = batch.column("rank").to_numpy(), batch.column("tie").to_numpy()
             for text, place, h, c, end in text_anchors(_texts(batch), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ranks[text]), pa.array(ties[text]), pa.array(place, pa.int32()), pa.array(end, pa.int32())], names=names)
-
-    return docs.mapInArrow(made, "h long, c long, rank long, tie long, place int, end int")
+                if not len(h):
+                    continue
+                order = np.lexsort((place, c, h, text))
+                again = np.ones(len(order), dtype=bool)
+                again[0] = False
+                for x in (text, h, c):
+                    again[1:] &= x[order][1:] == x[order][:-1]
+                known = np.zeros(len(order), dtype=bool)
+                known[order[again]] = True
+                rank, tie = ranks[text], ties[text]
+                own = _mixed(_mixed(h.view(np.uint64) + place.astype(np.uint64) * np.uint64(_BASE)) + rank.view(np.uint64) + tie.view(np.uint64) * _MIX).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(known, own, h)), pa.array(c), pa.array(rank), pa.array(tie), pa.array(place, pa.int32()), pa.array(end, pa.int32()), pa.array(known)], names=names)
+
+    return docs.mapInArrow(made, "h long, c long, rank long, tie long, place int, end int, known boolean")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """The rows whose h stands in several places, with first: whether it is the earliest of its h and c. A row that is first comes only if its h has several c.
+    """The rows whose h stands in several places, with first: whether it is the earliest of its h and c. A row that is first comes only if its h has several c. Rows that are known come and are not first.
 
     Rows are dealt by h and pass in order of h, c and place, so a group is never held: a row or two are, to see what follows.
     """
-    names = [f.name for f in rows.schema.fields if f.name != "c"]
+    names = [f.name for f in rows.schema.fields if f.name not in ("c", "known")]
+    marked = "known" in rows.columns
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[int] | None = None  # the key of the row before
@@ -286,16 +299,19 @@ def _grouped(rows: DataFrame) -> DataFrame:
             several = kinds > 1
             # A run that goes on already had a c, so any new one is a second.
             several[0] = open_before and kinds[0] > 0
-            keep = fresh & (~new_c | several[run])
+            keep, first = fresh & (~new_c | several[run]), new_c
+            if marked:
+                known = batch.column("known").to_numpy(zero_copy_only=False)
+                keep, first = keep | known, first & ~known
             if keep.any():
-                yield out(batch.filter(pa.array(keep)), new_c[keep])
+                yield out(batch.filter(pa.array(keep)), first[keep])
             if len(starts):
                 waiting = None if several[-1] else batch.slice(int(starts[-1]), 1)
             elif kinds[0]:
                 waiting = None
             last = [batch.column(n)[len(batch) - 1].as_py() for n in ("h", "c", "rank", "tie", "place")]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "c")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
     return rows.repartition("h").sortWithinPartitions("h", "c", "rank", "tie", "place").mapInArrow(made, f"{fields}, first boolean")
 
 
