@@ -7,18 +7,25 @@ nations and regions are nested collections. Where a result has an order, its pla
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chronolith.errors import Conflict, PivotMissing
 from chronolith.functions import Fold, normalize
+from chronolith.model import FuzzyIndex, RecordType, Shape
 from chronolith.operators import extensions, fuzzy, idsets, reads
 from chronolith.operators.bounds import Exact, Prefix, Range
-from chronolith.operators.collection import Session
+from chronolith.operators.collection import Collection, Session, UniqueRecord
 from chronolith.plans import views
 from chronolith.registry import Context, Registry
+from chronolith.sources import LogStore
+from chronolith.streaming import Watch, watch_collection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,7 +136,9 @@ def by_range_composite(spark, sf_dir):
 @_query("SELECT p_partkey AS rec, p_name AS name, row_number() OVER (ORDER BY p_name, p_partkey) AS pos FROM part WHERE p_name LIKE 'red%'")
 def by_prefix_string(spark, sf_dir):
     parts = _table(spark, sf_dir, "part").select(F.lit(0).alias("tenant"), F.col("p_partkey").alias("rec"), F.col("p_name").alias("name"))
-    return reads.search_by(parts, ("name",), Prefix(("red",))).select("rec", "name", "pos")
+    # One collection: places come from counts by range, not from a window over all of it.
+    found = reads.StoredList.write(parts.where(Prefix(("red",)).predicate(("name",))), ("name",), f"{_scratch(spark)}/list")
+    return found.all().select("rec", "name", (F.col("pos") + 1).alias("pos"))
 
 
 @_query(f"WITH {_ORDERS} SELECT tenant, rec, priority, row_number() OVER (PARTITION BY tenant ORDER BY status, priority, rec) AS pos FROM orders_c WHERE status = 'P'")
@@ -156,7 +165,7 @@ def listed_page(spark, sf_dir):
 @_query(f"WITH {_ORDERS} SELECT rec, priority FROM orders_c ORDER BY priority, rec OFFSET 1000")
 def listed_at_page(spark, sf_dir):
     """From page 40 of 25 on, to the end."""
-    return reads.listed_at_page(_orders(spark, sf_dir), ("priority",), 40, 25).select("rec", "priority")
+    return reads.listed_at_page(_orders(spark, sf_dir), ("priority",), 40, 25, f"{_scratch(spark)}/list").select("rec", "priority")
 
 
 @_query(f"WITH {_ORDERS} SELECT rec, priority, 999 + row_number() OVER (ORDER BY priority, rec) AS pos FROM (SELECT * FROM orders_c ORDER BY priority, rec LIMIT 25 OFFSET 1000)")
@@ -320,42 +329,274 @@ def server_fn(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="chronolith-")
-    return f"{shared.rstrip('/')}/chronolith-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    """A new folder that driver and executors share: in spark.checkpoint.dir; only where that is unset, on one machine, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/chronolith-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="chronolith-")
+
+
+EVENT = RecordType("event", Shape.NON_UNIQUE, T.StructType([T.StructField("cents", T.LongType())]))
+SUPPLIER = RecordType("supplier", Shape.NON_UNIQUE, T.StructType([T.StructField("name", T.StringType()), T.StructField("nation", T.IntegerType())]), pivots=(("nation",), ("nation", "name")), lists=(("name",),))
+NATION = RecordType("nation", Shape.NON_UNIQUE, T.StructType([T.StructField("name", T.StringType()), T.StructField("region", T.IntegerType())]), key=("name",))
+PART = RecordType("part", Shape.NON_UNIQUE, T.StructType([T.StructField("part", T.LongType()), T.StructField("name", T.StringType())]), fuzzy=(FuzzyIndex("name"),))
+TURN = RecordType("turn", Shape.UNIQUE, T.StructType([T.StructField("role", T.StringType())]))
+
+
+def _store(spark: SparkSession, kind: RecordType) -> LogStore:
+    return LogStore(spark, f"{_scratch(spark)}/{kind.name}", kind.body, kind.fuzzy, kind.name)
+
+
+def _as_log(frame: DataFrame, *body: str) -> DataFrame:
+    """Rows of tenant, pivot, rec, instant, enters and a body as a store holds versions."""
+    none = F.lit(None)
+    meta = [F.lit(False).alias("removed"), none.cast("long").alias("author"), F.col("instant").alias("device_created"), none.cast("string").alias("permission")]
+    return frame.select("tenant", "pivot", F.col("rec").cast("string").alias("rec"), "instant", "enters", *meta, *body)
 
 
 @_query(f"""WITH {_LOG} SELECT tenant, rec, instant, 'saved' AS event FROM v WHERE instant > {CURSOR} UNION ALL SELECT tenant, rec, instant, 'removed' FROM r WHERE instant > {CURSOR}""")
 def watch_catchup(spark, sf_dir):
-    """A watch over the logs as streams, run to their end: every event after the cursor, once."""
-    from chronolith.streaming import catch_up, deduplicated
-    from chronolith.streaming.watch import events
-
-    root = _scratch(spark)
+    """A watch over a log of several commits, stopped and started again, past a compaction and a batch that was refused: every event after the cursor, once."""
+    store = _store(spark, EVENT)
     versions, gone = _log(spark, sf_dir)
-    versions.select("tenant", "pivot", "rec", "instant").write.parquet(f"{root}/v")
-    gone.write.parquet(f"{root}/r")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        read = lambda x: spark.readStream.schema("tenant long, pivot long, rec string, instant long").parquet(f"{root}/{x}")
-        catch_up(deduplicated(events(read("v"), read("r")), CURSOR), f"{root}/out", f"{root}/checkpoint")
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.parquet(f"{root}/out").select("tenant", "rec", "instant", "event")
+    versions = _as_log(versions, "cents")
+    watch = Watch(store, f"{_scratch(spark)}/watch", since=CURSOR)
+    last = 0
+    for upto in (CURSOR - 500, CURSOR + 400, 1 << 62):
+        part = (F.col("instant") > last) & (F.col("instant") <= upto)
+        store.apply(versions.where(part), gone.where(part))
+        try:
+            store.apply(versions.where(part), base=0)
+        except Conflict:
+            pass
+        if last:
+            watch.catch_up()
+            store.compact()
+        last = upto
+    return watch.catch_up().select("tenant", "rec", "instant", "event")
 
 
 @_query("SELECT s_suppkey AS rec, s_name AS name FROM supplier")
 def adopt_mirror(spark, sf_dir):
-    """A mirror that adopts another node's records twice holds each once."""
-    source = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec"), F.col("s_name").alias("name"))
-    mirror = source.where("rec % 3 = 0")
+    """A mirror that adopts another node's versions twice, a third of them beforehand, holds each once."""
+    source = _table(spark, sf_dir, "supplier").select(F.lit(1).cast("long").alias("tenant"), F.lit(0).cast("long").alias("pivot"), F.col("s_suppkey").alias("rec"), F.col("s_suppkey").alias("instant"), F.lit(True).alias("enters"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    foreign, mirror = _as_log(source, "name", "nation"), Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1))
+    for part in (foreign.where("rec % 3 = 0"), foreign, foreign):
+        mirror.adopt(part)
+    return mirror.versions().select(F.col("rec").cast("long").alias("rec"), "name")
+
+
+# Writes, each through a store
+
+
+def _suppliers(spark, sf_dir) -> Collection:
+    """Suppliers, inserted in one commit."""
+    found = Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1, user=9))
+    found.insert_all(_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
+    return found
+
+
+def _rec_of(suppliers: Collection, name: str) -> str:
+    return suppliers.living().where(F.col("name") == name).first()["rec"]
+
+
+@_query("SELECT s_name AS name, s_nationkey AS nation, true AS gapless, CAST(9 AS BIGINT) AS author FROM supplier")
+def store_insert_all(spark, sf_dir):
+    """A batch of inserts: one commit, instants without gaps."""
+    suppliers = _suppliers(spark, sf_dir)
+    ends = suppliers.living().agg(F.max("instant").alias("high"), F.min("instant").alias("low"), F.count_distinct("instant").alias("n")).first()
+    return suppliers.all().select("name", "nation", F.lit(ends["high"] - ends["low"] + 1 == ends["n"]).alias("gapless"), "author")
+
+
+@_query("SELECT s_name AS name, CASE WHEN s_nationkey < 10 THEN s_nationkey + 100 ELSE s_nationkey END AS nation, CASE WHEN s_nationkey < 10 THEN 2 ELSE 1 END::BIGINT AS versions FROM supplier")
+def store_save_all(spark, sf_dir):
+    """A batch of saves chains a version to each record."""
+    suppliers = _suppliers(spark, sf_dir)
+    suppliers.save_all(suppliers.living().where("nation < 10").select("rec", "name", (F.col("nation") + 100).alias("nation")))
+    count = suppliers.versions().groupBy("rec").agg(F.count("*").alias("versions"))
+    return suppliers.living().join(count, "rec").select("name", "nation", "versions")
+
+
+_TWO = "(SELECT s_name FROM supplier ORDER BY s_suppkey LIMIT 2)"
+
+
+@_query(f"SELECT s_name AS name, s_name IN {_TWO} AS removed, CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM supplier) THEN -1 ELSE s_nationkey END AS nation FROM supplier")
+def store_remove(spark, sf_dir):
+    """Removed records are found by address; a save while dead gives a version and does not revive."""
+    suppliers = _suppliers(spark, sf_dir)
+    first, second = (r["s_name"] for r in _table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(2).collect())
+    recs = [_rec_of(suppliers, name) for name in (first, second)]
+    for rec in recs:
+        suppliers.remove(rec)
+    suppliers.save(recs[0], name=first, nation=-1)
+    return suppliers.latest().select("name", "removed", "nation")
+
+
+@_query("SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 51 ELSE n_regionkey END AS region, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END::BIGINT AS versions FROM nation")
+def store_upsert(spark, sf_dir):
+    """Inserting a key again saves to its record."""
+    nations = Collection(NATION, _store(spark, NATION), Session(1))
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    nations.insert_all(rows)
+    nations.insert_all(rows.where("region = 1").withColumn("region", F.col("region") + 50))
+    count = nations.versions().groupBy("rec").agg(F.count("*").alias("versions"))
+    return nations.living().join(count, "rec").select("name", "region", "versions")
+
+
+@_query("WITH n AS (SELECT min(n_name) AS name FROM nation) SELECT name, event, region FROM n, (VALUES ('removed', NULL), ('saved', 77)) e(event, region)")
+def store_revive(spark, sf_dir):
+    """A removed keyed record that is inserted again, as the changes since tell it."""
+    nations = Collection(NATION, _store(spark, NATION), Session(1))
+    nations.insert_all(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    _, cursor = nations.changes()
+    name = _table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0]
+    rec = nations.living().where(F.col("name") == name).first()["rec"]
+    nations.remove(rec)
+    assert nations.insert(name=name, region=77) == rec
+    return nations.changes(cursor)[0].select(F.get_json_object("rec", "$[0]").alias("name"), "event", "region")
+
+
+@_query("SELECT role, turn AS author, CAST(row_number() OVER (ORDER BY turn DESC) AS BIGINT) AS ver FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def store_unique(spark, sf_dir):
+    """A unique record saved turn by turn by different authors, and its history."""
+    conv = _table(spark, sf_dir, "conversations")
+    turns = conv.where(F.col("conv_id") == conv.agg(F.min("conv_id")).first()[0]).orderBy("turn").select("turn", "role").collect()
+    record = UniqueRecord(TURN, _store(spark, TURN), Session(1))
+    for t in turns:
+        record.save_as(t["turn"], role=t["role"])
+    return record.history().select("role", "author", "ver")
+
+
+@_query("SELECT 'conflict' AS outcome, count(*) AS living, CAST(1 AS BIGINT) AS commits FROM supplier")
+def store_conflict(spark, sf_dir):
+    """Of two batches planned on one commit the second is refused whole."""
+    suppliers = _suppliers(spark, sf_dir)
+    row = suppliers._frame([suppliers._row("late", 1 << 62, True, {"name": "late", "nation": 1})])
+    try:
+        suppliers.store.apply(row, base=0)
+        outcome = "written"
+    except Conflict:
+        outcome = "conflict"
+    return suppliers.living().agg(F.count("*").alias("living")).select(F.lit(outcome).alias("outcome"), "living", F.lit(len(suppliers.store.commits())).cast("long").alias("commits"))
+
+
+@_query(f"SELECT s_name AS name, s_nationkey AS nation FROM supplier WHERE s_name NOT IN {_TWO}")
+def store_adopt(spark, sf_dir):
+    """A mirror of another node's log, removals included, holds what lives there, however often it adopts."""
+    source = _suppliers(spark, sf_dir)
+    for r in _table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(2).collect():
+        source.remove(_rec_of(source, r["s_name"]))
+    mirror = Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1))
     for _ in range(2):
-        mirror = mirror.union(source.join(mirror, ["rec", "name"], "left_anti"))
-    return mirror
+        mirror.adopt(source.versions(), source.removals())
+    return mirror.living().select("name", "nation")
+
+
+@_query("SELECT s_name AS name, CASE WHEN s_nationkey < 5 THEN -1 ELSE s_nationkey END AS nation FROM supplier")
+def store_adopt_records(spark, sf_dir):
+    """Living records without metadata, adopted twice and then with changes: new, unchanged and changed ones."""
+    mirror = Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1))
+    rows = _table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 20, "0").alias("rec"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    for part in (rows, rows, rows.withColumn("nation", F.when(F.col("nation") < 5, -1).otherwise(F.col("nation")))):
+        mirror.adopt_records(part)
+    return mirror.living().select("name", "nation")
+
+
+@_query(f"SELECT s_name AS name, s_nationkey AS nation, CAST(1 AS BIGINT) AS commits FROM supplier WHERE s_name NOT IN {_TWO}")
+def store_compact(spark, sf_dir):
+    """A compaction leaves one commit and every record."""
+    suppliers = _suppliers(spark, sf_dir)
+    for r in _table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(2).collect():
+        suppliers.remove(_rec_of(suppliers, r["s_name"]))
+    suppliers.store.compact()
+    suppliers.store.vacuum(0)
+    return suppliers.living().select("name", "nation", F.lit(len(suppliers.store.commits())).cast("long").alias("commits"))
+
+
+@_query("SELECT r_name AS region, n_name AS nation, true AS refused FROM region JOIN nation ON n_regionkey = r_regionkey")
+def store_pivots(spark, sf_dir):
+    """A collection of nations for each region, made and filled; one that was not made is refused."""
+    store, made = _store(spark, SUPPLIER), []
+    nations = _table(spark, sf_dir, "nation")
+    for r in _table(spark, sf_dir, "region").collect():
+        child = Collection.create(SUPPLIER, store, Session(1))
+        child.insert_all(nations.where(F.col("n_regionkey") == r["r_regionkey"]).select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("nation")))
+        made.append((child.pivot, r["r_name"]))
+    try:
+        Collection(SUPPLIER, store, Session(1), pivot=5).all()
+        refused = False
+    except PivotMissing:
+        refused = True
+    owners = spark.createDataFrame(made, "pivot long, region string")
+    return extensions.children(owners, views.living(store.versions().drop("removed"), store.removals()), ["pivot"]).select("region", F.col("name").alias("nation"), F.lit(refused).alias("refused"))
+
+
+@_query("SELECT s_name AS name FROM supplier ORDER BY s_name LIMIT 30 OFFSET 40")
+def store_list_page(spark, sf_dir):
+    """A page from the list that is kept for the last commit."""
+    suppliers = _suppliers(spark, sf_dir)
+    suppliers.listed_at_page(2, 20).count()
+    return suppliers.stored_list().page(40, 30).select("name")
+
+
+@_query(f"WITH {_FUZZY} SELECT rec AS part, name, shared / (np + nq - shared) AS score FROM s WHERE shared >= ceil(0.3 * nq) AND shared / (np + nq - shared) >= 0.3 AND rec % 5 <> 0")
+def store_fuzzy(spark, sf_dir):
+    """A search through the postings that are kept with the log, after saves that changed a fifth of the names."""
+    parts = Collection(PART, _store(spark, PART), Session(1))
+    parts.insert_all(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name")))
+    parts.save_all(parts.living().where("part % 5 = 0").select("rec", "part", F.lit("zzzz").alias("name")))
+    parts.store.compact()
+    return parts.fuzzy_search(_TEXT, fuzzy.Similarity(0.3)).select("part", "name", "score")
+
+
+@_query(f"SELECT CASE WHEN s_name IN {_TWO} THEN NULL ELSE s_name END AS name, CASE WHEN s_name IN {_TWO} THEN 'removed' ELSE 'saved' END AS event FROM supplier UNION ALL SELECT s_name, 'saved' FROM supplier WHERE s_name IN {_TWO}")
+def store_watch(spark, sf_dir):
+    """A watch of one collection that mirrors what it tells before it tells it."""
+    suppliers = _suppliers(spark, sf_dir)
+    mirror = Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1))
+    watch = watch_collection(suppliers.store, f"{_scratch(spark)}/watch", Session(1), mirror=mirror.adopt)
+    watch.catch_up()
+    for r in _table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(2).collect():
+        suppliers.remove(_rec_of(suppliers, r["s_name"]))
+    told = watch.catch_up()
+    assert mirror.living().count() == suppliers.living().count()
+    return told.select("name", "event")
+
+
+@_query("SELECT s_name AS name, s_nationkey AS nation, CAST(1 AS BIGINT) AS tenant, CAST(9 AS BIGINT) AS author FROM supplier")
+def store_triples(spark, sf_dir):
+    """Whole records as they go over a wire: id, metadata and body."""
+    return _suppliers(spark, sf_dir).triples().select("body.name", "body.nation", "id.tenant", "metadata.author")
+
+
+@_query("SELECT max(struct_pack(nation := s_nationkey, name := s_name)).nation AS nation, max(struct_pack(nation := s_nationkey, name := s_name)).name AS name, true AS there, false AS gone, CAST(0 AS BIGINT) AS later FROM supplier")
+def store_lookups(spark, sf_dir):
+    """The greatest key of an index, membership, and records written in a span of time."""
+    suppliers = _suppliers(spark, sf_dir)
+    top = suppliers.greatest(1)
+    there = {r["rec"]: r["living"] for r in suppliers.contains(top["rec"], "nobody").collect()}
+    later = suppliers.created_between(top["instant"] + (1 << 50), 1 << 62)
+    return later.agg(F.count("*").alias("later")).select(F.lit(top["nation"]).alias("nation"), F.lit(top["name"]).alias("name"), F.lit(there[top["rec"]]).alias("there"), F.lit(there["nobody"]).alias("gone"), "later")
+
+
+@_query("SELECT s_name AS name, s_nationkey AS nation FROM supplier WHERE s_nationkey = 3 OR s_nationkey = 4")
+def registry_perform(spark, sf_dir):
+    """Operations by way of a registry: an insert, an overridden read, and a table function that streams frames."""
+    registry, suppliers = Registry(), Collection(SUPPLIER, _store(spark, SUPPLIER), Session(1))
+    registry.expose_type(SUPPLIER, ("insert", "all"), {"all": lambda handle, nation: handle.living().where(F.col("nation") == nation)})
+
+    def of_nations(context: Context, *nations: int):
+        for nation in nations:
+            yield registry.perform(SUPPLIER.struct_hash, "all", suppliers, nation=nation)
+
+    registry.expose_function(of_nations)
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    last = rows.orderBy(F.desc("name")).first()
+    suppliers.insert_all(rows.where(F.col("name") != last["name"]))
+    registry.perform(SUPPLIER.struct_hash, "insert", suppliers, name=last["name"], nation=last["nation"])
+    return registry.table("of_nations", Context(spark, Session(1)), 3, 4).select("name", "nation")
 
 
 # Extensions: what Spark adds
@@ -394,3 +635,12 @@ def ext_as_of_join(spark, sf_dir):
     requests = versions.select("tenant", "rec").distinct().select("tenant", "rec", F.explode(F.array(F.lit(2500), F.lit(7500))).alias("asked"))
     found = extensions.as_of_join(requests, versions.drop("pivot"), ["tenant", "rec"], at="asked")
     return found.select("tenant", "rec", "asked", F.col("version.instant").alias("instant"))
+
+
+@_query("SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) % 1000003 AS BIGINT) AS checksum FROM orders GROUP BY o_orderstatus")
+def ext_aggregate_function(spark, sf_dir):
+    """A registered aggregate function: partial results of Arrow batches, put together by sum."""
+    registry = Registry()
+    registry.expose_aggregate("checksum", lambda cents: int(cents.sum() % 1_000_003), "long")
+    parts = _orders(spark, sf_dir).groupBy("status", F.pmod("rec", F.lit(64)).alias("part")).agg(F.count("*").alias("n"), registry.aggregate("checksum")("cents").alias("c"))
+    return parts.groupBy("status").agg(F.sum("n").alias("n"), (F.sum("c") % 1_000_003).alias("checksum"))

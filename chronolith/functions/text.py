@@ -54,10 +54,10 @@ def normalize(text: Column, fold: Fold = Fold.LATIN) -> Column:
 
 
 def grams(normal: Column, n: int = 3) -> Column:
-    """Distinct windows of n code points over a normalised text padded with n - 1 pads at both ends; an empty text has the one of pads alone."""
+    """Distinct windows of n code points over a normalised text padded with n - 1 pads at both ends; an empty text has the one of pads alone, and none if n is 1."""
     padded = F.concat(F.lit(PAD * (n - 1)), normal, F.lit(PAD * (n - 1)))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(normal) + n - 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.when(F.length(normal) == 0, F.array(F.lit(PAD * n))).otherwise(F.array_distinct(windows))
+    return F.when(F.length(normal) == 0, F.array(F.lit(PAD * n)) if n > 1 else F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
 
 
 def key_length(normal: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions import Fold, containment, edit_distance, grams, jaccard, key_length, normalize
+from chronolith.functions import Fold, containment, edit_distance, grams, jaccard, key_length, length_gap, normalize
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def search(live: DataFrame, field: str, query: str, mode: Mode, limit: int | Non
     least = threshold(mode, len(query_grams), n)
     frame = live.where(F.col(field).isNotNull()).withColumn("normal", normalize(F.col(field), fold))
     if isinstance(mode, Distance):
-        frame = frame.where(F.abs(key_length(F.col("normal")) - min(len(text), 255)) <= mode.k)
+        frame = frame.where(length_gap(F.col("normal"), q) <= mode.k)
     frame = frame.withColumn("gram_set", grams(F.col("normal"), n))
     frame = frame.where(F.size(F.array_intersect("gram_set", g)) >= (least if exhaustive else max(least, 1)))
     found = _verified(frame, mode, q, g).drop("normal", "gram_set").orderBy("rank", tie)
@@ -81,13 +81,19 @@ def postings(live: DataFrame, field: str, n: int = 3, fold: Fold = Fold.LATIN, k
     return normal.select(F.explode(grams(F.col("normal"), n)).alias("gram"), key_length(F.col("normal")).alias("len"), *key)
 
 
-def search_postings(index: DataFrame, live: DataFrame, field: str, query: str, mode: Mode, limit: int | None = None, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec"), tie: str = "rec") -> DataFrame:
-    """The same as search, from postings: count shared grams per address, drop those below the threshold, fetch and verify the rest."""
-    text, query_grams = _total(query, n, fold, live)
+def candidates(index: DataFrame, query: str, mode: Mode, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec")) -> DataFrame:
+    """The addresses that share enough of the query's grams: only postings of those grams, and of a fitting length, are read."""
+    text, query_grams = _total(query, n, fold, index)
     hits = index.where(F.col("gram").isin(query_grams))
     if isinstance(mode, Distance):
         hits = hits.where(F.abs(F.col("len") - min(len(text), 255)) <= mode.k)
-    shared = hits.groupBy(*key).agg(F.count("*").alias("shared")).where(F.col("shared") >= threshold(mode, len(query_grams), n)).drop("shared")
+    return hits.groupBy(*key).agg(F.count("*").alias("shared")).where(F.col("shared") >= threshold(mode, len(query_grams), n)).drop("shared")
+
+
+def search_postings(index: DataFrame, live: DataFrame, field: str, query: str, mode: Mode, limit: int | None = None, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec"), tie: str = "rec") -> DataFrame:
+    """The same as search, from postings: what they name is fetched and verified."""
+    text, query_grams = _total(query, n, fold, live)
+    shared = candidates(index, query, mode, n, fold, key)
     frame = live.join(shared, list(key), "left_semi").withColumn("normal", normalize(F.col(field), fold)).withColumn("gram_set", grams(F.col("normal"), n))
     found = _verified(frame, mode, F.lit(text), F.lit(query_grams)).drop("normal", "gram_set").orderBy("rank", tie)
     return found if limit is None else found.limit(limit)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronolith.operators.bounds import All
 
+#: Rows up to which a page is found by a heap of its offset and limit in each task.
+SHALLOW = 10_000
+
 
 def get(latest: DataFrame, address: Column) -> DataFrame:
     """A record by its address, removed or not."""
@@ -33,9 +36,9 @@ def listed(live: DataFrame, keys: tuple[str, ...], tie: str = "rec", offset: int
     return rows if limit is None else rows.limit(limit)
 
 
-def listed_at_page(live: DataFrame, keys: tuple[str, ...], page: int, page_size: int, tie: str = "rec") -> DataFrame:
-    """From the start of a page on, to the end."""
-    return listed(live, keys, tie, page * page_size)
+def listed_at_page(live: DataFrame, keys: tuple[str, ...], page: int, page_size: int, path: str, tie: str = "rec") -> DataFrame:
+    """From the start of a page on, to the end, by way of a list stored at path: an offset without a limit would pass every row through one task."""
+    return StoredList.write(live, keys, path, tie).page(page * page_size)
 
 
 def list_len(live: DataFrame, within: tuple[str, ...] = ("tenant",)) -> DataFrame:
@@ -53,7 +56,7 @@ class StoredList:
     def __init__(self, spark: SparkSession, path: str):
         self.files = spark.read.parquet(path)
         counts = self.files.groupBy("part").agg(F.count("*").alias("n"))
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
         self.bases = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n")
 
     @classmethod
@@ -64,8 +67,9 @@ class StoredList:
         placed.write.parquet(path)
         return cls(live.sparkSession, path)
 
-    def page(self, offset: int, limit: int) -> DataFrame:
-        """Rows offset to offset + limit, with pos from 0. Which files hold them is known from one row a file."""
+    def page(self, offset: int, limit: int | None = None) -> DataFrame:
+        """Rows offset to offset + limit (or to the end), with pos from 0. Which files hold them is known from one row a file."""
+        limit = len(self) if limit is None else limit
         held = [r for r in self.bases.where((F.col("base") < offset + limit) & (F.col("base") + F.col("n") > offset)).collect()]
         found = F.lit(False)
         base = F.lit(None).cast("long")
@@ -75,5 +79,9 @@ class StoredList:
             base = F.when(here, F.lit(r["base"])).otherwise(base)
         return self.files.where(found).withColumn("pos", base + F.col("local")).drop("part", "local")
 
+    def all(self) -> DataFrame:
+        """Every row with its pos from 0; a file's first pos is joined from one row a file."""
+        return self.files.join(F.broadcast(self.bases.select("part", "base")), "part").withColumn("pos", F.col("base") + F.col("local")).drop("part", "local", "base")
+
     def __len__(self) -> int:
         return self.files.count()

@@ -57,6 +57,11 @@ def history(versions: DataFrame, keys: tuple[str, ...] = ANCHOR) -> DataFrame:
     return versions.withColumns({"previous": F.lead("instant").over(order), "next": F.lag("instant").over(order), "ver": F.row_number().over(order).cast("long")})
 
 
+def created_at_range(low: int, high: int) -> Column:
+    """Instants from low on and below high, as a predicate that Parquet's statistics prune by; an empty range holds nothing."""
+    return (F.col("instant") >= low) & (F.col("instant") < high) if low < high else F.lit(False)
+
+
 def of_keys(frame: DataFrame, changed: DataFrame) -> DataFrame:
     return frame.join(changed, list(ANCHOR), "left_semi")
 

@@ -6,12 +6,16 @@ a DataFrame, or a generator for streamed results.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import inspect
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql.functions import PandasUDFType, pandas_udf
+
 from chronolith.errors import CollisionError, LoginRequired, NotExposed, UnknownStructHash
 from chronolith.model import RecordType
 from chronolith.operators.collection import Session
@@ -47,6 +51,7 @@ class Registry:
         self._types: dict[int, tuple[RecordType, dict[str, Callable | None]]] = {}
         self._functions: dict[int, ServerFunction] = {}
         self._names: dict[str, int] = {}
+        self._aggregates: dict[str, Callable] = {}
 
     def _claim(self, struct_hash: int, name: str) -> None:
         if struct_hash in self._types or struct_hash in self._functions or name in self._names:
@@ -70,14 +75,34 @@ class Registry:
     def knows(self, struct_hash: int) -> bool:
         return struct_hash in self._types or struct_hash in self._functions
 
-    def call(self, name: str, context: Context, /, **args):
+    def call(self, name: str, context: Context, /, *args, **named):
         """Runs a server function. Only public ones run for anonymous sessions."""
         found = self._functions.get(self._names.get(name, -1))
         if found is None:
             raise UnknownStructHash(name)
         if context.session.anonymous and not found.public:
             raise LoginRequired(name)
-        return found.body(context, **args)
+        return found.body(context, *args, **named)
+
+    def table(self, name: str, context: Context, /, *args, **named) -> DataFrame:
+        """The frames that a streaming function yields, as one table."""
+        return functools.reduce(DataFrame.unionByName, self.stream(name, context, *args, **named))
+
+    def stream(self, name: str, context: Context, /, *args, **named) -> Iterator[DataFrame]:
+        """The frames that a function yields, one after the other; a function that returns one yields that."""
+        found = self.call(name, context, *args, **named)
+        yield from (found,) if isinstance(found, DataFrame) else found
+
+    def expose_aggregate(self, name: str, body: Callable, returns: str) -> None:
+        """Offers an aggregate function: body(column as a pandas Series) gives one value for each group."""
+        made = ServerFunction(f"aggregate {name}", body, public=True)
+        self._claim(made.struct_hash, made.name)
+        self._aggregates[name] = pandas_udf(body, returns, PandasUDFType.GROUPED_AGG)
+
+    def aggregate(self, name: str) -> Callable:
+        if name not in self._aggregates:
+            raise UnknownStructHash(name)
+        return self._aggregates[name]
 
     def perform(self, struct_hash: int, operation: str, handle, /, *args, **values):
         """An operation on a handle, by way of its override if there is one."""

@@ -1,16 +1,21 @@
 """A version log on Parquet with atomic commits.
 
-A commit writes its rows to a data folder of its own and then creates its manifest, ``_commits/<number>.json``, which is
-the point of durability: a reader sees the data folders of whole commits only, and data of a commit that did not come
-through is never read. Creating a manifest that is already there fails, so of two writers that saw the same state one
-gets ``Conflict`` and nothing of its batch is visible. Paths go through Hadoop's file systems.
-
-On an object store without atomic create-if-absent, point the manifests at a file system that has it.
+A commit writes its rows to data folders of its own and then publishes its manifest, ``commits/<number>.json``, which is the
+point of durability: a reader sees the data of whole commits only, and data of a commit that did not come through is never
+read. A manifest is written under another name and then moved to its own, which fails if that is taken and never shows a
+part of it: of two writers that saw the same state one gets ``Conflict``, and nothing of its batch is visible. Paths go
+through Hadoop's file systems. An object store whose rename is not atomic needs its manifests on a file system that has it.
+
+With a commit's versions their postings are written, for the fuzzy indexes of the type. Pages carry checksums, which reads
+verify. The first commit writes the type's head (name and columns); a store opened with another type refuses.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -18,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.errors import Conflict
+from chronolith.errors import Conflict, InvalidRecord
+from chronolith.model import FuzzyIndex
+from chronolith.operators import fuzzy
 
 #: The body is stored as columns; a body of any type fits beside these.
 VERSION_META = T.StructType([
@@ -27,6 +34,9 @@ VERSION_META = T.StructType([
     T.StructField("author", T.LongType()), T.StructField("device_created", T.LongType()), T.StructField("permission", T.StringType()),
 ])
 REMOVAL = T.StructType([T.StructField(n, VERSION_META[n].dataType, False) for n in ("tenant", "pivot", "rec", "instant")])
+PIVOT = T.StructType([T.StructField(n, T.LongType(), False) for n in ("tenant", "pivot")])
+POSTING = T.StructType([T.StructField("field", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("len", T.IntegerType()), *REMOVAL.fields])
+KINDS = ("versions", "removals", "pivots", "postings")
 
 
 @dataclass(frozen=True)
@@ -41,80 +51,150 @@ class Expect:
 
 @dataclass(frozen=True)
 class Commit:
+    """The data folders of a commit. One that compacts stands for all up to its own."""
+
     number: int
-    versions: str | None
-    removals: str | None
+    versions: str | None = None
+    removals: str | None = None
+    pivots: str | None = None
+    postings: str | None = None
+    compacts: bool = False
 
 
 class LogStore:
     """One type's versions and removals under a folder. One writer at a time wins; readers need no lock."""
 
-    def __init__(self, spark: SparkSession, path: str, body: T.StructType):
-        self.spark, self.path, self.body = spark, path.rstrip("/"), body
+    def __init__(self, spark: SparkSession, path: str, body: T.StructType, fuzzy: tuple[FuzzyIndex, ...] = (), type_name: str | None = None):
+        self.spark, self.path, self.body, self.fuzzy = spark, path.rstrip("/"), body, tuple(fuzzy)
         self.schema = T.StructType([*VERSION_META.fields, *body.fields])
+        self._schemas = dict(zip(KINDS, (self.schema, REMOVAL, PIVOT, POSTING), strict=True))
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._head = json.dumps([type_name, body.simpleString()])
+        self._known: dict[int, Commit] = {}  # manifests never change, so each is opened once
+        self._check_head()
 
     def _hadoop(self, path: str):
         at = self._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self._conf), at
 
+    def _text(self, path: str) -> str | None:
+        fs, at = self._hadoop(path)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _check_head(self) -> bool:
+        """Whether the head is there; another type's is refused."""
+        found = self._text(f"{self.path}/type.json")
+        if found is not None and found != self._head:
+            raise InvalidRecord(f"{self.path} holds {found}, not {self._head}")
+        return found is not None
+
     def commits(self) -> list[Commit]:
-        """All commits, in order. Their number grows with commits, not with rows; compact() brings it back to one."""
-        fs, at = self._hadoop(f"{self.path}/_commits")
+        """All commits that count, in order: the last compaction and what came after it. New manifests alone are opened."""
+        fs, at = self._hadoop(f"{self.path}/commits")
         if not fs.exists(at):
             return []
-        found = []
-        for status in fs.listStatus(at):
-            name = status.getPath().getName()
-            if name.endswith(".json"):
-                stream = fs.open(status.getPath())
-                try:
-                    text = bytes(stream.readAllBytes()).decode()
-                finally:
-                    stream.close()
-                found.append(json.loads(text) | {"number": int(name[:-5])})
-        found.sort(key=lambda c: c["number"])
-        # A compaction stands for all commits up to its own.
-        last = max((i for i, c in enumerate(found) if c.get("compacts")), default=0)
-        return [Commit(c["number"], c["versions"], c["removals"]) for c in found[last:]]
+        names = [status.getPath().getName() for status in fs.listStatus(at)]
+        numbers = sorted(int(name[:-5]) for name in names if name.endswith(".json"))
+        for number in numbers:
+            if number not in self._known:
+                text = self._text(f"{self.path}/commits/{number:012d}.json")
+                if text is not None:  # else a compaction took it away meanwhile
+                    self._known[number] = Commit(number, **json.loads(text))
+        found = [self._known[n] for n in numbers if n in self._known]
+        last = max((i for i, c in enumerate(found) if c.compacts), default=0)
+        return found[last:]
+
+    def _of(self, kind: str, upto: int | None) -> DataFrame:
+        return self.read(kind, [c for c in self.commits() if upto is None or c.number <= upto])
 
     def versions(self, upto: int | None = None) -> DataFrame:
-        return self._read([c.versions for c in self.commits() if c.versions and (upto is None or c.number <= upto)], self.schema)
+        return self._of("versions", upto)
 
     def removals(self, upto: int | None = None) -> DataFrame:
-        return self._read([c.removals for c in self.commits() if c.removals and (upto is None or c.number <= upto)], REMOVAL)
+        return self._of("removals", upto)
+
+    def pivots(self) -> DataFrame:
+        """(tenant, pivot) of every collection that was created."""
+        return self._of("pivots", None)
+
+    def postings(self) -> DataFrame:
+        """A row for each distinct gram of each version's indexed fields."""
+        return self._of("postings", None)
 
-    def _read(self, folders: list[str], schema: T.StructType) -> DataFrame:
+    def read(self, kind: str, commits: list[Commit]) -> DataFrame:
+        """What some commits hold."""
+        folders = [f for c in commits if (f := getattr(c, kind))]
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders])
+            return self.spark.createDataFrame([], self._schemas[kind])
+        return self.spark.read.schema(self._schemas[kind]).option("parquet.page.verify-checksum.enabled", "true").parquet(*[f"{self.path}/{f}" for f in folders])
 
-    def apply(self, versions: DataFrame | None = None, removals: DataFrame | None = None, expects: list[Expect] = (), base: int | None = None) -> int:
+    def _write(self, kind: str, frame: DataFrame, name: str) -> str:
+        folder = f"{kind}/{name}"
+        frame.write.options(**{"compression": "zstd", "parquet.page.write-checksum.enabled": "true"}).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _grams(self, versions: DataFrame) -> DataFrame | None:
+        parts = [fuzzy.postings(versions, x.field, x.n, x.fold, ("tenant", "pivot", "rec", "instant")).withColumn("field", F.lit(x.field)).select(*POSTING.fieldNames()) for x in self.fuzzy]
+        return functools.reduce(DataFrame.union, parts) if parts else None
+
+    def apply(self, versions: DataFrame | None = None, removals: DataFrame | None = None, expects: list[Expect] = (), base: int | None = None, pivots: DataFrame | None = None) -> int:
         """Commits a batch whole, or raises Conflict and leaves nothing visible. base: the last commit the batch was planned on."""
-        seen = self.commits()
-        base = base if base is not None else (seen[-1].number if seen else 0)
+        if base is None:
+            seen = self.commits()
+            base = seen[-1].number if seen else 0
         self._check(expects)
-        number, tag = base + 1, uuid.uuid4().hex
-        parts = {}
-        for name, frame in (("versions", versions), ("removals", removals)):
-            parts[name] = None
-            if frame is not None:
-                parts[name] = f"{name}/{number:012d}-{tag}"
-                frame.write.option("compression", "zstd").parquet(f"{self.path}/{parts[name]}")
-        self._publish(number, parts)
+        number = base + 1
+        name = f"{number:012d}-{uuid.uuid4().hex}"
+        body = {kind: self._write(kind, frame, name) for kind, frame in (("versions", versions), ("removals", removals), ("pivots", pivots)) if frame is not None}
+        if versions is not None and self.fuzzy:
+            grams = self._grams(self.read("versions", [Commit(number, versions=body["versions"])]))
+            body["postings"] = self._write("postings", grams.sortWithinPartitions("tenant", "field", "gram"), name)
+        self._publish(number, body)
         return number
 
-    def _publish(self, number: int, body: dict) -> None:
-        fs, at = self._hadoop(f"{self.path}/_commits/{number:012d}.json")
-        try:
-            stream = fs.create(at, False)
-        except Exception as e:  # noqa: BLE001  any refusal to create: another writer was first
-            raise Conflict(f"commit {number} is taken") from e
+    def _put(self, path: str, text: str) -> bool:
+        """Writes a small file whole or not at all; False if it is there already."""
+        temporary = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        fs, at = self._hadoop(temporary)
+        stream = fs.create(at, False)
         try:
-            stream.write(bytearray(json.dumps(body).encode()))
+            stream.write(bytearray(text.encode()))
         finally:
             stream.close()
+        final = self._jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            if fs.getScheme() == "file":
+                # Hadoop's rename replaces local files; a second link to a file does not.
+                os.link(at.toUri().getPath(), final.toUri().getPath())
+                return True
+            rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+            options = self.spark.sparkContext._gateway.new_array(rename, 1)
+            options[0] = rename.NONE
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf).rename(at, final, options)
+            return True
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
+        finally:
+            if fs.exists(at):
+                fs.delete(at, False)
+
+    def _publish(self, number: int, body: dict) -> None:
+        if not self._check_head():
+            self._put(f"{self.path}/type.json", self._head)
+            self._check_head()
+        if not self._put(f"{self.path}/commits/{number:012d}.json", json.dumps(body)):
+            raise Conflict(f"commit {number} is taken")
 
     def _check(self, expects: list[Expect]) -> None:
         if not expects:
@@ -128,19 +208,40 @@ class LogStore:
                 raise Conflict(f"{key}: expected {instant}, found {have.get(key)}")
 
     def compact(self) -> int:
-        """Rewrites all commits as one, clustered by tenant and collection, so that reads of a tenant prune."""
+        """Rewrites all commits as one, clustered by tenant and collection (postings by gram), so that reads prune; then takes the
+        older manifests away. Their data stays for readers that hold them, until vacuum()."""
         seen = self.commits()
-        number, tag = (seen[-1].number if seen else 0) + 1, uuid.uuid4().hex
-        parts: dict = {"compacts": True}
-        for name, frame in (("versions", self.versions()), ("removals", self.removals())):
-            parts[name] = f"{name}/{number:012d}-{tag}"
-            frame.repartitionByRange("tenant", "pivot", "rec").sortWithinPartitions("tenant", "pivot", "rec", "instant").write.option("compression", "zstd").parquet(f"{self.path}/{parts[name]}")
-        self._publish(number, parts)
+        number = (seen[-1].number if seen else 0) + 1
+        name = f"{number:012d}-{uuid.uuid4().hex}"
+        body: dict = {"compacts": True}
+        order = ("tenant", "pivot", "rec", "instant")
+        for kind in ("versions", "removals"):
+            body[kind] = self._write(kind, self.read(kind, seen).repartitionByRange(*order[:3]).sortWithinPartitions(*order), name)
+        body["pivots"] = self._write("pivots", self.read("pivots", seen).distinct().coalesce(1), name)
+        if self.fuzzy:
+            body["postings"] = self._write("postings", self.read("postings", seen).repartitionByRange("tenant", "field", "gram").sortWithinPartitions("tenant", "field", "gram"), name)
+        self._publish(number, body)
+        for c in seen:
+            fs, at = self._hadoop(f"{self.path}/commits/{c.number:012d}.json")
+            fs.delete(at, False)
         return number
 
-    def stream(self, what: str = "versions") -> DataFrame:
-        """The log as a stream of rows of whole data folders (for watches on a store with one writer)."""
-        schema = self.schema if what == "versions" else REMOVAL
-        fs, at = self._hadoop(f"{self.path}/{what}")
+    def vacuum(self, older_than_seconds: float = 7 * 86_400) -> int:
+        """Deletes data folders that no commit names and that have not been written to for so long; how many."""
+        held = {getattr(c, kind) for c in self.commits() for kind in KINDS}
+        gone, before = 0, (time.time() - older_than_seconds) * 1000
+        for kind in KINDS:
+            fs, at = self._hadoop(f"{self.path}/{kind}")
+            for status in fs.listStatus(at) if fs.exists(at) else ():
+                if f"{kind}/{status.getPath().getName()}" not in held and status.getModificationTime() < before:
+                    fs.delete(status.getPath(), True)
+                    gone += 1
+        return gone
+
+    def stream(self, files_per_batch: int = 64) -> DataFrame:
+        """The commits as a stream of manifests, in order: nothing that was not committed is in it."""
+        fs, at = self._hadoop(f"{self.path}/commits")
         fs.mkdirs(at)
-        return self.spark.readStream.schema(schema).parquet(f"{self.path}/{what}/*")
+        manifests = self.spark.readStream.schema(", ".join(f"{k} string" for k in KINDS) + ", compacts boolean")
+        found = manifests.option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_batch).json(f"{self.path}/commits")
+        return found.select("*", F.regexp_extract("_metadata.file_name", r"(\d+)", 1).cast("long").alias("number"))

@@ -1,5 +1,5 @@
 """Live watches over logs with Structured Streaming."""
 
-from chronolith.streaming.watch import catch_up, deduplicated, watch_collection, watch_unique
+from chronolith.streaming.watch import Watch, poll, watch_collection, watch_unique
 
-__all__ = ["catch_up", "deduplicated", "watch_collection", "watch_unique"]
+__all__ = ["Watch", "poll", "watch_collection", "watch_unique"]

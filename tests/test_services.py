@@ -7,8 +7,7 @@ from chronolith.operators import fuzzy, idsets
 from chronolith.operators.collection import Collection, Session
 from chronolith.registry import Context, Registry
 from chronolith.sources import LogStore
-from chronolith.streaming import catch_up, deduplicated
-from chronolith.streaming.watch import events
+from chronolith.streaming import poll, watch_collection
 from tests.test_collection import PERSON, SETTING
 
 
@@ -92,18 +91,39 @@ def test_fuzzy_needs_a_shared_gram(spark):
     assert fuzzy.threshold(fuzzy.Distance(2), 10, 3) == 4 and fuzzy.threshold(fuzzy.Distance(9), 10, 3) == 0 and fuzzy.threshold(fuzzy.Contains(0), 10, 3) == 1
 
 
-def test_watch_restarts_from_its_checkpoint(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    schema = "tenant long, pivot long, rec string, instant long"
+def test_watch_tells_committed_events_once(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "p"), PERSON.body)
+    people, mirror = Collection(PERSON, store, Session(5)), Collection(PERSON, LogStore(spark, str(tmp_path / "m"), PERSON.body), Session(5))
+    watch = watch_collection(store, str(tmp_path / "w"), Session(5), mirror=mirror.adopt)
+    told = lambda: [(r["event"], r["name"]) for r in watch.catch_up().orderBy("instant").collect()]
+    assert told() == []
+    a = people.insert(name="a", city="x")
+    with pytest.raises(Conflict):
+        store.apply(people._frame([people._row("late", 5, True, {"name": "late"})]), base=0)
+    Collection(PERSON, store, Session(6)).insert(name="another tenant's", city="x")
+    assert told() == [("saved", "a")]
+    people.remove(a)
+    people.insert(name="b", city="x")
+    store.compact()
+    store.vacuum(-1)
+    people.insert(name="c", city="x")
+    watch = watch_collection(store, str(tmp_path / "w"), Session(5), mirror=mirror.adopt)
+    assert told() == [("saved", "a"), ("removed", None), ("saved", "b"), ("saved", "c")] == told()
+    assert [r["name"] for r in mirror.all().collect()] == ["c", "b"]
+
+
+def test_poll_backs_off_while_idle(spark, tmp_path):
+    people = Collection(PERSON, LogStore(spark, str(tmp_path / "p"), PERSON.body), Session(5))
+    waits, asked = [], [0]
 
-    def put(*rows):
-        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    def sleep(seconds):
+        waits.append(seconds)
+        if len(waits) == 3:
+            people.insert(name="a", city="x")
 
-    def told():
-        catch_up(deduplicated(events(spark.readStream.schema(schema).parquet(str(tmp_path / "v"))), 5), str(tmp_path / "out"), str(tmp_path / "c"))
-        return sorted((r["tenant"], r["instant"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    def until():
+        asked[0] += 1
+        return asked[0] > 11
 
-    put((1, 0, "a", 4), (1, 0, "a", 7), (2, 0, "b", 6))
-    assert told() == [(1, 7), (2, 6)]
-    put((1, 0, "a", 7), (1, 0, "a", 9))  # one told before, one new
-    assert told() == [(1, 7), (1, 9), (2, 6)]
+    found = [f.collect() for f in poll(people.changes, interval=1.0, until=until, sleep=sleep)]
+    assert [r["name"] for f in found for r in f] == ["a"] and waits == [1, 2, 4, 1, 2, 4, 8, 16, 16, 16]
