@@ -642,5 +642,7 @@ def ext_aggregate_function(spark, sf_dir):
     """A registered aggregate function: partial results of Arrow batches, put together by sum."""
     registry = Registry()
     registry.expose_aggregate("checksum", lambda cents: int(cents.sum() % 1_000_003), "long")
-    parts = _orders(spark, sf_dir).groupBy("status", F.pmod("rec", F.lit(64)).alias("part")).agg(F.count("*").alias("n"), registry.aggregate("checksum")("cents").alias("c"))
+    registry.expose_aggregate("rows", len, "long")
+    checksum, rows = registry.aggregate("checksum"), registry.aggregate("rows")
+    parts = _orders(spark, sf_dir).groupBy("status", F.pmod("rec", F.lit(64)).alias("part")).agg(rows("cents").alias("n"), checksum("cents").alias("c"))
     return parts.groupBy("status").agg(F.sum("n").alias("n"), (F.sum("c") % 1_000_003).alias("checksum"))

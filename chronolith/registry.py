@@ -97,7 +97,7 @@ class Registry:
         """Offers an aggregate function: body(column as a pandas Series) gives one value for each group."""
         made = ServerFunction(f"aggregate {name}", body, public=True)
         self._claim(made.struct_hash, made.name)
-        self._aggregates[name] = pandas_udf(body, returns, PandasUDFType.GROUPED_AGG)
+        self._aggregates[name] = pandas_udf(lambda column: body(column), returns, PandasUDFType.GROUPED_AGG)
 
     def aggregate(self, name: str) -> Callable:
         if name not in self._aggregates:
