@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block if at least ``threshold`` of its distinct words stand in the block
-(containment |T & B| / |T|). The join is exact:
+A block is a line with the words after it, as many as the longest template has and of at most the next ``LINES`` lines,
+so a notice is found whether it stands in one line or is wrapped. A template is found in a block if at least ``threshold``
+of its distinct words stand in the block (containment |T & B| / |T|). The join is exact:
 
-* tokens have one global order, rarest first by the number of blocks they stand in over the whole table; tokens of no
+* tokens have one global order, rarest first by the number of lines they stand in over the whole table; tokens of no
   template can never match and come last, so a block is kept as its template tokens alone;
 * prefix filter: a block with overlap o or more holds one of the |T| - o + 1 rarest tokens of T, so only those are
   looked up;
@@ -32,6 +33,8 @@ from chronolith.llm._common import cut, text_of
 #: A word, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Lines over which a block may run on.
+LINES = 4
 
 # Phrases with their labels, and wordings of public licenses with theirs.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -62,15 +65,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def all_words(wording: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in wording.lower()).split()
+
+
 def template_words(wording: str) -> list[str]:
     """Distinct words of an ASCII wording, in order."""
-    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in wording.lower()).split()))
+    return list(dict.fromkeys(all_words(wording)))
+
 
+def reach(templates=TEMPLATES) -> int:
+    """Words after a line that belong to its block."""
+    return max(len(all_words(wording)) for _, wording in templates)
 
-def block_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """In how many blocks of the table each token of the vocabulary stands: one row per token comes back."""
-    blocks = docs.select(F.explode(F.split(lowered(text_of()), "\n")).alias("block"))
-    seen = blocks.select(F.explode(F.array_distinct(tokens(F.col("block")))).alias("token")).where(F.col("token").isin(vocabulary))
+
+def line_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many lines of the table each token of the vocabulary stands: one row per token comes back."""
+    lines = docs.select(F.explode(F.split(lowered(text_of()), "\n")).alias("line"))
+    seen = lines.select(F.explode(F.array_distinct(tokens(F.col("line")))).alias("token")).where(F.col("token").isin(vocabulary))
     return {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -80,7 +92,7 @@ class Index:
     def __init__(self, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD):
         sets = [(label, template_words(wording)) for label, wording in templates]
         vocabulary = sorted({w for _, words in sets for w in words})
-        counts = block_counts(docs, vocabulary)
+        counts = line_counts(docs, vocabulary)
         self.order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
         rank = {w: i for i, w in enumerate(self.order)}
         self.entries = []  # (token, label, place in the template, words of the template, least overlap)
@@ -90,20 +102,25 @@ class Index:
             self.entries += [(w, label, i, words, least) for i, w in enumerate(words[: len(words) - least + 1])]
         self.prefix = sorted({e[0] for e in self.entries})
         self.least = min(e[4] for e in self.entries)
+        self.reach = reach(templates)
+
+    def lines(self, text: Column, words: Column) -> Column:
+        """The words of each line of a lowered text, if it holds a prefix token at all; else null."""
+        return F.when(F.arrays_overlap(words, F.lit(self.prefix)), F.transform(F.split(text, "\n"), tokens))
 
-    def candidates(self, text: Column, words: Column) -> Column:
-        """(place, block) of the lines of a lowered text with these words that hold a prefix token; null if none can."""
-        placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("block")))
-        return F.when(F.arrays_overlap(words, F.lit(self.prefix)), F.filter(placed, lambda x: F.arrays_overlap(tokens(x["block"]), F.lit(self.prefix))))
+    def candidates(self, lines: str) -> Column:
+        """(place, block) of the lines whose block holds a prefix token; null if lines is."""
+        placed = F.transform(lines, lambda x, i: F.struct(i.alias("place"), F.concat(x, F.slice(F.flatten(F.slice(lines, i + 2, F.lit(LINES))), 1, self.reach)).alias("block")))
+        return F.filter(placed, lambda x: F.arrays_overlap(x["block"], F.lit(self.prefix)))
 
     def table(self, spark) -> DataFrame:
         rows = [F.struct(F.lit(w).alias("token"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(words).alias("words"), F.lit(least).alias("least")) for w, label, i, words, least in self.entries]
         return spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
     def join(self, blocks: DataFrame, *keys: str) -> DataFrame:
-        """keys, label and containment of every block (column block, lowered) that meets the threshold."""
+        """keys, label and containment of every block (column block: its words) that meets the threshold."""
         # The global order restricted to template tokens is that of the constant array.
-        held = blocks.select(*keys, F.array_intersect(F.lit(self.order), tokens(F.col("block"))).alias("held")).where(F.size("held") >= self.least)
+        held = blocks.select(*keys, F.array_intersect(F.lit(self.order), F.col("block")).alias("held")).where(F.size("held") >= self.least)
         found = held.select("*", F.posexplode("held").alias("at", "token")).where(F.col("token").isin(self.prefix))
         joined = found.join(F.broadcast(self.table(blocks.sparkSession)), "token")
         left = F.least(F.size("words") - F.col("i"), F.size("held") - F.col("at"))
@@ -116,7 +133,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     """doc_id, version (hash of the text), place (of the line), label and containment of every block that meets the threshold."""
     index = Index(docs, templates, threshold)
     texts = docs.select("doc_id", F.xxhash64(text_of()).alias("version"), lowered(text_of()).alias("text"))
-    blocks = texts.select("doc_id", "version", F.explode(index.candidates(F.col("text"), tokens(F.col("text")))).alias("b")).select("doc_id", "version", "b.*")
+    lined = texts.select("doc_id", "version", index.lines(F.col("text"), tokens(F.col("text"))).alias("lines"))
+    blocks = lined.select("doc_id", "version", F.explode(index.candidates("lines")).alias("b")).select("doc_id", "version", "b.*")
     return index.join(blocks, "doc_id", "version", "place")
 
 
@@ -147,9 +165,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     labels = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(names, PHRASES, strict=True)]), lambda x: x.isNotNull())))
     places = F.concat(*names)
     # Texts are read once more than for the counts; what is kept of each is a few numbers and its candidate lines.
+    spans = spans.withColumn("lines", index.lines(F.col("text"), F.col("words")))
     own = cut(spans.select(
         "doc_id", "version", F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"), labels.alias("base"), index.candidates(F.col("text"), F.col("words")).alias("lines"),
+        F.array_max(places).cast("long").alias("last_word"), labels.alias("base"), index.candidates("lines").alias("lines"),
     ))
     blocks = own.select("doc_id", "version", F.explode("lines").alias("b")).select("doc_id", "version", "b.block")
     by_doc = index.join(blocks, "doc_id", "version").groupBy("doc_id", "version").agg(F.collect_set("label").alias("found"), F.max("containment").alias("score"))

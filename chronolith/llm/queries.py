@@ -75,8 +75,10 @@ ORACLE_SQL: dict[str, str] = {
         FROM ends WHERE w[i] = 'license' AND i > 1 AND (w[i - 1] IN ('mit', 'apache') OR (i > 2 AND w[i - 1] = 'public' AND w[i - 2] = 'general'))
     ), base AS (
         SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY r
+    ), lined AS (
+        SELECT r, list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '{license_scan.WORD}')) AS l FROM docs
     ), blocks AS (
-        SELECT r, list_distinct(regexp_extract_all(b, '{license_scan.WORD}')) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM docs)
+        SELECT r, list_distinct(list_concat(l[i], flatten(l[i + 1:i + {license_scan.LINES}])[1:{license_scan.reach()}])) AS b FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM lined)
     ), found AS (
         SELECT r, label, len(list_intersect(b, words)) / len(words) AS score FROM blocks JOIN templates ON len(b) > 0 AND len(list_intersect(b, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)
     ), labelled AS (
