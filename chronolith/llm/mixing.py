@@ -6,8 +6,9 @@ rest of the target is a fractional selection: documents are sorted by exponentia
 a hash of doc_id and a seed, and taken while the prefix sum of their sizes stays within the rest; one more document,
 the largest that still fits, brings the sum near the target.
 
-Prefix sums scale: keys fall in a set number of buckets per source, whose sums (one row per source and bucket) find
-the bucket that the rest ends in; only that bucket's rows are ordered. A hot source is never in one task.
+Prefix sums scale: keys fall in buckets by their logarithm, so many to a doubling that, whatever the qualities, a bucket
+holds about one row in 8,000 of a source at most; the buckets' sums (one row per source and bucket) find the one that the
+rest ends in, and only that bucket's rows are ordered. A hot source is never in one task.
 
 Defined results: a null text has size 0. A null source is a source of its own, last. Documents of size 0 are selected
 with their bucket's prefix but take no words. Rows with one doc_id have one key and are told apart by their row.
@@ -24,8 +25,8 @@ from chronolith.llm._common import cut, small, text_of
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeated.
 WEIGHTS = (1, 2, 3)
-#: Buckets of keys per source; a bucket's rows are ordered in one task.
-BUCKETS = 16_384
+#: Buckets of keys to a doubling, of which there are 80; a bucket's rows are ordered in one task.
+BUCKETS = 2048
 
 
 def words(col: Column) -> Column:
@@ -67,8 +68,8 @@ def plan(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, ca
     sized = docs.select(*keep, "doc_id", "source", words(text).alias("size"), F.length(text).alias("chars"))
     key = -F.log(uniform(seed)) / quality(F.col("size"), F.col("chars"))
     keyed = sized.select(*keep, "doc_id", "source", "size", key.alias("key"), F.monotonically_increasing_id().alias("row"))
-    # exp falls as the key rises, so buckets follow the order of keys.
-    keyed = cut(keyed.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")))
+    octave = F.least(F.log2(F.greatest(F.col("key"), F.lit(2.0**-40))) + 40, F.lit(80.0))
+    keyed = cut(keyed.withColumn("bucket", F.floor(octave * buckets).cast("int")))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     by_source = cut(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -83,7 +84,7 @@ def plan(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, ca
     inside = cut(ended.where("upto <= left").select("source", "row", "size", "left"))
     gaps = ended.groupBy("source").agg(F.max("left").alias("gap"), F.sum(F.when(F.col("upto") <= F.col("left"), F.col("size")).otherwise(0)).alias("got")).select(F.col("source").alias("s"), (F.col("gap") - F.col("got")).alias("gap"))
     free = rows.where("bucket >= cut_bucket").join(inside.select("row"), "row", "left_anti").join(small(cut(gaps)), F.col("source").eqNullSafe(F.col("s"))).where("size > 0 and size <= gap")
-    fill = free.withColumn("at", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("size"), "key", "doc_id", "row"))).where("at = 1")
+    fill = free.groupBy("source").agg(F.min(F.struct((-F.col("size")).alias("size"), "key", "doc_id", "row")).alias("best")).select("best.row")
     chosen = inside.select("row").unionByName(fill.select("row")).withColumn("picked", F.lit(1))
     result = rows.join(chosen, "row", "left").join(small(by_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     picked = F.when(F.col("bucket") < F.col("cut_bucket"), 1).otherwise(F.coalesce(F.col("picked"), F.lit(0)))
