@@ -8,8 +8,9 @@ Scores order rows descending, ties by ascending id. The row with the query's own
 
 Defined results: a vector that is null or holds a null or non-finite component takes no part. Vectors of different
 lengths are not compared. Rows with one id are rows of their own as candidates; as queries, equal rows are one query
-and different ones are queries of their own. A null id takes no part. An empty table gives no rows. Other columns of
-the input are not read.
+and different ones are queries of their own. A null id takes no part. A score beyond 64 bits counts as the nearest number
+of 64 bits, so vectors of very large components are ranked by id where they have that score. An empty table gives no rows.
+Other columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from pyspark.sql import functions as F
 
 #: Queries and rows of a cell; query rows of one matrix product; lists of a query that are merged at once.
 CELL_QUERIES, CELL_ROWS, BLOCK, FAN_IN = 4096, 32_768, 128, 32
+_MOST = (1 << 63) - 1
 
 
 def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in queries, place in rows, score) of each query's k best rows. ids ascend; matrices hold integers."""
+    """(place in queries, place in rows, score) of each query's k best rows. ids ascend; matrices hold whole numbers as doubles."""
     n, places, found, scores = len(ids), [], [], []
     largest = float(max(np.abs(queries).max(initial=0), 1)) * float(max(np.abs(rows).max(initial=0), 1)) * max(1, rows.shape[1])
     exact = np.float64 if largest < 2**53 else object  # beyond doubles' exact range: Python's integers
-    a, b = queries.astype(exact), rows.T.astype(exact)
+    whole = lambda m: m if exact is np.float64 else np.array([[int(x) for x in line] for line in m], dtype=object).reshape(m.shape)
+    a, b = whole(queries), whole(rows).T
     k = min(k, n)
     for at in range(0, len(queries), BLOCK):
         product = a[at : at + BLOCK] @ b
+        if exact is object:
+            product = np.array([[min(max(x, -_MOST), _MOST) for x in line] for line in product], dtype=np.int64).reshape(product.shape)
         lows, highs = np.searchsorted(ids, own[at : at + BLOCK]), np.searchsorted(ids, own[at : at + BLOCK], "right")
         own_rows = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(lows, highs, strict=True)) if hi > lo]
         if exact is np.float64 and largest * n < 2**62:
@@ -44,8 +49,8 @@ def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray
             top = np.argpartition(mixed, n - k, axis=1)[:, n - k :]
         else:
             top = np.empty((len(product), k), dtype=np.int64)
-            for i, line in enumerate(product):
-                top[i] = sorted(range(n), key=lambda j, i=i, line=line: (ids[j] == own[at + i], -line[j], j))[:k]
+            for i, line in enumerate(product.astype(np.int64)):
+                top[i] = np.lexsort((np.arange(n), -line, ids == own[at + i]))[:k]
         query = np.repeat(np.arange(at, at + len(product)), k)
         row = top.ravel()
         keep = ids[row] != own[query]
@@ -61,7 +66,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0
     finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
         F.col(id_col).alias("id"), is_query.alias("is_query"),
-        F.transform(vector_col, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"),
+        F.transform(vector_col, lambda x: F.lit(scale) * x.cast("double")).alias("v"),
     ).withColumns({"dim": F.size("v"), "h": F.xxhash64("id", "v")})
     counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     row_parts, query_parts = max(1, -(-counts["n"] // cell_rows)), max(1, -(-counts["q"] // cell_queries))
@@ -76,7 +81,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         if not len(a) or not len(b):
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        matrix = lambda t, c: np.floor(t.column(c).combine_chunks().flatten().to_numpy()).reshape(len(t), -1)
         own, ids = a.column("id").to_numpy(), b.column("row_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
