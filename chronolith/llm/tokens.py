@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a generation of a cache, about 150 bytes each.
-GENERATION = 200_000
+#: Entries of a generation of a cache, about 200 bytes each: four generations take 80 MB of a worker at most.
+GENERATION = 100_000
 #: Bytes of text encoded at once.
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 4_000_000
 
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 MARK = "^"
