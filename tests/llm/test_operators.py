@@ -66,6 +66,20 @@ def test_encoder_gives_the_librarys_ids():
         assert [b for _, b in Encoder(path).stream(pa.array(texts))] == want
 
 
+def blocks_of(text, reach):
+    """The sets of words of each line and those after it."""
+    lines = [re.findall(license_scan.WORD, line) for line in text.split("\n")]
+    return [set(line + sum(lines[i + 1 : i + 1 + license_scan.LINES], [])[:reach]) for i, line in enumerate(lines)]
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    notice = license_scan.TEMPLATES[1][1]
+    words = notice.split()
+    texts = [notice, "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7)), "Some words before. " + "\n".join([" ".join(words[:3]), " ".join(words[3:14]), " ".join(words[14:])]), "\n\n\n\n\n\n".join([" ".join(words[:10]), " ".join(words[10:])])]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
 def test_license_scan(docs, corpus, nothing):
     word = re.compile(license_scan.WORD)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,10 +92,10 @@ def test_license_scan(docs, corpus, nothing):
             here = [i for i in range(len(words)) if words[i : i + len(p)] == p]
             places += here
             base |= {label} if here else set()
-        for line in t.split("\n"):
+        for block in blocks_of(t, license_scan.reach()):
             for label, wording in license_scan.TEMPLATES:
                 tokens = set(license_scan.template_words(wording))
-                share = len(tokens & set(word.findall(line))) / len(tokens)
+                share = len(tokens & block) / len(tokens)
                 if share >= license_scan.THRESHOLD - 1e-9:
                     labels.add(label)
                     score = max(score, share)
@@ -98,7 +112,7 @@ def test_license_scan_finds_every_match(spark):
     words = "one two three four five six seven eight nine ten eleven".split()
     rows = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(3))) for i in range(300)]
     got = {(r["doc_id"], r["place"], r["label"]) for r in license_scan.matches(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.7).collect()}
-    want = {(i, k, label) for i, t in rows for k, line in enumerate(t.split("\n")) for label, wording in templates if len(set(wording.split()) & set(line.split())) >= 0.7 * len(wording.split())}
+    want = {(i, k, label) for i, t in rows for k, block in enumerate(blocks_of(t, 7)) for label, wording in templates if len(set(wording.split()) & block) >= 0.7 * len(wording.split())}
     assert got == want
 
 
@@ -256,25 +270,32 @@ def test_slot_map_balances_and_grows(spark, tmp_path):
 
 
 def test_line_dedup(docs, corpus, nothing):
-    got = {(r["doc_id"], r["n_lines"], r["text"]): r for r in line_dedup.dedup(docs).collect()}
-    key = lambda i, t: (i is None, i or 0, spark_order(t))
-    seen, texts = set(), sorted({(i, t or "") for i, t in corpus}, key=lambda x: key(*x))
-    wanted = {}
-    for i, t in texts:
-        gone = []
-        for k, line in enumerate(t.split("\n")):
+    """Texts without sentence ends, whose units are lines, against a plain search: runs of repeated lines, with short ones between, of 20 words or more."""
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["text"], r["n_removed"], r["n_removed_chars"], tuple((x["start"], x["length"]) for x in r["removed"])) for r in line_dedup.dedup(docs).collect())
+    seen, want, times = set(), collections.Counter(), collections.Counter((i, t or "") for i, t in corpus)
+    for i, t in sorted(times, key=lambda x: (x[0] is None, x[0] or 0, spark_order(x[1]))):
+        if re.search(r"[.!?…]", t):  # these have sentences, and share none
+            continue
+        lines, again = t.split("\n"), []
+        for line in lines:
             norm = re.sub(r"[\W_]+", " ", line.lower()).strip()
-            if len(norm.split(" ")) >= 5:
-                if norm in seen:
-                    gone.append(k)
-                seen.add(norm)
-        wanted[i, t] = gone
-    for (i, t), gone in wanted.items():
-        text, n, removed, chars, spans = line_dedup.removal(t, [{"place": k, "first_doc": 0} for k in gone], 5)
-        r = got[i, n, text]
-        assert (r["n_removed"], r["n_removed_chars"]) == (removed, chars)
-        assert all(t[s["start"] : s["start"] + s["length"]] in t.split("\n") for s in r["removed"])
-    assert sum(len(g) for g in wanted.values()) > 20 and line_dedup.dedup(nothing).collect() == []
+            long = len(norm.split(" ")) >= 5
+            again.append(long and norm in seen)
+            seen |= {norm} if long else set()
+        gone, run = set(), []
+        for k in [*range(len(lines)), None]:
+            if k is not None and (again[k] or run and len(lines[k].split()) < 5):
+                run.append(k)
+                continue
+            while run and not again[run[-1]]:
+                run.pop()
+            if sum(len(lines[x].split()) for x in run) >= 20:
+                gone |= set(run)
+            run = []
+        at = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+        spans = tuple((at[k], len(lines[k])) for k in sorted(gone))
+        want[i, len(lines), "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone), sum(n for _, n in spans), spans] += times[i, t]
+    assert sum(w[3] for w in want) > 20 and not want - got and line_dedup.dedup(nothing).collect() == []
 
 
 def test_line_dedup_finds_passages_within_lines(spark):
@@ -431,6 +452,31 @@ def test_near_dedup_compares_all_of_a_bucket(spark):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def test_near_dedup_recall(spark):
+    """Of all pairs within the edit similarity, by brute force, at least 0.98 share a class; classes are no larger than links make them."""
+    rng = random.Random(41)
+    texts = []
+    for _ in range(25):
+        base = [f"b{rng.randrange(99999)}" for _ in range(rng.randint(8, 90))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 5)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(3)] = [f"x{rng.randrange(99999)}" for _ in range(rng.randrange(3))]
+            texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label, pairs = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            if i // 6 == j // 6 and edits(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])):
+                pairs.append((i, j))
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(pairs) > 100 and sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs)
+    assert all(label[i] == label[got[i]] for i in got)
+
+
 def test_topk(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(50)]
@@ -449,6 +495,27 @@ def test_topk(spark):
     assert topk.exact_topk(frame.limit(0), F.col("vec_id") % 20 == 0, 20).collect() == []
 
 
+def test_topk_of_very_large_components(spark):
+    """Scores beyond 64 bits count as the nearest number of 64 bits."""
+    rows = [(20, [1e30, -1e30]), (1, [1e30, 0.0]), (2, [0.0, 1e30]), (3, [2e30, 0.0]), (4, [1e12, 3.0]), (5, [0.5, 0.25]), (40, [1e9, 1.0]), (6, [3e8, -7.0])]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, row_id string, score long")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.exact_topk(frame, F.col("vec_id") % 20 == 0, 20).collect()}
+    most = (1 << 63) - 1
+    for i, v in rows:
+        if i % 20 == 0:
+            dot = {j: max(-most, min(most, sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w, strict=True)))) for j, w in rows if j != i}
+            assert [got[i, k + 1] for k in range(7)] == sorted(dot.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_mixing_buckets_are_even_for_any_quality(spark):
+    """Texts of very long words, whose keys are large, do not fall in one bucket."""
+    from chronolith.llm import mixing as m
+
+    keyed = spark.range(40_000).select(F.col("id").alias("doc_id")).select((-F.log(m.uniform(17)) * F.element_at(F.array(F.lit(1.0), F.lit(200.0)), (F.col("doc_id") % 2 + 1).cast("int"))).alias("key"))
+    bucket = F.floor((F.log2("key") + 40) * m.BUCKETS)
+    assert keyed.groupBy(bucket).count().agg(F.max("count")).first()[0] < 40
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(1500):
@@ -552,6 +619,27 @@ def test_token_files(spark, docs, corpus, nothing, tmp_path):
     assert token_files.round_trip(nothing, WORDS, 1).collect() == []
 
 
+def test_token_files_have_pages_and_indexes(spark, tmp_path):
+    """What the footers say of encodings and indexes, and that a range of documents reads few row groups."""
+    import pyarrow.parquet as pq
+
+    rng, path = random.Random(3), str(tmp_path / "files")
+    frame = spark.createDataFrame([(i, prose(rng, 400, 60 if i < 1500 else 90_000)) for i in range(3000)], "doc_id long, text string").repartition(2)
+    token_files.write(frame, path, WORDS, 1, row_group=256 << 10, page=16 << 10)
+    kinds, groups = set(), 0
+    for part in sorted((tmp_path / "files").glob("part-*")):
+        meta = pq.ParquetFile(part).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = [meta.row_group(g).column(c) for c in range(meta.num_columns)]
+            assert all(c.has_offset_index and c.has_column_index for c in columns)
+            kinds |= {e for c in columns if c.path_in_schema.startswith("ids") for e in c.encodings}
+    assert groups > 4 and kinds & {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} and "PLAIN_DICTIONARY" not in kinds
+    few = token_files.read(spark, path, ("doc_id", "ids")).where("doc_id between 700 and 703")
+    assert sorted(r["doc_id"] for r in few.collect()) == [700, 701, 702, 703]
+    assert "GreaterThanOrEqual(doc_id,700)" in few._jdf.queryExecution().toString()
+
+
 def test_sha_of_everything_kept(docs):
     row = suffix_dedup.dedup(docs.where("doc_id = 41")).first()
     assert hashlib.sha256(bytes(row["kept"])).hexdigest() == hashlib.sha256(b"").hexdigest()

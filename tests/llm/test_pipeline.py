@@ -48,6 +48,28 @@ def test_run_is_the_stages_in_turn(spark, stages):
     assert got.count() == len(frames[-1]) and got.agg(F.sum("length")).first()[0] == sum(r["length"] for r in frames[-1])
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Each stage on an empty table, and on one with nulls, a very long text, a U+FFFD of its own, ties and columns with clashing names."""
+    rng = random.Random(5)
+    passage = "é" * 130 + prose(rng, 20, 3000)
+    rows = [(i, prose(rng, 120, 3000), "en", "s", 0) for i in range(8)] + [(20, prose(rng, 20_000, 9000), None, None, None), (21, "\ufffd " + prose(rng, 80, 3000), "en", "s", 1)]
+    rows += [(30 + i, prose(rng, 60, 3000) + "ab"[i] + passage, "en", "s", 0) for i in range(2)] + [(None, None, None, None, None), (0, "a", "en", "s", 0), (7, prose(rng, 90, 3000), "en", "s", 0)]
+    names = ["tie", "rank", "kept", "grp", "marks", "label", "node", "size", "bucket", "copy", "nth"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    for k, table in enumerate((rows, [])):
+        docs = spark.createDataFrame([(*r, *names) for r in table], schema)
+        for j, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{k}-{j}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert (docs.count() > 0) == bool(table)
+            if j < len(corpus_pipeline.STAGES) - 1:
+                assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+            if j == 2 and table:
+                text = {r["doc_id"]: r["text"] for r in docs.collect()}
+                assert text[21].startswith("\ufffd ") and "\ufffd" not in text[31] and len(text[20].split()) == 20_000 and len(text[31]) < len(text[30])
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
