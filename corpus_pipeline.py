@@ -1,19 +1,21 @@
 """A corpus pipeline: quality rules, near-duplicates, repeated passages, the mix of sources, packing.
 
-Each stage works on all that the one before kept; all but the last return the columns of documents. Equal doc_ids with
-different texts are documents of their own.
+Each stage works on all that the one before kept; all but the last return the columns of documents.
+
+Defined results: rows with one doc_id and different texts are documents of their own, and rows without a doc_id as well. A
+null text counts as empty: quality rules reject it, as they do an empty one. Very long texts pass every stage whole.
+Equal rows are judged alike; near-duplicates keep one of them. Ties go by doc_id, then by a hash of the text. An empty
+table gives an empty table in every stage. Columns beside those of documents are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
-from chronolith.llm._common import shared_dir, table, text_of
+from chronolith.llm._common import bounded_batches, delete, new_path, table, text_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the least doc_id, documents without an id coming last; of equal rows one stays."""
+    bounded_batches(spark)
     kept = near_dedup.classes(docs).where("first").select(F.col("doc_id").alias("k"), F.col("tie").alias("t")).distinct()
     named = docs.select(*COLUMNS, F.xxhash64(text_of()).alias("tie"))
     stays = named.join(kept, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")), "left_semi")
@@ -37,10 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings that also start earlier; characters of which only a part is left are dropped."""
+    bounded_batches(spark)
     rest = suffix_dedup.dedup(docs.select(*COLUMNS), keep=("lang", "source", "n_chars"))
-    whole = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(whole, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    return rest.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return rest.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with their ids."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -67,9 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-pipeline-{uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), new_path(spark, "corpus-pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
