@@ -8,15 +8,13 @@ link if a banded alignment of the words shows an edit similarity (1 - edits / wo
 more. Classes are connected components of links.
 
 Texts with the same words are one node, by partial aggregation, before anything else. Buckets (texts with one sketch)
-with the same nodes are one bucket. In the first round the node of each bucket that meets the most others in all its
-buckets, most likely what the others were copied from, is compared with all the rest; links make classes. In the second
-the node of most links and a few others are compared with what is not of their class. In the last, any two nodes of a
-bucket that are still of different classes are compared, but for pairs that are too unequal in length, or in how often
-words of each of 256 hash buckets stand in them, for their edit distance to be within the band. So any two texts of a
-bucket end in one class or were compared: classes are those of comparing every pair of every bucket. A bucket of n texts
-that are alike in nothing but a sketch costs n * n / 2 comparisons of counts. No bucket is ever in one task, no links are
-collected, and rounds do not broadcast. Intermediate tables are written in the shared folder and deleted when they have
-served.
+with the same nodes are one bucket. First the node of each bucket that meets the most others in all its buckets, most
+likely what the others were copied from, is compared with all the rest, and links make classes. Then the buckets that
+still hold several classes are compared whole: in tiles of a bounded number of nodes and words, every two nodes of
+different classes, unless the tile's own links have joined them or word counts by hash bucket show that their edit distance
+is beyond the band. So any two texts of a bucket end in one class or were compared: classes are those of comparing every
+pair of every bucket. No bucket is ever in one task, a tile gives the links that join its classes and never all pairs, and
+rounds do not broadcast. Intermediate tables are written in the shared folder and deleted when they have served.
 
 Defined results: a null text counts as empty; texts without words are one class. A text of fewer than five words is one
 shingle. Rows with a null doc_id rank last in a class, by a hash of their text; a class of such rows alone has a null
@@ -36,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm._common import Scratch, cut, small, text_of
+from chronolith.llm._common import Scratch, cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
-#: Nodes of a bucket that lead it in the second round, about; hash buckets whose words are counted.
-MORE_LEADERS, COUNTS = 16, 256
+#: Nodes and words of one side of a tile, about; hash buckets whose words are counted.
+TILE_NODES, TILE_WORDS, COUNTS = 1000, 4_000_000, 256
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
 BATCH_WORDS, KEPT_WORDS = 200_000, 100_000
 
@@ -264,59 +262,88 @@ def signatures(docs: DataFrame, count: int = SKETCHES) -> DataFrame:
 
 
 def _word_table(docs: DataFrame) -> DataFrame:
-    """node, its words' hashes and its counts of words by hash bucket, as bytes, of each text."""
+    """node and its words' hashes, as bytes, of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 words = [hashes(t.as_py()) for t in batch.column("text").slice(at, 256)]
-                counts = [np.minimum(np.bincount((w & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8).tobytes() for w in words]
                 # 32 bits are enough to compare the words of two texts.
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in words], pa.int64()), pa.array([w.astype(np.uint32).tobytes() for w in words], pa.binary()), pa.array(counts, pa.binary())], names=["node", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in words], pa.int64()), pa.array([w.astype(np.uint32).tobytes() for w in words], pa.binary())], names=["node", "words"])
 
-    return docs.select("text").mapInArrow(made, "node long, words binary, counts binary")
+    return docs.select("text").mapInArrow(made, "node long, words binary")
 
 
-def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with a column of each of the two nodes."""
-    left, right = of.select(F.col("node").alias("a"), F.col(column).alias("of_a")), of.select(F.col("node").alias("b"), F.col(column).alias("of_b"))
-    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "of_a", "of_b")
-
-
-def _filtered(pairs: DataFrame, test) -> DataFrame:
-    """The pairs whose two values pass test(list, list)."""
+def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts align."""
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("words_a"))
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("words_b"))
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(test(batch.column("of_a"), batch.column("of_b")), pa.bool_())
+            seqs = [[np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in batch.column(c)] for c in ("words_a", "words_b")]
+            keep = pa.array([similar(x, y, least) for x, y in zip(*seqs, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return pairs.mapInArrow(passing, "a long, b long")
-
-
-def possible(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose counts of words let them be links: an edit changes the counts by two at most."""
-
-    def test(left, right) -> list[bool]:
-        out: list[bool] = []
-        for at in range(0, len(left), 2048):
-            a, b = (np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in c.slice(at, 2048)]).astype(np.int16) for c in (left, right))
-            # Counts that were cut off at 255 differ by no more than the true ones, but sum to less than the words: they pass.
-            longer, cut_off = np.maximum(a.sum(1), b.sum(1)), (a == 255).any(1) | (b == 255).any(1)
-            out += (cut_off | (np.abs(a - b).sum(1) <= 2 * np.floor((1 - least) * longer + 1e-9))).tolist()
-        return out
-
-    return _filtered(_with_both(pairs, words, "counts"), test)
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(aligned, "a long, b long")
+
+
+def joining(words: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Of texts in classes, links (places) that join those classes which any links do. If there are two sides, only texts of different ones are compared."""
+    sizes, across = np.array([len(w) for w in words]), sides.min() != sides.max()
+    counts = np.stack([np.minimum(np.bincount(w & np.uint32(COUNTS - 1), minlength=COUNTS), 255) for w in words]).astype(np.int16)
+    full = (counts == 255).any(1)  # these counts are cut off, and prove nothing
+    root, links = classes.copy(), []
+    for i in range(len(words) - 1):
+        if (root == root[0]).all():
+            break
+        rest = slice(i + 1, None)
+        band = np.floor((1 - least) * np.maximum(sizes[rest], sizes[i]) + 1e-9)
+        open_ = (root[rest] != root[i]) & (np.abs(sizes[rest] - sizes[i]) <= band)
+        if across:
+            open_ &= sides[rest] != sides[i]
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        # An edit changes the counts by two at most.
+        near = full[at + i + 1] | full[i] | (np.abs(counts[at + i + 1] - counts[i]).sum(1) <= 2 * band[at])
+        for j in (at[near] + i + 1).tolist():
+            if root[j] != root[i] and similar(words[i], words[j], least):
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _tiled(now: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the classes of each bucket of now (key, node, n_words, label)."""
+    open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    parts = F.greatest(F.ceil(F.col("n") / TILE_NODES), F.ceil(F.col("size") / TILE_WORDS)).cast("int")
+    mine = now.hint("merge").join(open_.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = each.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
+    rows = placed.hint("merge").join(words, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
 
-def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
+        def settle() -> pa.RecordBatch:
+            nodes, labels, sides, seqs = zip(*held, strict=True)
+            found = joining([np.frombuffer(w, dtype=np.uint32) for w in seqs], np.array(labels), np.array(sides), least)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f(nodes[i], nodes[j]) for i, j in found], pa.int64()) for f in (min, max)], names=["a", "b"])
 
-    def test(left, right) -> list[bool]:
-        return [similar(np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32), least) for x, y in zip(left, right, strict=True)]
+        for batch in batches:
+            for key, p, q, part, node, label, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "part", "node", "label", "words")), strict=True):
+                if (key, p, q) != tile:
+                    if held:
+                        yield settle()
+                    tile = key, p, q
+                held.append((node, label, part, seq))
+        if held:
+            yield settle()
 
-    return _filtered(_with_both(pairs, words, "words"), test)
+    return rows.select("key", "p", "q", "part", "node", "label", "words").mapInArrow(made, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -340,52 +367,46 @@ def _no_longer(a: str, b: str, least: float) -> Column:
     return longer - F.least(a, b) <= F.floor((1 - least) * longer + 1e-9)
 
 
-def _led(now: DataFrame, turn: int, least: float) -> DataFrame:
-    """now (key, node, n_words, label, merit) with leads, whether the node is compared with all of other classes in its bucket."""
-    open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("node", F.struct("merit", "node")).alias("best")).where("low <> high")
-    chance = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    leads = (F.col("node") == F.col("best")) | (chance * F.col("n") < (0.0 if turn == 0 else float(MORE_LEADERS)))
-    return now.hint("merge").join(open_.select("key", "n", "best"), "key").select("key", "node", "n_words", "label", leads.alias("leads"))
-
-
-def _all_left(now: DataFrame) -> DataFrame:
-    """now with leads: all nodes that are not of their bucket's largest class."""
-    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-    return now.hint("merge").join(largest, "key").select("key", "node", "n_words", "label", (F.col("label") != F.col("largest")).alias("leads"))
-
-
 def _linked(members: DataFrame, words: DataFrame, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The links (a, b), and node and label, the same for all nodes of a class, of the nodes of members (key, node, n_words)."""
+    """Links (a, b), and node and label, the same for all nodes of a class, of the nodes of members (key, node, n_words)."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    merits = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("merit"))
-    labels = scratch.keep("labels-0", merits.select("node", F.col("node").alias("label"), "merit"))
-    links, left = None, members
-    for turn in range(3):
-        now = left.hint("merge").join(labels, "node")
-        now = scratch.keep(f"led-{turn}", _led(now, turn, least) if turn < 2 else _all_left(now))
-        leaders = now.where("leads").select("key", F.col("node").alias("x"), F.col("label").alias("its"), F.col("n_words").alias("size"))
-        # Of two leaders the lesser is compared with the other.
-        apart = (F.col("label") != F.col("its")) & (~F.col("leads") | (F.col("x") < F.col("node"))) & _no_longer("n_words", "size", least)
-        pairs = now.hint("merge").join(leaders, "key").where(apart).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        if turn:
-            pairs = possible(pairs, words, least)
-        fresh = scratch.keep(f"links-{turn}", verified(pairs, words, least))
-        links = fresh if links is None else links.union(fresh)
-        if turn < 2:
-            left = now.where("not leads").select("key", "node", "n_words")
-        # Classes that a fresh link joins become one.
-        of = labels.select("node", "label")
-        joined = fresh.hint("merge").join(of.toDF("a", "la"), "a").hint("merge").join(of.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-        merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("into"))
-        more = fresh.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
-        # From the second round on a node's merit is its number of links.
-        labels = scratch.keep(f"labels-{turn + 1}", labels.hint("merge").join(merged, "label", "left").hint("merge").join(more, "node", "left").select("node", F.coalesce("into", "label").alias("label"), F.coalesce("more", F.lit(0)).alias("merit")))
-    return links.distinct(), labels.select("node", "label")
+    labels = scratch.keep("merits", members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("merit")).select("node", F.col("node").alias("label"), "merit"))
+    led = members.hint("merge").join(labels, "node")
+    best = led.groupBy("key").agg(F.max(F.struct("merit", "node", "n_words")).alias("best")).select("key", F.col("best.node").alias("x"), F.col("best.n_words").alias("size"))
+    led = scratch.keep("led", led.select("key", "node", "n_words").hint("merge").join(best, "key"))
+    apart = (F.col("x") != F.col("node")) & _no_longer("n_words", "size", least)
+    pairs = led.where(apart).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    first = scratch.keep("first", verified(pairs, words, least))
+    labels = scratch.keep("hooked", _hooked(labels, first))
+    now = led.where("x <> node").select("key", "node", "n_words").hint("merge").join(labels, "node")
+    links = scratch.keep("links", first.union(_tiled(now, words, least)).distinct())
+    merged = components(_between(labels, links)).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return links, labels.hint("merge").join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label"))
+
+
+def _between(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) of labels that links join."""
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+    joined = links.hint("merge").join(ends[0], "a").hint("merge").join(ends[1], "b")
+    return joined.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+
+
+def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node and label: of labels (node, label, merit), where every node is its own class, each has the label of the node of most merit
+    that a link joins it with, if that has more than its own, and from there one step further. Nodes of one label are
+    connected; the reverse is left to the end."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    merits = labels.select("node", "merit")
+    best = both.hint("merge").join(merits.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("merit", F.col("b").alias("node"))).alias("best"))
+    # Ties of merit go to the greater node, so nothing hooks in a ring.
+    up = best.hint("merge").join(merits, "node").where(F.col("best") > F.struct("merit", "node")).select("node", F.col("best.node").alias("up"))
+    further = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    into = up.hint("merge").join(further, "up", "left").select("node", F.coalesce("top", "up").alias("into"))
+    return labels.hint("merge").join(into, "node", "left").select("node", F.coalesce("into", "label").alias("label"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
-    """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (verified links of its words) and
+    """doc_id, tie (a hash of its text), class_id (the least doc_id of its class), n_links (links of its words that make its class) and
     first (whether it is the one of its class that stays) of each document."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     signed = scratch.keep("signed", signatures(docs, count))
@@ -395,8 +416,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, count: int = SKETCHES) -
     shared = shared.groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
     members = scratch.keep("members", keys.join(shared, "key").select("key", "node", "n_words"))
     wanted = scratch.keep("wanted", members.select("node").distinct().join(nodes.select("node", "top"), "node").select("top.rank", "top.tie"))
-    texts = docs.select(_rank().alias("rank"), F.xxhash64(text_of()).alias("tie"), "text").join(small(wanted), ["rank", "tie"], "left_semi")
-    words = scratch.keep("words", _word_table(texts).groupBy("node").agg(F.first("words").alias("words"), F.first("counts").alias("counts")))
+    texts = docs.select(_rank().alias("rank"), F.xxhash64(text_of()).alias("tie"), "text").join(wanted.hint("merge"), ["rank", "tie"], "left_semi")
+    words = scratch.keep("words", _word_table(texts).groupBy("node").agg(F.first("words").alias("words")))
     links, labels = _linked(members, words, least, scratch)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "top").join(labels, "node", "left").join(ends, "node", "left").select("node", "top", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
