@@ -422,8 +422,10 @@ def test_near_dedup(spark, docs, corpus, nothing):
     assert near_dedup.classes(nothing).collect() == []
 
 
-def test_near_dedup_compares_all_of_a_bucket(spark):
+@pytest.mark.parametrize("nodes", [1000, 7])
+def test_near_dedup_compares_all_of_a_bucket(spark, monkeypatch, nodes):
     """Hubs with copies that are no links of each other, and unrelated texts that share a passage, against all pairs of each bucket."""
+    monkeypatch.setattr(near_dedup, "TILE_NODES", nodes)
     rng = random.Random(31)
     texts = []
     for _ in range(12):
