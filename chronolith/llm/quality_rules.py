@@ -1,7 +1,7 @@
 """Quality rules by robust multivariate outliers.
 
-Each document has a vector of transformed statistics: log mean word length, log punctuation and symbols per word, log
-distinct words over log words, log capitals per word. Per group (language and source) the minimum-covariance-determinant
+Each document has a vector of transformed statistics: log mean word length, log (0.05 + punctuation and symbols per word),
+log distinct words over log words, log (0.05 + capitals per word). Per group (language and source) the minimum-covariance-determinant
 estimate of place and scatter is found over all its documents that pass the base rules. There are three deterministic
 starts: medians with quartile spreads, the correlation of the vectors' hyperbolic tangents, and that of their signs in
 space. From each, concentration steps - the three quarters of the group nearest by Mahalanobis distance give the next
@@ -43,6 +43,8 @@ UNITS, BINS_PER_DOUBLING, LAST_BIN = 4096, 32, 1280
 RIDGE = 9e-4
 SCALES = (4, 1, 10, 1)
 DIMS = len(SCALES)
+#: What is added to rates a word before their logarithm: it does not hang on the length of a text that has none.
+RATE = 0.05
 #: A determinant stands still if its logarithm falls by less.
 STILL = 1e-6
 #: Longest list of repeated windows that is searched window by window; longer ones are matched by sorting.
@@ -88,7 +90,7 @@ def base_failed() -> Column:
 def vector() -> list[Column]:
     """The transformed statistics, as fixed-point integers."""
     words = F.greatest(F.col("n_words"), F.lit(2))
-    logs = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log((F.col("n_punct") + 1) / words), F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(words), F.log((F.col("n_upper") + 1) / words))
+    logs = (F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log(F.col("n_punct") / words + RATE), F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(words), F.log(F.col("n_upper") / words + RATE))
     raw = [x * scale for x, scale in zip(logs, SCALES, strict=True)]
     return [F.round(x * UNITS).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
