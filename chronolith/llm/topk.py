@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and rows of a cell; query rows of one matrix product; lists of a query that are merged at once.
-CELL_QUERIES, CELL_ROWS, BLOCK, FAN_IN = 4096, 32_768, 128, 32
+#: Bytes of a cell's queries and of its rows, as doubles; query rows of one matrix product; lists of a query that are merged at once.
+CELL_BYTES, BLOCK, FAN_IN = 16 << 20, 64, 32
 _MOST = (1 << 63) - 1
 
 
@@ -61,14 +61,16 @@ def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray
     return tuple(np.concatenate(x) if x else empty for x in (places, found, scores))
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int = CELL_QUERIES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", cell_queries: int | None = None, cell_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), the row's id and score: components are floor(scale * x) of the vector's doubles."""
     finite = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite).select(
         F.col(id_col).alias("id"), is_query.alias("is_query"),
         F.transform(vector_col, lambda x: F.lit(scale) * x.cast("double")).alias("v"),
     ).withColumns({"dim": F.size("v"), "h": F.xxhash64("id", "v")})
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
+    counts = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q"), F.max("dim").alias("dim")).first()
+    fits = max(1, CELL_BYTES // (8 * max(counts["dim"] or 1, 1)))
+    cell_queries, cell_rows = cell_queries or fits, cell_rows or fits
     row_parts, query_parts = max(1, -(-counts["n"] // cell_rows)), max(1, -(-counts["q"] // cell_queries))
     part = lambda n: F.pmod(F.col("h"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
