@@ -484,7 +484,7 @@ def test_topk(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(50)]
     rows += [(360, None), (380, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (420, [float("inf")] + [0.0] * 7), (440, [0.25] * 3), (441, [0.5] * 3), (5, rows[5][1]), (None, [0.1] * 8), (460, [1e9] * 8)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
-    for cells in ((4096, 32_768), (7, 40)):
+    for cells in ((None, None), (7, 40)):
         got = collections.defaultdict(list)
         for r in topk.exact_topk(frame, F.col("vec_id") % 20 == 0, 20, cell_queries=cells[0], cell_rows=cells[1]).collect():
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
