@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.errors import Conflict, PivotMissing
-from chronolith.functions import Fold, normalize
+from chronolith.functions import Fold, ids, normalize
 from chronolith.model import FuzzyIndex, RecordType, Shape
 from chronolith.operators import extensions, fuzzy, idsets, reads
 from chronolith.operators.bounds import Exact, Prefix, Range
@@ -646,3 +646,19 @@ def ext_aggregate_function(spark, sf_dir):
     checksum, rows = registry.aggregate("checksum"), registry.aggregate("rows")
     parts = _orders(spark, sf_dir).groupBy("status", F.pmod("rec", F.lit(64)).alias("part")).agg(rows("cents").alias("n"), checksum("cents").alias("c"))
     return parts.groupBy("status").agg(F.sum("n").alias("n"), (F.sum("c") % 1_000_003).alias("checksum"))
+
+
+@_query("SELECT event_id + 1 AS key, user_id AS tenant, event_id % 2 = 0 AS flag, event_id % 32768 AS salt, user_id * 65536 + CASE WHEN event_id % 2 = 0 THEN 32768 ELSE 0 END + event_id % 32768 AS low, CASE WHEN event_id % 2 <> 0 THEN event_id + 1 END AS created_at FROM events")
+def id_fields(spark, sf_dir):
+    """Addresses packed into 128 bits, and their fields."""
+    packed = ids.packed(F.col("event_id") + 1, F.col("user_id"), F.col("event_id") % 2 == 0, F.col("event_id") % 32768)
+    found = ids.fields(F.col("id.high"), F.col("id.low"))
+    return _table(spark, sf_dir, "events").select(packed.alias("id")).select(F.col("id.low").alias("low"), *[found[n].alias(n) for n in ("key", "tenant", "flag", "salt", "created_at")])
+
+
+@_query("SELECT s_suppkey AS rec FROM supplier WHERE s_nationkey = 7 OR s_suppkey % 4 = 1 OR (s_suppkey % 4 = 2 AND s_nationkey < 9) OR (s_suppkey % 4 = 3 AND s_nationkey = 3)")
+def ext_permissions(spark, sf_dir):
+    """What tenant 7, in group 3, may read of suppliers whose tenant is their nation."""
+    grant = F.array(F.lit(None).cast("string"), F.lit("public"), F.when(F.col("s_nationkey") < 9, "tenants:5,7,71").otherwise("tenants:70"), F.concat(F.lit("group:"), F.col("s_nationkey").cast("string")))
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("tenant"), F.col("s_suppkey").alias("rec"), F.element_at(grant, (F.col("s_suppkey") % 4 + 1).cast("int")).alias("permission"))
+    return extensions.readable(rows, 7, (3,)).select("rec")

@@ -16,11 +16,50 @@ from pyspark.sql import types as T
 
 from chronolith.errors import InvalidDeclaration
 from chronolith.functions import Fold
+from chronolith.functions.ids import FLAG_BITS, SALT_BITS
 
 U48 = 1 << 48
 KEY_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType, T.StringType, T.BinaryType, T.StructType)
 
 
+@dataclass(frozen=True)
+class Id:
+    """A 128-bit address: 64 bits of key, 48 of tenant, one that says that the key is a type's hash, 15 of salt."""
+
+    raw: int
+
+    @classmethod
+    def of(cls, key: int, tenant: int, flag: bool = False, salt: int = 0) -> Id:
+        if not 0 <= key < 1 << 64 or not 0 <= tenant < U48:
+            raise InvalidDeclaration("a key has 64 bits, a tenant 48")
+        low = (tenant << FLAG_BITS + SALT_BITS) | (int(flag) << SALT_BITS) | (salt & (1 << SALT_BITS) - 1)
+        return cls(key << 64 | low)
+
+    @property
+    def key(self) -> int:
+        return self.raw >> 64
+
+    @property
+    def tenant(self) -> int:
+        return self.raw >> FLAG_BITS + SALT_BITS & U48 - 1
+
+    @property
+    def is_unique_anchor(self) -> bool:
+        return bool(self.raw >> SALT_BITS & 1)
+
+    @property
+    def salt(self) -> int:
+        return self.raw & (1 << SALT_BITS) - 1
+
+    @property
+    def created_at(self) -> int | None:
+        return None if self.is_unique_anchor else self.key
+
+    @property
+    def struct_hash(self) -> int | None:
+        return self.key if self.is_unique_anchor else None
+
+
 class Shape(Enum):
     UNIQUE = "unique"
     NON_UNIQUE = "non_unique"

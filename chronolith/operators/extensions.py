@@ -31,3 +31,13 @@ def as_of_join(requests: DataFrame, versions: DataFrame, keys: list[str], at: st
     order = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__version", F.last("__version", ignorenulls=True).over(order)).where("__side = 1")
     return found.select(*keys, "__request.*", F.col("__version").alias("version"))
+
+
+def readable(frame: DataFrame, tenant: int, groups: tuple[int, ...] = ()) -> DataFrame:
+    """The versions that a tenant, in some groups, may read by their permission: none (the record's own tenant alone), "public",
+    "tenants:" and tenants, or "group:" and a group."""
+    permission = F.col("permission")
+    named = F.array_contains(F.split(F.substring_index(permission, ":", -1), ","), str(tenant))
+    grouped = permission.isin([f"group:{g}" for g in groups]) if groups else F.lit(False)
+    granted = (permission == "public") | (permission.startswith("tenants:") & named) | grouped
+    return frame.where((F.col("tenant") == tenant) | F.coalesce(granted, F.lit(False)))

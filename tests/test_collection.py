@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronolith.errors import Conflict, InvalidDeclaration, InvalidRecord, KeyMismatch, ListOutOfRange, PivotMissing, RecordMissing, SecondaryIndexOutOfRange
-from chronolith.model import FuzzyIndex, RecordType, Shape
+from chronolith.model import FuzzyIndex, Id, RecordType, Shape
 from chronolith.operators import fuzzy
 from chronolith.operators.bounds import Prefix, Range
 from chronolith.operators.collection import Collection, Session, UniqueRecord, mint
-from chronolith.sources import Expect, LogStore
+from chronolith.sources import Expect, LogStore, MemoryStore
 
 PERSON = RecordType("person", Shape.NON_UNIQUE, T.StructType([T.StructField("name", T.StringType()), T.StructField("city", T.StringType())]), pivots=(("city",), ("city", "name")), lists=(("name",),), fuzzy=(FuzzyIndex("name"),))
 SETTING = RecordType("setting", Shape.NON_UNIQUE, T.StructType([T.StructField("slug", T.StringType()), T.StructField("value", T.StringType())]), key=("slug",))
@@ -265,3 +265,25 @@ def test_vacuum_keeps_what_counts(people):
     people.store.compact()
     assert people.store.vacuum(3600) == 0 and people.store.vacuum(-1) > 0 and people.list_len() == 3
     assert Collection(PERSON, people.store, Session(7), 1).list_len() == 3
+
+
+def test_ids():
+    i = Id.of(1 << 63 | 5, (1 << 48) - 1, True, (1 << 15) + 9)
+    assert (i.key, i.tenant, i.is_unique_anchor, i.salt, i.created_at, i.struct_hash) == (1 << 63 | 5, (1 << 48) - 1, True, 9, None, 1 << 63 | 5)
+    assert Id.of(7, 3).created_at == 7 and Id.of(7, 3).struct_hash is None and Id(Id.of(7, 3).raw).tenant == 3
+    with pytest.raises(InvalidDeclaration):
+        Id.of(1, 1 << 48)
+
+
+def test_memory_store_keeps_the_contract(spark, tmp_path):
+    people = Collection.adopt_pivot(PERSON, MemoryStore(spark, str(tmp_path / "scratch"), PERSON.body, PERSON.fuzzy), Session(7), 1)
+    ada = people.insert(name="Ada Lovelace", city="Bern")
+    people.insert_all(spark.createDataFrame([("Bob", "Basel"), ("Eve", "Bern")], PERSON.body))
+    with pytest.raises(Conflict):
+        people.store.apply(people._frame([people._row("late", 5, True, {"name": "late"})]), base=1)
+    people.save(ada, name="Ada", city="Basel")
+    for _ in range(2):
+        assert [r["name"] for r in people.by(city="Basel").collect()] == ["Ada", "Bob"]
+        assert [r["name"] for r in people.fuzzy_search("adda", fuzzy.Distance(1)).collect()] == ["Ada"] and people.history(ada).count() == 2
+        people.store.compact()
+    assert len(people.store.commits()) == 1 and people.list_len() == 3
