@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of at most this many bytes each times BROADCAST_ROWS stay far below any executor's memory.
-BROADCAST_ROWS = 50_000
+#: What is broadcast has at most so many rows and bytes, far below any executor's memory.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 8 << 20
 #: Bytes of rows that a Python worker gets at once.
 ARROW_BYTES = 4 << 20
 
@@ -92,9 +93,14 @@ class Scratch:
         delete(self.spark, self.path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for df if it was counted to have at most so many rows, else df as it is, which joins by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for df if it was measured to have at most so many rows and bytes, else df as it is, which joins by shuffling."""
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            width = width + F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= most else df
 
 
 def text_of(col: str = "text"):
