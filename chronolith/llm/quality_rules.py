@@ -174,7 +174,7 @@ def cores(rows: DataFrame) -> DataFrame:
     while not now.isEmpty():
         binned = _distance(rows, now, ("start", "last")).groupBy(*keys, "last", _bin("d2").alias("bin")).agg(*moments)
         sums = _nearest(binned, keys, CORE).groupBy(*keys, "last").agg(*total)
-        after = cut(sums.join(_estimate(sums, keys), keys))
+        after = cut(_estimate(sums, [*keys, "last", *_SUMS]))
         # A determinant that no longer falls ends the steps: it falls by STILL each time, and the ridge bounds it.
         still = F.col("logdet") > F.col("last") - STILL
         done = after.where(still).select(*keys, "logdet", *_SUMS)
