@@ -38,7 +38,7 @@ from chronolith.llm._common import Scratch, cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
 #: Nodes and words of one side of a tile, about; hash buckets whose words are counted.
-TILE_NODES, TILE_WORDS, COUNTS = 1000, 4_000_000, 256
+TILE_NODES, TILE_WORDS, COUNTS = 400, 4_000_000, 1024
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
 BATCH_WORDS, KEPT_WORDS = 200_000, 100_000
 
