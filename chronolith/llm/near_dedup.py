@@ -11,8 +11,8 @@ Texts with the same words are one node, by partial aggregation, before anything
 with the same nodes are one bucket. First the node of each bucket that meets the most others in all its buckets, most
 likely what the others were copied from, is compared with all the rest, and links make classes. Then the buckets that
 still hold several classes are compared whole: in tiles of a bounded number of nodes and words, every two nodes of
-different classes, unless the tile's own links have joined them or word counts by hash bucket show that their edit distance
-is beyond the band. So any two texts of a bucket end in one class or were compared: classes are those of comparing every
+different classes, the most alike first, unless the tile's own links have joined them or they share too few words for an edit
+distance within the band; texts that meet in several buckets are compared in one. So any two texts of a bucket end in one class or were compared: classes are those of comparing every
 pair of every bucket. No bucket is ever in one task, a tile gives the links that join its classes and never all pairs, and
 rounds do not broadcast. Intermediate tables are written in the shared folder and deleted when they have served.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from chronolith.llm._common import Scratch, cut, text_of
 
 SHINGLE, SIMILARITY, SKETCHES, TAKEN = 5, 0.8, 20, 2
-#: Nodes and words of one side of a tile, about; hash buckets whose words are counted.
-TILE_NODES, TILE_WORDS, COUNTS = 400, 4_000_000, 1024
+#: Nodes and words of one side of a tile, about; words of a tile that are sorted at once, about, and distinct ones multiplied at once.
+TILE_NODES, TILE_WORDS, SLICE_WORDS, COLUMNS = 400, 4_000_000, 1_000_000, 4096
+#: Words up to which texts are aligned by rows of bits.
+BIT_WORDS = 8192
 #: Words of texts that are sketched at once (a longer text is alone), and words whose hashes a worker keeps.
 BATCH_WORDS, KEPT_WORDS = 200_000, 100_000
 
@@ -152,7 +154,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     ta, tb = (x[:-2] * _ODD + x[1:-1] * _MUL + x[2:] for x in (a.astype(np.uint64), b.astype(np.uint64)))
     (va, ca), (vb, cb) = np.unique(ta, return_counts=True), np.unique(tb, return_counts=True)
     shared, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    return _chained(a, b, ta, tb, shared[(ca[ia] == 1) & (cb[ib] == 1)], band) <= band or _banded(a, b, band) <= band
+    return _chained(a, b, ta, tb, shared[(ca[ia] == 1) & (cb[ib] == 1)], band) <= band or _aligned(a, b, band) <= band
 
 
 def _chained(a: np.ndarray, b: np.ndarray, marks_a: np.ndarray, marks_b: np.ndarray, once: np.ndarray, band: int) -> int:
@@ -208,6 +210,32 @@ def _gap(a: np.ndarray, b: np.ndarray, x: int, x_end: int, y: int, y_end: int) -
     return max(x_end - x, y_end - y) - lead - trail
 
 
+def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The edit distance if it is at most band, else a number above it."""
+    return _bitwise(a, b, band) if max(len(a), len(b)) <= BIT_WORDS else _banded(a, b, band)
+
+
+def _bitwise(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """As _aligned(), by Myers' rows of bits: whether the distance rises or falls from one word of a to the next, for each word of b in turn."""
+    if not len(a):
+        return len(b)
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, edits = every, 0, len(a)
+    for left, word in zip(range(len(b) - 1, -1, -1), b.tolist(), strict=True):
+        same = places.get(word, 0)
+        level = (((same & up) + up) ^ up) | same
+        rise, fall = down | every & ~(level | up), up & level
+        edits += (rise >> last) - (fall >> last)
+        if edits - left > band:
+            return edits - left
+        rise, same = rise << 1 | 1, same | down
+        up, down = (fall << 1 | ~(same | rise)) & every, rise & same & every
+    return edits
+
+
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The edit distance if it is at most band, else a number above it: for each number of edits, how far each diagonal of the band gets."""
     n, m = len(a), len(b)
@@ -289,29 +317,59 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
     return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "words_a", "words_b").mapInArrow(aligned, "a long, b long")
 
 
-def joining(words: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Of texts in classes, links (places) that join those classes which any links do. If there are two sides, only texts of different ones are compared."""
-    sizes, across = np.array([len(w) for w in words]), sides.min() != sides.max()
-    counts = np.stack([np.minimum(np.bincount(w & np.uint32(COUNTS - 1), minlength=COUNTS), 255) for w in words]).astype(np.int16)
-    full = (counts == 255).any(1)  # these counts are cut off, and prove nothing
-    root, links = classes.copy(), []
-    for i in range(len(words) - 1):
-        if (root == root[0]).all():
-            break
-        rest = slice(i + 1, None)
-        band = np.floor((1 - least) * np.maximum(sizes[rest], sizes[i]) + 1e-9)
-        open_ = (root[rest] != root[i]) & (np.abs(sizes[rest] - sizes[i]) <= band)
-        if across:
-            open_ &= sides[rest] != sides[i]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            continue
-        # An edit changes the counts by two at most.
-        near = full[at + i + 1] | full[i] | (np.abs(counts[at + i + 1] - counts[i]).sum(1) <= 2 * band[at])
-        for j in (at[near] + i + 1).tolist():
-            if root[j] != root[i] and similar(words[i], words[j], least):
-                links.append((i, j))
-                root[root == root[j]] = root[i]
+def _shared(words: list[np.ndarray]) -> np.ndarray:
+    """How many words each two texts have in common, repeats counted."""
+    n = len(words)
+    every, of_doc = np.concatenate(words), np.repeat(np.arange(n, dtype=np.int32), [len(w) for w in words])
+    out = np.zeros((n, n), dtype=np.float32)
+    slices = np.uint32(len(every) // SLICE_WORDS + 1)
+    for s in range(slices):
+        mine = every % slices == s
+        doc, word = of_doc[mine], every[mine].astype(np.uint64)
+        order = np.lexsort((word, doc))
+        doc, word, run = doc[order], word[order], np.arange(len(word))
+        # A word with its occurrence number is in a text or not, so what two texts share is a product of rows of ones.
+        new = np.ones(len(word), dtype=bool)
+        new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+        labelled = word << np.uint64(32) | (run - np.maximum.accumulate(np.where(new, run, 0))).astype(np.uint64)
+        _, place, held = np.unique(labelled, return_inverse=True, return_counts=True)
+        column, keep = np.cumsum(held > 1) - 1, held[place] > 1
+        doc, place = doc[keep], column[place[keep]]
+        order = np.argsort(place, kind="stable")
+        doc, place = doc[order], place[order]
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            of = slice(*np.searchsorted(place, (low, low + COLUMNS)))
+            ones = np.zeros((n, int(place[of][-1]) + 1 - low), dtype=np.float32)
+            ones[doc[of], place[of] - low] = 1
+            out += ones @ ones.T
+    return out
+
+
+def joining(words: list[np.ndarray], classes: np.ndarray, sides: np.ndarray, least: float = SIMILARITY, elsewhere: Sequence[frozenset] | None = None) -> list[tuple[int, int]]:
+    """Of texts in classes, links (places) that join those classes which any links do. If there are two sides, only texts of different ones are
+    compared. Two texts whose sets of elsewhere have a common element are compared there."""
+    sizes, (_, root) = np.array([len(w) for w in words]), np.unique(classes, return_inverse=True)
+    apart = np.triu(root[:, None] != root, 1)
+    if sides.min() != sides.max():
+        apart &= sides[:, None] != sides
+    at, to = np.nonzero(apart)
+    longer = np.maximum(sizes[at], sizes[to])
+    band = np.floor((1 - least) * longer + 1e-9)
+    near = np.abs(sizes[at] - sizes[to]) <= band
+    at, to, longer, band = at[near], to[near], longer[near], band[near]
+    if not len(at):
+        return []
+    # No alignment matches more words than the texts have in common.
+    edits = longer - _shared(words)[at, to]
+    near = edits <= band
+    at, to, share = at[near], to[near], (edits / longer)[near]
+    links = []
+    # The most alike first: their links spare most other comparisons.
+    order = np.argsort(share, kind="stable")
+    for i, j in zip(at[order].tolist(), to[order].tolist(), strict=True):
+        if root[i] != root[j] and (elsewhere is None or elsewhere[i].isdisjoint(elsewhere[j])) and similar(words[i], words[j], least):
+            links.append((i, j))
+            root[root == root[j]] = root[i]
     return links
 
 
@@ -320,30 +378,32 @@ def _tiled(now: DataFrame, words: DataFrame, least: float) -> DataFrame:
     open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     parts = F.greatest(F.ceil(F.col("n") / TILE_NODES), F.ceil(F.col("size") / TILE_WORDS)).cast("int")
     mine = now.hint("merge").join(open_.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # Texts that meet in several buckets are compared in the one of least key.
+    texts = words.hint("merge").join(mine.groupBy("node").agg(F.collect_list("key").alias("keys")), "node")
     each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = each.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
-    rows = placed.hint("merge").join(words, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    rows = placed.hint("merge").join(texts, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, held = None, []
 
         def settle() -> pa.RecordBatch:
-            nodes, labels, sides, seqs = zip(*held, strict=True)
-            found = joining([np.frombuffer(w, dtype=np.uint32) for w in seqs], np.array(labels), np.array(sides), least)
+            nodes, labels, sides, before, seqs = zip(*held, strict=True)
+            found = joining([np.frombuffer(w, dtype=np.uint32) for w in seqs], np.array(labels), np.array(sides), least, before)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([f(nodes[i], nodes[j]) for i, j in found], pa.int64()) for f in (min, max)], names=["a", "b"])
 
         for batch in batches:
-            for key, p, q, part, node, label, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "part", "node", "label", "words")), strict=True):
+            for key, p, q, part, node, label, keys, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", "part", "node", "label", "keys", "words")), strict=True):
                 if (key, p, q) != tile:
                     if held:
                         yield settle()
                     tile = key, p, q
-                held.append((node, label, part, seq))
+                held.append((node, label, part, frozenset(k for k in keys if k < key), seq))
         if held:
             yield settle()
 
-    return rows.select("key", "p", "q", "part", "node", "label", "words").mapInArrow(made, "a long, b long").distinct()
+    return rows.select("key", "p", "q", "part", "node", "label", "keys", "words").mapInArrow(made, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

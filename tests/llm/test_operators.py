@@ -454,6 +454,43 @@ def test_near_dedup_compares_all_of_a_bucket(spark, monkeypatch, nodes):
     assert [got[i] for i in range(len(rows))] == want
 
 
+def test_near_dedup_aligns_few_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 700, dtype=np.uint32)
+
+    def copy(changed):
+        out = base.copy()
+        out[rng.choice(700, changed, replace=False)] = rng.integers(0, 1 << 32, changed, dtype=np.uint32)
+        return out
+
+    # Of two copies with 95 words changed each, about 177 of 700 words differ, and 140 may.
+    words = [copy(95) for _ in range(60)] + [copy(20) for _ in range(20)]
+    calls, similar = [], near_dedup.similar
+    monkeypatch.setattr(near_dedup, "similar", lambda *a: calls.append(a) or similar(*a))
+    one = np.zeros(80, dtype=np.int64)
+    assert near_dedup.joining(words[:60], np.arange(60), one[:60]) == [] and not calls
+    links = near_dedup.joining(words, np.arange(80), one)
+    assert len(links) == 79 and len(calls) < 200
+    assert near_dedup.joining(words, np.arange(80), one, elsewhere=[frozenset([7])] * 80) == []
+    monkeypatch.setattr(near_dedup, "SLICE_WORDS", 5000)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    assert near_dedup.joining(words, np.arange(80), one) == links
+
+
+def test_near_dedup_distances():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(2, 6), rng.integers(0, 40)).astype(np.uint32) for _ in "ab")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.tolist(), 1):
+            before, row = row, [i]
+            for j, y in enumerate(b.tolist(), 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        for band in (0, 5, 20, 40):
+            got = near_dedup._bitwise(a, b, band)
+            assert got == row[-1] if row[-1] <= band else got > band
+
+
 def test_near_dedup_recall(spark):
     """Of all pairs within the edit similarity, by brute force, at least 0.98 share a class; classes are no larger than links make them."""
     rng = random.Random(41)
