@@ -24,8 +24,21 @@ GENERATION = 100_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 4_000_000
 
-#: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
-MARK = "^"
+#: Pieces that are encoded in one call.
+PIECES = 2000
+
+def _named_bytes() -> np.ndarray:
+    """The character by which byte-level vocabularies write each byte: those that print as themselves, the others from 256 on. Byte 0 ends a piece: a space."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    named = np.zeros(256, dtype="<u4")
+    named[shown] = shown
+    named[[b for b in range(256) if b not in shown]] = np.arange(256, 512 - len(shown))
+    named[0] = ord(" ")
+    return named
+
+
+_NAMED = _named_bytes()
+
 # Printable ASCII and Latin letters, but for those with which libraries differ on classes or lower case.
 _LATIN = " -~¡-±´-¸º»¿-įı-ſ"
 _ODD_SPACED = f"[ \\n][ \\n]|^[ \\n]|[ \\n]$|[^\\n{_LATIN}]"
@@ -40,11 +53,11 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 def _word_pieces(chunk: str) -> list[str]:
-    return [chunk] if chunk.isalpha() else _PIECES.findall(chunk)
+    return _PIECES.findall(chunk)
 
 
 def _spaced_pieces(chunk: str) -> list[str]:
-    return [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else _SPACED_PIECES.findall(chunk)
+    return _SPACED_PIECES.findall(chunk)
 
 
 def _apart(texts: pa.Array, lead: str) -> pa.Array:
@@ -122,7 +135,7 @@ class Encoder:
         lists = self.chunks(pc.fill_null(pc.if_else(odd, "", texts), ""))
         coded = lists.flatten().dictionary_encode()
         often = (np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)) > 1).tolist()
-        found = self.whole.joined(coded.dictionary.to_pylist(), often, self.make)
+        found = self.whole.joined(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), often, self.make)
         ends = np.zeros(len(found) + 1, dtype=np.int32)
         np.cumsum(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4, out=ends[1:])
         held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
@@ -138,72 +151,66 @@ class Encoder:
     # Texts that lose their white space: chunks between white space, taken apart further where they are new.
 
     def _ready_for_words(self, spec: dict) -> None:
+        self._ready_for_pieces(spec["model"].get("end_of_word_suffix"))
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._from_pieces(chunks, chunks, _word_pieces)
+
+    def _from_pieces(self, chunks: list[str], texts: list[str], cut: Callable[[str], list[str]]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(chunks)
+        # Most new chunks are one word, which is one piece.
+        alone, rest = [], []
+        for i, c in enumerate(chunks):
+            (alone if c.isalpha() else rest).append(i)
+        for i, ids in zip(alone, self._encode_pieces([texts[i] for i in alone]), strict=True):
+            out[i] = ids
+        plain = [cut(texts[i]) if self.literal_specials or "<|" not in chunks[i] else None for i in rest]
+        counts = Counter(chain.from_iterable(filter(None, plain)))
+        distinct = list(counts)
+        ids_of = dict(zip(distinct, self.pieces.joined(distinct, [n > 1 for n in counts.values()], self._encode_pieces), strict=True))
+        for i, pieces in zip(rest, plain, strict=True):
+            out[i] = self._library([texts[i]])[0] if pieces is None else b"".join([ids_of[p] for p in pieces])
+        return out
+
+    # Pieces are encoded many at a time, in the characters that the vocabulary has for their bytes; tokens tell by their lengths which piece they are of.
+
+    def _ready_for_pieces(self, suffix: str | None = None) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.bare_tokenizer = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare_tokenizer.encode_special_tokens = True
         self.bare_tokenizer.normalizer = normalizers.Sequence([])
-        self.bare_tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = spec["model"]["end_of_word_suffix"]
-        vocabulary = spec["model"]["vocab"]
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.bare_tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.token_chars = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.token_chars[i] = len(token.removesuffix(suffix) if suffix else token)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            ids = np.array(self.bare_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            blob = ids.tobytes()
-            out += [blob[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            if len(out) != at + len(part) or ends[-1] != len(ids):
-                raise ValueError("the vocabulary does not mark the ends of words")
+        for at in range(0, len(pieces), PIECES):
+            part = pieces[at : at + PIECES]
+            raw = np.frombuffer("\0".join([*part, ""]).encode(), dtype=np.uint8)
+            named = _NAMED[raw].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare_tokenizer.encode_batch_fast([named], add_special_tokens=False)[0].ids, dtype="<u4")
+            # Characters of the pieces up to each token's, and each piece's, end.
+            through = np.cumsum(self.token_chars[ids])
+            wanted = np.flatnonzero(raw == 0) - np.arange(len(part))
+            last = np.searchsorted(through, wanted)
+            if last[-1] != len(ids) - 1 or (through[last] != wanted).any():
+                raise ValueError("the vocabulary does not write pieces byte by byte")
+            ends, blob = (4 * last + 4).tolist(), ids.tobytes()
+            out += [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._from_pieces(chunks, chunks, _word_pieces, self._encode_pieces)
-
-    def _from_pieces(self, chunks: list[str], texts: list[str], cut: Callable[[str], list[str]], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        plain = [cut(t) if self.literal_specials or "<|" not in c else None for c, t in zip(chunks, texts, strict=True)]
-        counts = Counter(chain.from_iterable(filter(None, plain)))
-        distinct = list(counts)
-        ids_of = dict(zip(distinct, self.pieces.joined(distinct, [n > 1 for n in counts.values()], make), strict=True))
-        return [self._library([text])[0] if pieces is None else b"".join([ids_of[p] for p in pieces]) for text, pieces in zip(texts, plain, strict=True)]
-
     # Texts whose pieces keep the space before them: a chunk at a line's start, and chunks led by a space.
 
     def _ready_for_spaced(self) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.bare_tokenizer = Tokenizer.from_str(self.tokenizer.to_str())
-        self.bare_tokenizer.encode_special_tokens = True
-        self.bare_tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        # Byte-level vocabularies write the bytes that print as themselves, the others as the characters from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.byte_names = {b: 256 + i for i, b in enumerate(hidden)}
-        self.mark_id = self.tokenizer.token_to_id(MARK)
+        self._ready_for_pieces()
         self.newline = self._library(["\n"])[0]
 
-    def _encode_spaced_pieces(self, pieces: list[str]) -> list[bytes]:
-        held: dict[str, bytes] = {}
-        plain = [p for p in pieces if MARK not in p]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            named = "\0".join(part).encode().decode("latin-1").translate(self.byte_names).replace(chr(self.byte_names[0]), f" {MARK} ")
-            ids = np.array(self.bare_tokenizer.encode_batch_fast([f"{named} {MARK}"], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
-            blob, start = ids.tobytes(), 0
-            for p, end in zip(part, ends, strict=True):
-                held[p] = blob[4 * start : 4 * end]
-                start = end + 1
-        rest = [p for p in pieces if MARK in p]
-        held.update(zip(rest, self._library(rest), strict=True))
-        return [held[p] for p in pieces]
-
     def _encode_spaced_chunks(self, chunks: list[str], lead: str) -> list[bytes]:
-        return self._from_pieces(chunks, [lead + c for c in chunks], _spaced_pieces, self._encode_spaced_pieces)
+        return self._from_pieces(chunks, [lead + c for c in chunks], _spaced_pieces)
 
     def _spaced_lists(self, texts: pa.Array) -> pa.Array:
         return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(_START, _apart(texts, f" {_ON}"), ""), "\n", " \n"), " ")

@@ -66,6 +66,39 @@ def test_encoder_gives_the_librarys_ids():
         assert [b for _, b in Encoder(path).stream(pa.array(texts))] == want
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_cuts_and_sends_little(monkeypatch, path):
+    """Whole words are not cut by patterns; what is new goes to the library once, with nothing in between; every letter comes out as the library has it."""
+    import pyarrow as pa
+
+    from chronolith.llm import tokens
+
+    letters = [c for c in map(chr, range(33, 0x180)) if not re.match(tokens._ODD_WORDS, c)]
+    words = [a + b for a in letters for b in "aé^"]
+    texts = [" ".join(words), "\n".join(words), *words, "plain words alone " * 50]
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(path).encode(pa.array(texts)) == want
+
+    enc, sent, cut, aside = Encoder(path), [], [], []
+    bare, alone, whole = enc.bare_tokenizer, enc._library, {BYTES: "_spaced_pieces", WORDS: "_word_pieces"}[path]
+
+    class Library:
+        def encode_batch_fast(self, batch, **how):
+            sent.extend(x for text in batch for x in text.split())
+            return bare.encode_batch_fast(batch, **how)
+
+    enc.bare_tokenizer = Library()
+    monkeypatch.setattr(enc, "_library", lambda batch: aside.extend(batch) or alone(batch))
+    real = getattr(tokens, whole)
+    monkeypatch.setattr(tokens, whole, lambda chunk: cut.append(chunk) or real(chunk))
+    names = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    enc.encode(pa.array([" ".join(["", *names])[1:], "x^y " + " ".join(names)]))
+    assert not aside and not [c for c in cut if c.strip().isalpha()]
+    assert len(sent) <= len(names) + 6
+
+
 def blocks_of(text, reach):
     """The sets of words of each line and those after it."""
     lines = [re.findall(license_scan.WORD, line) for line in text.split("\n")]
