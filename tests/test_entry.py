@@ -1,5 +1,6 @@
 """The entry point with and without what is optional."""
 
+import os
 import re
 import shutil
 import subprocess
@@ -32,6 +33,17 @@ def test_entry_without_optional_parts(tmp_path, gone):
     assert ("pipeline" in names) == (there and (tmp_path / "corpus_pipeline.py").exists())
 
 
+def test_pipeline_of_another_checkout_is_not_offered(tmp_path):
+    shutil.copytree(ROOT / "chronolith", tmp_path / "chronolith", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "corpus_pipeline.py").write_text("ORACLE_SQL = 'SELECT 1'\nrun = None\n")
+    path = os.pathsep.join(filter(None, [str(other), os.environ.get("PYTHONPATH")]))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries(), *e.oracle_sql())"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True, check=True)
+    assert "op1_license_scan" in said.stdout.split() and "pipeline" not in said.stdout.split()
+
+
 def test_nothing_else_imports_the_optional_part():
     for path in (ROOT / "chronolith").rglob("*.py"):
         if "llm" not in path.parts:
