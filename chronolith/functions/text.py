@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from enum import Enum
 
 from pyspark.sql import Column
@@ -53,11 +54,21 @@ def normalize(text: Column, fold: Fold = Fold.LATIN) -> Column:
     return folded(out) if fold is Fold.LATIN else out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row however often body names it: the optimizer copies an alias's expression to
+    wherever it is named, into the body of a transform too, but not a lambda's argument."""
+    return F.transform(F.array(value), body)[0]
+
+
 def grams(normal: Column, n: int = 3) -> Column:
     """Distinct windows of n code points over a normalised text padded with n - 1 pads at both ends; an empty text has the one of pads alone, and none if n is 1."""
-    padded = F.concat(F.lit(PAD * (n - 1)), normal, F.lit(PAD * (n - 1)))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(normal) + n - 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.when(F.length(normal) == 0, F.array(F.lit(PAD * n)) if n > 1 else F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+    pads = F.lit(PAD * (n - 1))
+
+    def windows(letters: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(letters) - n), lambda i: F.concat(*[F.get(letters, i + j) for j in range(n)])))
+
+    blank = F.array(F.lit(PAD * n)) if n > 1 else F.array().cast("array<string>")
+    return let(normal, lambda t: F.when(F.length(t) == 0, blank).otherwise(let(F.split(F.concat(pads, t, pads), ""), windows)))
 
 
 def key_length(normal: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.functions import Fold, containment, edit_distance, grams, jaccard, key_length, length_gap, normalize
+from chronolith.functions import Fold, containment, edit_distance, grams, jaccard, key_length, length_gap, let, normalize
 
 
 @dataclass(frozen=True)
@@ -53,32 +53,36 @@ def _total(query: str, n: int, fold: Fold, frame: DataFrame) -> tuple[str, list[
     return row["q"], row["g"]
 
 
-def _verified(frame: DataFrame, mode: Mode, q: Column, g: Column) -> DataFrame:
-    """frame (normal, gram_set) with score and rank, where the mode holds."""
-    if isinstance(mode, Distance):
-        return frame.withColumn("score", edit_distance(q, F.col("normal"), mode.k).cast("double")).where("score is not null").withColumn("rank", F.col("score"))
-    measure = jaccard if isinstance(mode, Similarity) else containment
-    return frame.withColumn("score", measure(g, F.col("gram_set"))).where(F.col("score") >= mode.t).withColumn("rank", 1 - F.col("score"))
+def _verified(frame: DataFrame, field: str, mode: Mode, text: str, query_grams: list[str], least: int, n: int, fold: Fold) -> DataFrame:
+    """frame with score and rank, where at least so many grams are shared and the mode holds."""
+    q, g = F.lit(text), F.lit(query_grams)
+
+    def score(normal: Column, own: Column) -> Column:
+        enough = F.size(F.array_intersect(own, g)) >= least
+        if isinstance(mode, Distance):
+            return F.when((length_gap(normal, q) <= mode.k) & enough, edit_distance(q, normal, mode.k).cast("double"))
+        measure = jaccard if isinstance(mode, Similarity) else containment
+        return let(F.when(enough, measure(g, own)), lambda s: F.when(s >= mode.t, s))
+
+    found = let(normalize(F.col(field), fold), lambda normal: let(grams(normal, n), lambda own: score(normal, own)))
+    # What a generator makes is made once, and a filter on it stays above it: pushed down, it would measure every text below a join.
+    scored = frame.select(*[c for c in frame.columns if c != "score"], F.explode_outer(F.array(found)).alias("score")).where("score is not null")
+    return scored.withColumn("rank", F.col("score") if isinstance(mode, Distance) else 1 - F.col("score"))
 
 
 def search(live: DataFrame, field: str, query: str, mode: Mode, limit: int | None = None, n: int = 3, fold: Fold = Fold.LATIN, tie: str = "rec", exhaustive: bool = False) -> DataFrame:
     """live with score and rank, best first, ties by address. A record that shares no gram is found only if exhaustive."""
     text, query_grams = _total(query, n, fold, live)
-    q, g = F.lit(text), F.lit(query_grams)
     least = threshold(mode, len(query_grams), n)
-    frame = live.where(F.col(field).isNotNull()).withColumn("normal", normalize(F.col(field), fold))
-    if isinstance(mode, Distance):
-        frame = frame.where(length_gap(F.col("normal"), q) <= mode.k)
-    frame = frame.withColumn("gram_set", grams(F.col("normal"), n))
-    frame = frame.where(F.size(F.array_intersect("gram_set", g)) >= (least if exhaustive else max(least, 1)))
-    found = _verified(frame, mode, q, g).drop("normal", "gram_set").orderBy("rank", tie)
+    found = _verified(live.where(F.col(field).isNotNull()), field, mode, text, query_grams, least if exhaustive else max(least, 1), n, fold).orderBy("rank", tie)
     return found if limit is None else found.limit(limit)
 
 
 def postings(live: DataFrame, field: str, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec")) -> DataFrame:
     """gram, len and the address: one row per distinct gram of each record. Written clustered by gram, lookups prune to few row groups."""
     normal = live.where(F.col(field).isNotNull()).select(*key, normalize(F.col(field), fold).alias("normal"))
-    return normal.select(F.explode(grams(F.col("normal"), n)).alias("gram"), key_length(F.col("normal")).alias("len"), *key)
+    # For explode() the optimizer adds a filter that cuts each text once more; for explode_outer() it does not.
+    return normal.select(F.explode_outer(grams(F.col("normal"), n)).alias("gram"), key_length(F.col("normal")).alias("len"), *key).where("gram is not null")
 
 
 def candidates(index: DataFrame, query: str, mode: Mode, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec")) -> DataFrame:
@@ -92,8 +96,4 @@ def candidates(index: DataFrame, query: str, mode: Mode, n: int = 3, fold: Fold
 
 def search_postings(index: DataFrame, live: DataFrame, field: str, query: str, mode: Mode, limit: int | None = None, n: int = 3, fold: Fold = Fold.LATIN, key: tuple[str, ...] = ("tenant", "pivot", "rec"), tie: str = "rec") -> DataFrame:
     """The same as search, from postings: what they name is fetched and verified."""
-    text, query_grams = _total(query, n, fold, live)
-    shared = candidates(index, query, mode, n, fold, key)
-    frame = live.join(shared, list(key), "left_semi").withColumn("normal", normalize(F.col(field), fold)).withColumn("gram_set", grams(F.col("normal"), n))
-    found = _verified(frame, mode, F.lit(text), F.lit(query_grams)).drop("normal", "gram_set").orderBy("rank", tie)
-    return found if limit is None else found.limit(limit)
+    return search(live.join(candidates(index, query, mode, n, fold, key), list(key), "left_semi"), field, query, mode, limit, n, fold, tie)

@@ -91,6 +91,19 @@ def test_fuzzy_needs_a_shared_gram(spark):
     assert fuzzy.threshold(fuzzy.Distance(2), 10, 3) == 4 and fuzzy.threshold(fuzzy.Distance(9), 10, 3) == 0 and fuzzy.threshold(fuzzy.Contains(0), 10, 3) == 1
 
 
+def test_fuzzy_cuts_a_text_once(spark):
+    live = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(("Ab c", "abd", "x\U0001f600y", "", None))], "tenant long, pivot long, rec long, name string")
+    index = fuzzy.postings(live, "name")
+    for mode in (fuzzy.Distance(2), fuzzy.Similarity(0.2), fuzzy.Contains(0.3)):
+        scan, kept = fuzzy.search(live, "name", "ab", mode), fuzzy.search_postings(index, live, "name", "ab", mode, limit=3)
+        # From postings: once to cut, once to verify, and for distances once to leave out those of other lengths before the cut.
+        for found, times in ((scan, 1), (kept, 3 if isinstance(mode, fuzzy.Distance) else 2)):
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("regexp_replace(") == times
+        assert [r["rec"] for r in scan.collect()] == [r["rec"] for r in kept.collect()] and scan.columns == [*live.columns, "score", "rank"]
+    assert index.where("rec = 2").select("gram").distinct().count() == 5 and index.where("rec > 3").isEmpty()
+
+
 def test_watch_tells_committed_events_once(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "p"), PERSON.body)
     people, mirror = Collection(PERSON, store, Session(5)), Collection(PERSON, LogStore(spark, str(tmp_path / "m"), PERSON.body), Session(5))
