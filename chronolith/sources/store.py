@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import os
 import time
 import uuid
@@ -37,6 +38,8 @@ REMOVAL = T.StructType([T.StructField(n, VERSION_META[n].dataType, False) for n
 PIVOT = T.StructType([T.StructField(n, T.LongType(), False) for n in ("tenant", "pivot")])
 POSTING = T.StructType([T.StructField("field", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("len", T.IntegerType()), *REMOVAL.fields])
 KINDS = ("versions", "removals", "pivots", "postings")
+#: Postings that a task sorts, whatever the commit's size and however few grams its texts have.
+POSTINGS_PER_TASK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -144,6 +147,12 @@ class LogStore:
         parts = [fuzzy.postings(versions, x.field, x.n, x.fold, ("tenant", "pivot", "rec", "instant")).withColumn("field", F.lit(x.field)).select(*POSTING.fieldNames()) for x in self.fuzzy]
         return functools.reduce(DataFrame.union, parts) if parts else None
 
+    def _dealt(self, versions: DataFrame) -> DataFrame:
+        """versions in as many partitions as their postings need; a partition that comes from a large file has too many."""
+        windows = functools.reduce(lambda a, b: a + b, [F.coalesce(F.length(x.field) + x.n - 1, F.lit(0)).cast("long") for x in self.fuzzy])
+        tasks = math.ceil((versions.agg(F.sum(windows)).first()[0] or 0) / POSTINGS_PER_TASK)
+        return versions.repartition(tasks, "tenant", "pivot", "rec", "instant") if tasks > 1 else versions
+
     def apply(self, versions: DataFrame | None = None, removals: DataFrame | None = None, expects: list[Expect] = (), base: int | None = None, pivots: DataFrame | None = None) -> int:
         """Commits a batch whole, or raises Conflict and leaves nothing visible. base: the last commit the batch was planned on."""
         if base is None:
@@ -154,7 +163,7 @@ class LogStore:
         name = f"{number:012d}-{uuid.uuid4().hex}"
         body = {kind: self._write(kind, frame, name) for kind, frame in (("versions", versions), ("removals", removals), ("pivots", pivots)) if frame is not None}
         if versions is not None and self.fuzzy:
-            grams = self._grams(self.read("versions", [Commit(number, versions=body["versions"])]))
+            grams = self._grams(self._dealt(self.read("versions", [Commit(number, versions=body["versions"])])))
             body["postings"] = self._write("postings", grams.sortWithinPartitions("tenant", "field", "gram"), name)
         self._publish(number, body)
         return number
@@ -219,7 +228,11 @@ class LogStore:
             body[kind] = self._write(kind, self.read(kind, seen).repartitionByRange(*order[:3]).sortWithinPartitions(*order), name)
         body["pivots"] = self._write("pivots", self.read("pivots", seen).distinct().coalesce(1), name)
         if self.fuzzy:
-            body["postings"] = self._write("postings", self.read("postings", seen).repartitionByRange("tenant", "field", "gram").sortWithinPartitions("tenant", "field", "gram"), name)
+            kept = self.read("postings", seen)
+            tasks = max(1, math.ceil(kept.count() / POSTINGS_PER_TASK))
+            # By address as well, as every text may have the same gram.
+            dealt = kept.repartitionByRange(tasks, "tenant", "field", "gram", "pivot", "rec", "instant")
+            body["postings"] = self._write("postings", dealt.sortWithinPartitions("tenant", "field", "gram"), name)
         self._publish(number, body)
         for c in seen:
             fs, at = self._hadoop(f"{self.path}/commits/{c.number:012d}.json")

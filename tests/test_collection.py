@@ -237,6 +237,18 @@ def test_kept_postings_answer_as_a_scan(people, spark):
     assert "postings" in scanned
 
 
+def test_no_task_sorts_a_batch_of_postings_alone(people, spark, monkeypatch):
+    monkeypatch.setattr("chronolith.sources.store.POSTINGS_PER_TASK", 500)
+    # One partition, and so one file of versions; every text has the same grams.
+    people.insert_all(spark.range(400).select(F.lit("zzzz").alias("name"), F.lit("x").alias("city")).coalesce(1))
+    for _ in range(2):
+        sizes = [r["count"] for r in people.store.postings().groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 400 * 5 and max(sizes) < 1000
+        found = people.fuzzy_search("zzz", fuzzy.Similarity(0.5))
+        assert found.count() == 400
+        people.store.compact()
+
+
 def test_adoption(people, spark, tmp_path):
     a, b = people.insert(name="a", city="x"), people.insert(name="b", city="y")
     people.save(a, name="a2", city="x")
